@@ -6,15 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokencount
+from . import bpe, decontaminate, exact, html, langid, licenses, near, quality, sharding, tokencount
 from .common import table
 
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
-def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark_copies(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), html.fit())
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def encode(docs: DataFrame) -> DataFrame:
     import public_tokenizers as tokenizers
 
-    ranks = bpe.load_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, tokenizers.PATTERN)
+    return bpe.encode_documents(docs, bpe.load_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken")), tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +63,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_byte_bpe, op10_token_counts)}
+    every = (op1_decontaminate, op2_language_id, op3_near_duplicates, op4_exact_dedup, op5_html_text, op6_sharding, op7_quality, op8_licenses, op9_byte_bpe, op10_token_counts)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_exact_dedup": """
+            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+                   sha256(coalesce(text, '')) AS text_sha256
+            FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op6_sharding": sharding.oracle(SHARDS),
+    }
