@@ -8,9 +8,8 @@ time it meets. Two texts agree in a register with the probability of their weigh
 bias, and as points come in order of time only about m log m of them are made for a text, however long it is.
 
 Registers are banded. Texts of equal multisets are one group from the start. In each bucket of a band all members are
-compared with the bucket's centre, exactly, by multiset overlap, never all with all. Buckets whose members are still
-in different classes are settled by the triangle inequality: 1 - similarity is a metric, so the distances to the
-centre say which pairs across classes can still be near, and only these are compared.
+compared with the bucket's centre, exactly, by multiset overlap, never all with all. Where members are then still in
+different classes, the pairs across classes that can be links are found by what sets each apart from the centre.
 """
 
 from __future__ import annotations
@@ -20,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, splitmix
+from ..operators.graph import components
+from ..plans.lineage import materialise
+from .common import splitmix
 
 U = np.uint64
 _WORD = re.compile(r"\w+")
@@ -189,23 +190,80 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def components(nodes_edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of the edges (a, b): the smallest id of its component.
+def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """For each (rep, centre): ``elements``, by which the multisets differ, and the numbers the search below needs.
 
-    Each round every node takes the least root among its neighbours' and its own, then the root of that root, so
-    long chains halve. A round is written to the shared folder before the next begins.
+    An element is a shingle with a sign (the text lacks it, or adds it) and a copy number, as one hash.
     """
-    both = materialise(nodes_edges.select("a", "b").union(nodes_edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    label = materialise(label)
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        step = label.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "other").alias("mid"))
-        jump = label.select(F.col("id").alias("mid"), F.col("root").alias("far"))
-        new = materialise(step.join(jump, "mid").select("id", "old", F.least("mid", "far").alias("root")))
-        if new.where(F.col("old") != F.col("root")).isEmpty():
-            return new.select("id", "root")
-        label = new.select("id", "root")
+    joined = pairs.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("text_a")), "rep").join(texts.select(F.col("id").alias("centre"), F.col("text").alias("text_b")), "centre")
+    k = similarity / (1 + similarity)
+
+    def copies(keys: np.ndarray, counts: np.ndarray, sign: int) -> np.ndarray:
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return splitmix(np.repeat(keys, counts) * U(2) + U(sign) + at.astype(U) * GOLD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            elements, cost, free, apart, last = [], [], [], [], (None, None)
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                y = y.as_py()
+                if last[0] != y:
+                    last = (y, bag(shingles([y], width, words)[0]))
+                a, c = bag(shingles([x.as_py()], width, words)[0]), last[1]
+                keys = np.union1d(a[0], c[0])
+                diff = np.zeros(len(keys), np.int64)
+                diff[np.searchsorted(keys, a[0])] += a[1]
+                diff[np.searchsorted(keys, c[0])] -= c[1]
+                more, less = diff > 0, diff < 0
+                elements.append(np.concatenate([copies(keys[more], diff[more], 1), copies(keys[less], -diff[less], 0)]).view(np.int64))
+                cost.append(float((1 - k) * -diff[less].sum() + k * diff[more].sum()))
+                free.append(float((1 - 2 * k) * c[1].sum()))
+                apart.append(overlap(a, c) < similarity)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(elements, pa.list_(pa.int64())), pa.array(cost, pa.float64()), pa.array(free, pa.float64()), pa.array(apart, pa.bool_())], ["rep", "centre", "root", "elements", "cost", "free", "apart"])
+
+    kind = pairs.schema["rep"].dataType.simpleString()
+    return joined.select("rep", "centre", "root", "text_a", "text_b").mapInArrow(run, f"rep {kind}, centre {kind}, root {kind}, elements array<long>, cost double, free double, apart boolean")
+
+
+def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Links between members of one bucket that their links to centres leave in different classes.
+
+    Against a common centre C a text X lacks m and adds a shingles; let cost(X) = (1-k) m + k a with
+    k = s / (1 + s), and free = (1-2k) |C|. Then X and Y are linked if and only if they share at least
+    cost(X) + cost(Y) - free elements of what sets them apart from C. X is linked to C just if cost(X) <= free,
+    so of a pair across classes one, X, has cost(X) > free, and then more than cost(Y) elements are shared. With
+    elements in the order of how rare they are around C, two texts that share t of them share one among the first
+    n - t + 1 of each: an exact prefix filter, in which what a family of copies has in common takes no part.
+    """
+    roots = components(links)
+    seen = placed.where("rep != centre").select("rep", "centre").distinct()
+    seen = seen.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = seen.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("centre")
+    apart = materialise(deltas(seen.join(mixed, "centre"), texts, width, similarity))
+    each = apart.select("rep", "centre", F.explode("elements").alias("element"))
+    rare = each.groupBy("centre", "element").agg(F.count("*").alias("n")).where("n > 1")
+    # where an element stands in its text's order: those of one text alone come first and find nobody
+    shared = each.join(rare, ["centre", "element"])
+    order = Window.partitionBy("rep", "centre").orderBy(F.desc("n"), "element")
+    behind = shared.withColumn("behind", F.row_number().over(order))  # 1: the commonest
+    least = 1e-9
+    facts = apart.select("rep", "centre", "root", "cost", "free", "apart", F.size("elements").alias("size"))
+    # how far beyond the centre's reach the nearest text that isn't linked to it is
+    beyond = facts.where("apart").groupBy("centre").agg(F.min(F.col("cost") - F.col("free")).alias("gap"))
+    # ``behind`` counts the elements from this one on: no more can be shared by texts whose rarest shared element it is
+    ranked = materialise(
+        behind.join(facts, ["rep", "centre"]).join(beyond, "centre")
+        .withColumn("near", F.col("behind") >= F.col("cost") + F.greatest("gap", F.lit(0.0)) - least)
+        .withColumn("far", F.col("apart") & (F.col("behind") >= F.col("cost") - F.col("free") - least))
+        .where("near OR far")
+    )
+    x = ranked.where("far").select("centre", "element", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("cost").alias("ca"), F.col("behind").alias("na"), "free")
+    y = ranked.where("near").select("centre", "element", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("cost").alias("cb"), F.col("behind").alias("nb"))
+    pairs = x.join(y, ["centre", "element"]).where((F.col("ra") != F.col("rb")) & (F.col("ca") + F.col("cb") - F.col("free") <= F.least("na", "nb") + least))
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return compare(pairs, texts.join(need, "id", "left_semi"), width).where(F.col("similarity") >= similarity).select("a", "b")
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 64, rows_per_band: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,50 +272,35 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 6
     Two texts are linked if the weighted Jaccard similarity of their shingle multisets is ``similarity`` or more; a
     class is a connected component of links. Words are ``\\w+`` in lower case. Texts of fewer than ``width`` words are
     one shingle. Null and wordless texts are each their own class. Rows with a null id are their own class (of size
-    1, id null); rows that repeat an id share the least class id
-    among those of its texts. At similarity s a pair shares no bucket with
-    probability (1 - s**r)**(m // r): 3e-7 at 0.8 for the defaults.
+    1, id null); rows that repeat an id share the least class id among those of its texts. At similarity s a pair
+    shares no bucket with probability (1 - s**r)**(m // r): 3e-7 at 0.8 for the defaults.
     """
     signed = materialise(sign(docs, id_col, text_col, width, m, rows_per_band))
     whole = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
     # equal multisets: one stands for all
-    named = whole.groupBy("name_a", "name_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-    named = materialise(named)
+    named = materialise(whole.groupBy("name_a", "name_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     entries = named.select("rep", F.explode("bands").alias("band"))
-    centres = entries.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
-    placed = materialise(entries.join(centres, "band"))
+    crowds = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialise(entries.join(crowds, "band"))
+    # a bucket's centre is the member with the most company over all bands: of a family of copies, one close to their origin
+    company = crowded.groupBy("rep").agg(F.sum("n").alias("company"))
+    crowded = crowded.join(company, "rep")
+    centres = crowded.groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("centre"))
+    placed = materialise(crowded.select("band", "rep").join(centres, "band"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = materialise(texts.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     pairs = placed.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    compared = materialise(compare(pairs, texts.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width))
-    links = compared.where(F.col("similarity") >= similarity)
-    if not links.isEmpty() or not compared.isEmpty():
-        links = links.select("a", "b").unionByName(_across(placed, compared, links, texts, similarity, width))
-        roots = components(links)
-    else:
-        roots = links.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    links = materialise(compare(pairs, texts, width).where(F.col("similarity") >= similarity).select("a", "b"))
+    roots = components(links.unionByName(_across(placed, links, texts, similarity, width)))
     whose = whole.select("id", "name_a", "name_b").join(named.select("name_a", "name_b", "rep"), ["name_a", "name_b"]).select("id", "rep")
     rooted = whose.join(roots.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
     every = signed.select("id").join(rooted, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    size = every.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size"))
+    every = materialise(every)
+    # written first, so that the join below has exchanges of its own and one large class can be split over tasks
+    size = materialise(every.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"))
     return every.join(size, "class_id", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def _across(placed: DataFrame, compared: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Links between members of one bucket that the links to centres leave in different classes."""
-    roots = components(links)
-    far = F.coalesce(1 - F.col("similarity"), F.lit(0.0))
-    seen = placed.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "similarity"), ["rep", "centre"], "left").select("band", "rep", far.alias("far"))
-    seen = seen.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = seen.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    seen = materialise(seen.join(mixed, "band"))
-    gap = 1 - similarity
-    x, y = seen.select("band", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("far").alias("fa")), seen.select("band", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("far").alias("fb"))
-    # the centre itself (distance 0) has been compared with all
-    pairs = x.join(y, "band").where((F.col("ra") < F.col("rb")) & (F.abs(F.col("fa") - F.col("fb")) <= gap + 1e-9) & (F.col("fa") > 0) & (F.col("fb") > 0)).select("a", "b").distinct()
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return compare(pairs, texts.join(need, "id", "left_semi"), width).where(F.col("similarity") >= similarity).select("a", "b")
-
-
 def kept_rows(docs: DataFrame, marked: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` but those that ``marked`` doesn't keep, all columns."""
     return docs.join(marked.where("NOT kept").select(id_col), id_col, "left_anti").select(*docs.columns)
