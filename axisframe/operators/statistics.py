@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.dist import t_sf2, ttest_z_one_sided
 
@@ -73,12 +74,12 @@ def permutations(df: DataFrame, index: str, group: str | None, n: int) -> DataFr
     return place.join(shuffled, [*by, "__r"]).select("perm", index, "source")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _z(mx: pd.Series, vx: pd.Series, nx: pd.Series, my: pd.Series, vy: pd.Series, ny: pd.Series) -> pd.Series:
     return pd.Series(ttest_z_one_sided(*(s.to_numpy(float) for s in (mx, vx, nx, my, vy, ny))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of Student's t."""
     return pd.Series(t_sf2(t.to_numpy(float), df.to_numpy(float)))

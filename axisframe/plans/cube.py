@@ -118,7 +118,8 @@ class Cube:
         for i, (d, v) in enumerate(labels.items()):
             cols[f"{d}_idx"], cols[d] = at[i].astype("int32"), pd.Series(v).to_numpy()[at[i]]
         cols["value"] = array.ravel()
-        return Cube(spark.createDataFrame(pd.DataFrame(cols)), check_names(labels), **kw)
+        df = spark.createDataFrame(pd.DataFrame(cols))
+        return Cube(df.withColumns({f"{d}_idx": F.col(f"{d}_idx").cast("int") for d in labels}), check_names(labels), **kw)
 
     def with_(self, df: DataFrame, dims: tuple[str, ...] | None = None, value: str | None = None) -> Cube:
         """The same cube over other rows: attributes stay."""

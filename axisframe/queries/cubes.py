@@ -132,7 +132,7 @@ _reduction("mean", "avg(value)")
 _reduction("min", "min(value)")
 _reduction("max", "max(value)")
 _reduction("ptp", "max(value) - min(value)")
-_reduction("var", "var_pop(value)", 4)
+_reduction("var", "var_pop(value)", 8)
 _reduction("var", "var_samp(value)", 4, ddof=1)
 _reduction("std", "stddev_pop(value)", 5)
 _reduction("std", "stddev_samp(value)", 5, ddof=1)
@@ -141,7 +141,7 @@ _reduction("any", "bool_or(value <> 0)")
 _reduction("argmax", "arg_min(b, (-value, b))")
 _reduction("argmin", "arg_min(b, (value, b))")
 _reduction("nanmean", "coalesce(avg(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", cube="holes")
-_reduction("nanvar", "coalesce(var_pop(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", 4, cube="holes")
+_reduction("nanvar", "coalesce(var_pop(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", 8, cube="holes")
 _reduction("nanstd", "coalesce(stddev_pop(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", 5, cube="holes")
 _reduction("median", "median(value)")
 
