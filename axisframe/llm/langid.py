@@ -30,25 +30,28 @@ def letter_table() -> np.ndarray:
 def grams(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of N code points (lower case, other than letters as one space) and where each text's begin.
 
-    Texts are padded by spaces so that none shares an n-gram with the next one; a gram with two spaces in a row is
-    left out, so what stands between words doesn't count.
+    A text is padded by a space at either end. Runs of spaces count as one, and no n-gram reaches into the next text.
     """
-    lowered = [" " + t.lower() + " " for t in texts]
+    lowered = [f" {t.lower()} \0" for t in texts]
     codes = letters[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    ends = np.cumsum([len(t) for t in lowered])
+    ends = np.cumsum([len(t) for t in lowered], dtype=np.int64)
+    codes[ends - 1] = 0  # what stands between texts
     space = codes == 32
     keep = np.ones(len(codes), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     at = np.concatenate([[0], np.cumsum(keep)])
-    codes, space = codes[keep], space[keep]
-    starts = at[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0, int)
+    codes = codes[keep]
     if len(codes) < N:
         return np.zeros(0, U), np.zeros(len(texts), int)
-    wide = codes.astype(U)
-    h = wide[: len(wide) - N + 1] * U(0x9E3779B97F4A7C15)
+    n = len(codes) - N + 1
+    wide, inside = codes.astype(U), codes != 0
+    h, whole = wide[:n] * U(0x9E3779B97F4A7C15), inside[:n]
     for k in range(1, N):
-        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) + wide[k : len(wide) - N + 1 + k]
-    return splitmix(h), np.minimum(starts, len(h))
+        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) + wide[k : n + k]
+        whole = whole & inside[k : n + k]
+    before = np.concatenate([[0], np.cumsum(whole)])
+    starts = at[np.concatenate([[0], ends[:-1]])]
+    return splitmix(h[whole]), before[np.minimum(starts, n)]
 
 
 @dataclass
@@ -143,21 +146,12 @@ def predict(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col: s
         model, letters = once_per_process("langid", key, lambda: (shared.value, letter_table()))
         for batch in batches:
             pred, score, part, size = [], [], [], 0
-
-            def flush(part=part, pred=pred, score=score):
-                a, b = decide(part, model, letters) if model.languages else (["und"] * len(part), [0.0] * len(part))
-                pred.extend(a)
-                score.extend(b)
-                part.clear()
-
-            for value in batch.column(2):
+            for i, value in enumerate(batch.column(2)):
                 part.append(value.as_py() or "")
                 size += len(part[-1])
-                if size > chars:
-                    flush()
-                    size = 0
-            if part:
-                flush()
+                if size > chars or i == batch.num_rows - 1:
+                    a, b = decide(part, model, letters) if model.languages else (["und"] * len(part), [0.0] * len(part))
+                    pred, score, part, size = pred + a, score + b, [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
     pick = docs.select(id_col, held_out(F.col(id_col)).alias("held_out"), text_col)
