@@ -113,7 +113,7 @@ def to_series(cube: Cube, dim: int | str) -> DataFrame:
     """One row for each combination of the other axes: ``labels`` and ``values`` of the axis, in its order."""
     d = cube.axis(dim)
     cells = F.array_sort(F.collect_list(F.struct(F.col(f"{d}_idx").alias("i"), F.col(d).alias("label"), F.col(cube.value).cast("double").alias("v"))))
-    return cube.df.groupBy(*cube.keys(d)).agg(cells.alias("__cells")).select(*cube.keys(d), F.transform("__cells", lambda x: x.label).alias("labels"), F.transform("__cells", lambda x: x.v).alias("values"))
+    return cube.df.groupBy(*cube.keys(d)).agg(cells.alias("__cells")).select(*cube.keys(d), F.col("__cells.label").alias("labels"), F.col("__cells.v").alias("values"))
 
 
 def from_series(series: DataFrame, cube: Cube, dim: str, value: str = "values", labels: str = "labels") -> Cube:

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from .cube import Cube
 
 
+#: Samples of a series that a task works on at once.
+CHUNK = 1 << 19
+
+
 @dataclass(frozen=True, eq=False)
 class TimeCube(Cube):
     """A cube one axis of which, ``tdim``, is time in seconds at ``samplerate`` a second."""
@@ -83,6 +87,43 @@ class TimeCube(Cube):
         got = from_series(done, shape, self.tdim)
         return TimeCube.of(got.with_(got.df, dims), self.tdim, samplerate or self.samplerate)
 
+    def apply_chunked(self, kernel, chunk: int, halo: int, name: str | None = None, label_type: T.DataType | None = None) -> TimeCube:
+        """``kernel(rows, times) -> {label: rows}`` of the same length, over runs of ``chunk`` positions with ``halo`` more at
+        either side, which are cut off again: no task holds a whole series, however long. Exact where what lies beyond
+        the halo doesn't reach the run."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        keys, pos = self.keys(self.tdim), F.col(f"{self.tdim}_idx")
+        home, rest = F.floor(pos / chunk), pos % chunk
+        copies = F.array_compact(F.array(home, F.when((rest < halo) & (home > 0), home - 1), F.when(rest >= chunk - halo, home + 1)))
+        cell = F.struct(pos.alias("i"), F.col(self.tdim).cast("double").alias("t"), F.col(self.value).cast("double").alias("v"))
+        runs = self.df.withColumn("__chunk", F.explode(copies)).groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        series = runs.select(*keys, "__chunk", *(F.col(f"cells.{n}").alias(n) for n in "itv"))
+        array = T.ArrayType(T.DoubleType())
+        extra = [T.StructField(f"{name}_idx", T.IntegerType()), T.StructField(name, label_type or T.DoubleType())] if name else []
+        schema = T.StructType([*extra, *(series.schema[k] for k in keys), T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("t", array), T.StructField("v", array)])
+        arrow, at_chunk = to_arrow_schema(schema), len(keys)
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for r in range(batch.num_rows):
+                    i, t, v = (np.asarray(batch.column(at_chunk + k)[r].values.to_numpy(zero_copy_only=False)) for k in (1, 2, 3))
+                    own = i // chunk == batch.column(at_chunk)[r].as_py()
+                    if not own.any():
+                        continue
+                    for k, (label, rows) in enumerate(kernel(v[None], t).items()):
+                        out.append(([k, label] if name else []) + [batch.column(j)[r].as_py() for j in range(len(keys))] + [i[own], t[own], rows[0][own]])
+                cols = list(zip(*out, strict=True)) if out else [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f) for c, f in zip(cols, arrow.types, strict=True)], names=arrow.names)
+
+        done = series.mapInArrow(run, schema)
+        names = [f.name for f in schema.fields[:-3]]
+        cells = done.select(*names, F.explode(F.arrays_zip("i", "t", "v")).alias("x"))
+        dims = ((name,) if name else ()) + self.dims
+        df = cells.select(*names, F.col("x.i").alias(f"{self.tdim}_idx"), F.col("x.t").alias(self.tdim), F.col("x.v").alias(self.value))
+        return TimeCube(df.select(*(c for d in dims for c in (f"{d}_idx", d)), self.value), dims, self.value, self.attrs, self.axis_attrs, tdim=self.tdim, samplerate=self.samplerate)
+
     # -- time operators
 
     def remove_buffer(self, duration: float | tuple[float, float]) -> TimeCube:
@@ -104,12 +145,15 @@ class TimeCube(Cube):
         mean = F.avg(F.when((t >= base[0]) & (t <= base[1]), v)).over(Window.partitionBy(*self.keys(self.tdim)))
         return self.with_(self.df.withColumn(self.value, v - mean))
 
-    def filtered(self, band, kind: str = "stop", order: int = 4) -> TimeCube:
-        """Zero-phase Butterworth filter."""
+    def filtered(self, band, kind: str = "stop", order: int = 4, chunk: int = CHUNK) -> TimeCube:
+        """Zero-phase Butterworth filter, in chunks whose halo is as long as the filter rings (to 1e-12)."""
+        from ..functions.design import butter
         from ..functions.filters import buttfilt
 
         sr = self.samplerate
-        return self.apply(lambda rows, t: (buttfilt(rows, band, sr, kind, order), t))
+        _, a = butter(order, np.asarray(band, float) / (sr / 2), kind)
+        ring = int(np.ceil(np.log(1e-12) / np.log(min(np.abs(np.roots(a)).max(), 1 - 1e-6))))
+        return self.apply_chunked(lambda rows, t: {None: buttfilt(rows, band, sr, kind, order)}, max(chunk, 4 * ring), ring + 3 * len(a))
 
     def resampled(self, rate: float, pad: bool = False) -> TimeCube:
         """Fourier resampling. The rate asked for is kept; times show the step that rounding gives."""
@@ -129,9 +173,9 @@ class TimeCube(Cube):
 
         return self.apply(lambda rows, t: (decimate(rows, q, order, kind), t[::q]), samplerate=self.samplerate / q)
 
-    def wavelet(self, freqs, widths=5.0, windows=7.0, complete: bool = True, what: str = "power", name: str = "freqs") -> TimeCube:
-        """Power or phase at each frequency by Morlet wavelets, on a new first axis."""
-        from ..functions.wavelets import phase_power
+    def wavelet(self, freqs, widths=5.0, windows=7.0, complete: bool = True, what: str = "power", name: str = "freqs", chunk: int = CHUNK) -> TimeCube:
+        """Power or phase at each frequency by Morlet wavelets, on a new first axis; in chunks with a halo of the longest wavelet."""
+        from ..functions.wavelets import morlet_kernels, phase_power
 
         freqs, sr = [float(f) for f in np.atleast_1d(freqs)], self.samplerate
         if what not in ("power", "phase"):
@@ -139,9 +183,10 @@ class TimeCube(Cube):
 
         def kernel(rows, t):
             phase, power = phase_power(rows, freqs, sr, widths, windows, complete)
-            return {f: (x, t) for f, x in zip(freqs, power if what == "power" else phase, strict=True)}
+            return dict(zip(freqs, power if what == "power" else phase, strict=True))
 
-        return self.apply_named(kernel, name)
+        longest = max(map(len, morlet_kernels(freqs, widths, sr, windows, complete)))
+        return self.apply_chunked(kernel, max(chunk, 2 * longest), longest, name)
 
     def hilbert_amplitude(self, bands: dict[str, tuple[float, float]] | None = None, pad: bool = False, name: str = "freqs") -> TimeCube:
         """Amplitude of the analytic signal in each band, on a new first axis."""

@@ -17,10 +17,10 @@ def filter_isin(v):
     return rows(c.where(c["b"].is_in([1, 4, 9]) & (c["a"] >= 2)))
 
 
-@query("SELECT a, b, c, value FROM cube WHERE c > 10 AND (b < 5 OR b > 15) AND a IN (0, 2, 4)")
+@query("SELECT a, b, c, value FROM cube WHERE c > 4 AND (b < 5 OR b > 15) AND a IN (0, 2, 4)")
 def filter_or(v):
     c = v.cube
-    return rows(c.where((c["c"] > 10) & ((c["b"] < 5) | (c["b"] > 15)) & c["a"].is_in([0, 2, 4])))
+    return rows(c.where((c["c"] > 4) & ((c["b"] < 5) | (c["b"] > 15)) & c["a"].is_in([0, 2, 4])))
 
 
 @query("SELECT a, b, c, value FROM cube WHERE (b < 5) <> (b < 10)")
@@ -64,9 +64,9 @@ def index_newaxis(v):
     return rows(v.cube[None].df.select("a", "b", "c", "value", "newaxis_0"))
 
 
-@query("SELECT a AS a_idx, b AS b_idx, c AS c_idx FROM cube WHERE value <> 0 AND value > 480")
+@query("SELECT a AS a_idx, b AS b_idx, c AS c_idx FROM cube WHERE value <> 0 AND value > 350")
 def nonzero(v):
-    return rows(v.cube.map(lambda x: F.when(x > 480, x).otherwise(0.0)).nonzero())
+    return rows(v.cube.map(lambda x: F.when(x > 350, x).otherwise(0.0)).nonzero())
 
 
 @query("SELECT a, c, t.i::BIGINT AS b_idx, b, value FROM cube JOIN (VALUES (0, 7), (1, 3), (2, 3), (3, 19)) t(i, p) ON b = t.p")
@@ -214,9 +214,9 @@ def local_maxima(v):
     return rows(Cube(v.sig.df, ("ch", "smp")).local_maxima("smp"))
 
 
-@query("SELECT DISTINCT ch, smp + r AS smp_idx FROM sig, range(-3, 3) t(r) WHERE value > 485 AND smp + r >= 0 AND smp + r < (SELECT count(*) // 4 FROM events)")
+@query("SELECT DISTINCT ch, smp + r AS smp_idx FROM sig, range(-3, 3) t(r) WHERE value > 350 AND smp + r >= 0 AND smp + r < (SELECT count(*) // 4 FROM events)")
 def dilate(v):
-    c = Cube(v.sig.df, ("ch", "smp")).map(lambda x: F.when(x > 485, x).otherwise(0.0))
+    c = Cube(v.sig.df, ("ch", "smp")).map(lambda x: F.when(x > 350, x).otherwise(0.0))
     return rows(c.dilate(3, "smp").select("ch", "smp_idx"))
 
 

@@ -146,6 +146,21 @@ def test_wavelet(spark):
         wavelets.phase_power(x[:, :10], [2], 100)
 
 
+def test_chunks_change_nothing(spark):
+    """Runs of a long series with halos give what the whole series gives."""
+    x = np.random.default_rng(3).normal(size=(2, 3000))
+    tc = TimeCube.of(Cube.from_array(spark, x, {"row": [0, 1], "time": np.arange(3000) / 200}), "time", 200)
+    np.testing.assert_allclose(tc.wavelet([10.0, 30.0], chunk=300).to_array(), wavelets.phase_power(x, [10.0, 30.0], 200)[1], atol=1e-9)
+    np.testing.assert_allclose(tc.filtered((20.0, 40.0), "pass", chunk=100).to_array(), filters.buttfilt(x, (20, 40), 200, "pass"), atol=1e-7)
+    plan = tc.wavelet([10.0], chunk=300).df._jdf.queryExecution().executedPlan().toString()
+    assert "__chunk" in plan
+
+
+def test_closed_form():
+    phase, power = wavelets.phase_power_closed(SINES, [5.0, 10.0], 200)
+    assert power.shape == (2, 2, 800) and power[1, 0, 400] > 100 * power[0, 0, 400] and np.abs(phase).max() <= np.pi
+
+
 def test_swt():
     x = np.random.default_rng(0).normal(size=(3, 64))
     np.testing.assert_allclose(wavelets.iswt(wavelets.swt(x, 4)), x, atol=1e-9)
