@@ -64,9 +64,9 @@ def index_newaxis(v):
     return rows(v.cube[None].df.select("a", "b", "c", "value", "newaxis_0"))
 
 
-@query("SELECT a AS a_idx, b AS b_idx, c AS c_idx FROM cube WHERE value <> 0 AND value > 350")
+@query("SELECT a AS a_idx, b AS b_idx, c AS c_idx FROM cube WHERE value <> 0 AND value > 200")
 def nonzero(v):
-    return rows(v.cube.map(lambda x: F.when(x > 350, x).otherwise(0.0)).nonzero())
+    return rows(v.cube.map(lambda x: F.when(x > 200, x).otherwise(0.0)).nonzero())
 
 
 @query("SELECT a, c, t.i::BIGINT AS b_idx, b, value FROM cube JOIN (VALUES (0, 7), (1, 3), (2, 3), (3, 19)) t(i, p) ON b = t.p")
@@ -141,7 +141,7 @@ _reduction("any", "bool_or(value <> 0)")
 _reduction("argmax", "arg_min(b, (-value, b))")
 _reduction("argmin", "arg_min(b, (value, b))")
 _reduction("nanmean", "coalesce(avg(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", cube="holes")
-_reduction("nanvar", "coalesce(var_pop(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", 8, cube="holes")
+_reduction("nanvar", "coalesce(var_pop(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", 5, cube="holes")
 _reduction("nanstd", "coalesce(stddev_pop(value) FILTER (WHERE NOT isnan(value)), 'NaN'::DOUBLE)", 5, cube="holes")
 _reduction("median", "median(value)")
 
@@ -151,9 +151,9 @@ def reduce_prod(v):
     return rows(v.cube.where("b < 4").map(lambda x: x / 100).prod("b"), 9)
 
 
-@query("SELECT a, c, CASE WHEN bool_or(isnan(value)) THEN 'NaN'::DOUBLE ELSE min(value) END AS value FROM holes GROUP BY a, c")
+@query("SELECT a, c, CASE WHEN bool_or(isnan(value)) THEN 'NaN'::DOUBLE ELSE round(min(value), 6) + 0.0 END AS value FROM holes GROUP BY a, c")
 def reduce_min_nan(v):
-    return rows(v.holes.min("b"), 6)
+    return rows(v.holes.min("b"))
 
 
 @query("SELECT a, c, (CASE WHEN bool_or(isnan(value)) THEN min(CASE WHEN isnan(value) THEN b END) ELSE arg_min(b, (-value, b)) END)::BIGINT AS value FROM holes GROUP BY a, c")
@@ -214,9 +214,9 @@ def local_maxima(v):
     return rows(Cube(v.sig.df, ("ch", "smp")).local_maxima("smp"))
 
 
-@query("SELECT DISTINCT ch, smp + r AS smp_idx FROM sig, range(-3, 3) t(r) WHERE value > 350 AND smp + r >= 0 AND smp + r < (SELECT count(*) // 4 FROM events)")
+@query("SELECT DISTINCT ch, smp + r AS smp_idx FROM sig, range(-3, 3) t(r) WHERE value > 200 AND smp + r >= 0 AND smp + r < (SELECT count(*) // 4 FROM events)")
 def dilate(v):
-    c = Cube(v.sig.df, ("ch", "smp")).map(lambda x: F.when(x > 350, x).otherwise(0.0))
+    c = Cube(v.sig.df, ("ch", "smp")).map(lambda x: F.when(x > 200, x).otherwise(0.0))
     return rows(c.dilate(3, "smp").select("ch", "smp_idx"))
 
 

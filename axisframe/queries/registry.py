@@ -18,7 +18,7 @@ VIEWS = {
     "cube": "SELECT event_id % 5 AS a, (event_id // 5) % 20 AS b, event_id // 100 AS c, value FROM events",
     "sig": "SELECT event_id % 4 AS ch, event_id // 4 AS smp, value FROM events",
     "evt": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, value FROM events",
-    "holes": "SELECT event_id % 5 AS a, (event_id // 5) % 20 AS b, event_id // 100 AS c, CASE WHEN value > 450 THEN 'NaN'::DOUBLE ELSE value END AS value FROM events",
+    "holes": "SELECT event_id % 5 AS a, (event_id // 5) % 20 AS b, event_id // 100 AS c, CASE WHEN value > 150 THEN 'NaN'::DOUBLE ELSE value * 0.7310585 END AS value FROM events",
     "onset": "SELECT event_id AS ev, event_id // 4 AS smp FROM events WHERE event_type = 'purchase' AND event_id // 4 >= 20 AND event_id // 4 < (SELECT count(*) // 4 FROM events) - 20",
     "emb": "SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings",
 }
@@ -59,7 +59,7 @@ class Views:
 
     @property
     def holes(self) -> Cube:
-        return self.cube.map(lambda v: F.when(v > 450, F.lit(float("nan"))).otherwise(v))
+        return self.cube.map(lambda v: F.when(v > 150, F.lit(float("nan"))).otherwise(v * 0.7310585))
 
     @property
     def sig(self) -> TimeCube:
