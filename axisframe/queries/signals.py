@@ -219,3 +219,64 @@ def eemd_modes(v):
 @query()
 def instantaneous_frequency(v):
     return rows(v.sig.where("smp < 1000").filtered((8.0, 14.0), "pass").instantaneous().nanmean("smp"), 3)
+
+
+@query("SELECT ch, count(*) AS n, round(sum(value), 2) + 0.0 AS total, round(max(CASE WHEN smp = 3 THEN value END), 6) + 0.0 AS fourth FROM sig GROUP BY ch")
+def series_layout(v):
+    """One row a series: its samples in order in an array."""
+    s = v.sig.to_series("smp")
+    return rows(s.select("ch", F.size("values").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 2).alias("total"), F.element_at("values", 4).alias("fourth")))
+
+
+@query("SELECT ch, (1 << ceil(log2(count(*)))::INT)::BIGINT AS n FROM sig GROUP BY ch")
+def pad_to_pow2(v):
+    from ..functions.filters import pad_to_pow2 as pad
+
+    s = v.sig
+    return rows(s.apply(lambda x, t: (pad(x), t[0] + np.arange(pad(x).shape[-1]))).df.groupBy("ch").agg(F.count("*").alias("n")))
+
+
+@query("""WITH e AS (SELECT ev, smp, ev % 2 AS src FROM onset)
+          SELECT s.ch AS channel, e.ev AS event, r.k + 4 AS time_idx, s.value FROM e, range(-4, 5) r(k) JOIN sig s ON s.smp = e.smp + r.k AND s.ch // 2 = e.src""")
+def epochs_sources(v):
+    """Events of several recordings at once: the source is part of the join's key."""
+    signal = v.signal.withColumn("esrc", F.concat(F.lit("r"), F.expr("channel div 2")))
+    events = v.onsets.withColumn("esrc", F.concat(F.lit("r"), F.col("event") % 2))
+    got = epochs.epochs(events, signal, 200.0, -0.02, 0.02, in_seconds=False)
+    return rows(got.df.select("channel", "event", "time_idx", "value"))
+
+
+@query("SELECT ch AS channel, 2 * count(*) AS n, (2 * count(*) - 1)::BIGINT AS last, round(2 * sum(value), 2) + 0.0 AS total FROM sig GROUP BY ch")
+def signal_store(v):
+    """A recording stored, appended to and read back."""
+    import uuid
+
+    from ..plans.lineage import shared_folder
+    from ..sources.store import SignalStore
+
+    store = SignalStore.create(v.signal, f"{shared_folder(v.spark)}/axisframe/store-{uuid.uuid4().hex}", 200.0)
+    store.append(v.signal)
+    return rows(store.signal().groupBy("channel").agg(F.count("*").alias("n"), F.max("sample").alias("last"), F.sum("value").alias("total")), 2)
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(value) AS n, round(avg(value), 8) + 0.0 AS mean FROM events
+          GROUP BY 1 HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""")
+def stream_bins(v):
+    """Tumbling bins of a stream run to its end: every bin that the watermark has passed."""
+    import uuid
+
+    from ..plans.lineage import shared_folder
+    from ..streaming.signal import binned
+
+    folder = f"{shared_folder(v.spark)}/axisframe/stream-{uuid.uuid4().hex}"
+    live = v.spark.readStream.schema(v.events.schema).parquet(f"{v.sf_dir}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("channel"), "value")
+    out = binned(live, "1 hour", "10 minutes")
+    q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = v.spark.read.schema(out.schema).parquet(f"{folder}/out")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", (F.round("mean", 8) + 0.0).alias("mean"))
+
+
+@query()
+def hilbert_power(v):
+    return v.sig.hilbert_power({"alpha": (9, 14)}).mean("smp").df.select(F.col("freqs").alias("band"), "ch", F.round("value", 2).alias("value"))

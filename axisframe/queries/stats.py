@@ -221,3 +221,10 @@ def segment_correlation(v):
     return rows(decomposition.segment_correlation(c, other.drop("label"), ["c_custkey"], ["label"]))
 
 
+
+
+@query()
+def sensor_edges(v):
+    """Neighbours of a ring of sensors with one in the middle."""
+    places = [(20.0 * i, 1.0 + 0.01 * (i % 3)) for i in range(18)] + [(0.0, 0.05)]
+    return rows(clusters.sensor_neighbors(v.spark, places))
