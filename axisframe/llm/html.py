@@ -139,7 +139,12 @@ def path_features(path: tuple) -> list[str]:
         kinds |= {"main" if n in _WORDS["main"] else "other" for n in names}
         if kinds:
             found.add("inner " + "+".join(sorted(kinds)))
+            if tag in ("header", "footer") and any(t in ("article", "main") for t, _ in path):
+                found.add(f"{tag} of article, own {solid[-1]}")
             break
+    else:
+        found.add("inner none")
+        found.add("inner none, own " + (solid[-1] if solid else "none"))
     return sorted(found)
 
 

@@ -98,7 +98,8 @@ class Maker:
     def article(self) -> str:
         r, out = self.r, []
         if r.random() < 0.85:
-            out.append(self.block(r.choice(["h1", "h1", "h2"]), self.text(2, 14), True))
+            title = self.block(r.choice(["h1", "h1", "h2"]), self.text(2, 14), True)
+            out.append(f"<header>{title}</header>" if r.random() < 0.15 else title)
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             roll = r.random()
             if roll < 0.72:
@@ -130,7 +131,13 @@ class Maker:
         attrs = self.name("main")
         if tag in ("div", "section") and not attrs:
             attrs = f' class="{r.choice(MAIN)}"'
-        body = f"<{tag}{attrs}>{self.article()}</{tag}>"
+        plain = r.random()
+        if plain < 0.1:  # nothing says where the article is
+            body = self.article()
+        elif plain < 0.2:
+            body = f"<{(tag := r.choice(['div', 'section']))}>{self.article()}</{tag}>"
+        else:
+            body = f"<{tag}{attrs}>{self.article()}</{tag}>"
         if r.random() < 0.35:
             body = f'<{r.choice(["main", "div"])} class="{r.choice(["wrapper", "container", "row", "page"])}">{body}' + "</div>" * (r.random() < 0.9)
         foot = self.part("footer") if r.random() < 0.85 else ""

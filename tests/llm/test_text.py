@@ -368,3 +368,17 @@ def test_shard_rows(odd):
     assert sharding.assign_shards(odd.limit(0), "doc_id", ["a"], 11).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<header><h1>Site</h1><nav><a>Home</a></nav></header><div class="cookie-bar">We use cookies <button>OK</button></div><main><h1>Title</h1><p>First words with a <a>link</a> inside.</p><ul><li>one</li><li>two</li></ul></main><aside><h3>Related</h3><ul><li><a>Other</a></li></ul></aside><section id="comments"><h2>Comments</h2><p>I think this is a great article.</p></section><form><label>Name</label><button>Send</button></form><footer><p>2020</p></footer>', "Title First words with a link inside. one two"),
+        ('<div id="nav"><ul><li><a>a</a></li></ul></div><div id="content"><h1>Main heading</h1><p>Body text goes here and is long enough.</p><div class="ad">Buy now!</div><p>More body text follows after it.</p></div><div id="sidebar"><p>About me, text that is longish and looks like more.</p></div><div id="footer">Imprint</div>', "Main heading Body text goes here and is long enough. More body text follows after it."),
+        ("<p>Just a paragraph without anything around it.</p><p>Another one.</p>", "Just a paragraph without anything around it. Another one."),
+        ("<nav>menu</nav><section><h2>News</h2><p>Some paragraph of the section goes on for a while.</p></section><footer>foot</footer>", "News Some paragraph of the section goes on for a while."),
+        ('<div class="notice">Maintenance</div><article class="post"><header><h1>Head</h1></header><p>Para one is here.</p></article><div class="newsletter">Sign up today and get news.</div>', "Head Para one is here."),
+    ],
+)
+def test_layouts(crf, page, text):
+    assert html.main_text(f"<html><body>{page}</body></html>", crf) == text
