@@ -21,30 +21,26 @@ from ..plans.lineage import materialise
 META = ("__keep", "__size", "__last", "__sha", "__pid", "__edge", "__edge_text")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], passed: list[str], id_col: str, tails_only: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> the same rows with their run's last id and size; with ``tails_only`` just each run's last row."""
+def _runs(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
+    """Sorted rows -> their ids with their run's last id and size."""
     import numpy as np
     import pyarrow.compute as pc
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    held: list[pa.RecordBatch] = []  # rows of the open run: without texts, and with tails_only the last one alone
+    held: list[pa.RecordBatch] = []  # rows of the open run, without texts
     held_n, text, emitted = 0, None, False
 
     def finish(rows: pa.RecordBatch, ends, sizes, edges, texts) -> pa.RecordBatch:
         """rows: whole runs that end before ``ends``."""
-        last = np.asarray(ends) - 1
-        if tails_only:
-            rows, each = rows.take(pa.array(last)), np.ones(len(last), np.int64)
-        else:
-            each = np.diff(np.concatenate([[0], ends]))
+        each = np.diff(np.concatenate([[0], ends]))
         which = pa.array(np.repeat(np.arange(len(each)), each))
         tail = np.zeros(rows.num_rows, bool)
         tail[np.cumsum(each) - 1] = True
         ids = rows.column(rows.schema.get_field_index(id_col)).take(pa.array(np.cumsum(each) - 1)).take(which)
         meta = [ids, pa.array(np.asarray(sizes, np.int64)).take(which), pa.array(tail), rows.column(rows.schema.get_field_index("__sha")), pa.array(np.full(rows.num_rows, pid, np.int32)), pa.array(np.asarray(edges, np.int32)).take(which)]
         edge_text = pa.array([texts.get(w) if t else None for w, t in zip(which.to_pylist(), tail, strict=True)] if texts else [None] * rows.num_rows, pa.string())
-        return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in passed), *meta, edge_text], [*passed, *META])
+        return pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(id_col)), *meta, edge_text], [id_col, *META])
 
     def close(final: bool) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -64,7 +60,7 @@ def _runs(batches: Iterator[pa.RecordBatch], passed: list[str], id_col: str, tai
         first = int(at[0]) if len(at) else n
         if first:  # the open run goes on
             part = rows.slice(0, first)
-            held, held_n = [part.slice(first - 1)] if tails_only else [*held, part], held_n + first
+            held, held_n = [*held, part], held_n + first
         if not len(at):
             continue
         if held:
@@ -79,23 +75,26 @@ def _runs(batches: Iterator[pa.RecordBatch], passed: list[str], id_col: str, tai
             yield finish(rows.slice(begin, end - begin), at[1:] - begin, np.diff(at), edges, texts)
             emitted = True
         part = rows.slice(int(at[-1]))
-        held, held_n, text = [part.slice(part.num_rows - 1) if tails_only else part], part.num_rows, words[int(at[-1])].as_py()
+        held, held_n, text = [part], part.num_rows, words[int(at[-1])].as_py()
     if held:
         yield close(final=True)
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, tails_only: bool, prefix: int) -> DataFrame:
-    """``docs`` with (keep, size, kept) of each row's group, as columns of META's names."""
+def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
+    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    Texts are equal when identical; null counts as empty, so nulls and empties form one group. Of equal texts the
+    row with the largest id stays; of rows that repeat that id too, one stays. Null ids sort first: one stays
+    only in a group that has no other. An empty table gives an empty one; other columns are ignored.
+    ``prefix``: characters in the splitter key; the result doesn't depend on it.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    passed = docs.columns if tails_only else [id_col]
-    keyed = docs.select(*passed, text.alias("__text"), F.substring(text, 1, prefix).alias("__prefix"), F.xxhash64(text).alias("__hash"))
+    keyed = docs.select(id_col, text.alias("__text"), F.substring(text, 1, prefix).alias("__prefix"), F.xxhash64(text).alias("__hash"))
     dealt = keyed.repartitionByRange("__prefix", "__hash", id_col).sortWithinPartitions("__prefix", "__hash", "__text", id_col)
     dealt = dealt.withColumn("__sha", F.sha2(F.col("__text").cast("binary"), 256))
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in keyed.schema.fields if f.name in passed]
-        + [T.StructField("__keep", docs.schema[id_col].dataType), T.StructField("__size", T.LongType()), T.StructField("__last", T.BooleanType()), T.StructField("__sha", T.StringType()), T.StructField("__pid", T.IntegerType()), T.StructField("__edge", T.IntegerType()), T.StructField("__edge_text", T.StringType())]
-    )
-    rows = materialise(dealt.mapInArrow(lambda batches: _runs(batches, passed, id_col, tails_only), schema))
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(n, k) for n, k in zip((id_col, *META), (kind, kind, T.LongType(), T.BooleanType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType()), strict=True)])
+    rows = materialise(dealt.mapInArrow(lambda batches: _runs(batches, id_col), schema))
     # at most two rows a partition: is this run the continuation of the one before?
     order = Window.orderBy("__pid", "__edge")
     edges = rows.where(F.col("__edge_text").isNotNull()).select("__pid", "__edge", "__keep", "__size", F.coalesce(F.lag("__edge_text").over(order) == F.col("__edge_text"), F.lit(False)).alias("same")).orderBy("__pid", "__edge").collect()
@@ -107,26 +106,43 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, tails_only: bool, prefi
             chains.append([e])
     mended = [(e["__pid"], e["__edge"], c[-1]["__keep"], sum(x["__size"] for x in c), i == len(c) - 1) for c in chains if len(c) > 1 for i, e in enumerate(c)]
     if mended:
-        kind = docs.schema[id_col].dataType.simpleString()
-        better = docs.sparkSession.createDataFrame(mended, f"__pid int, __edge int, __keep2 {kind}, __size2 long, __tail boolean")
+        better = docs.sparkSession.createDataFrame(mended, f"__pid int, __edge int, __keep2 {kind.simpleString()}, __size2 long, __tail boolean")
         rows = rows.join(F.broadcast(better), ["__pid", "__edge"], "left").withColumns(  # bounded by twice the number of partitions
             {"__keep": F.when(F.col("__tail").isNull(), F.col("__keep")).otherwise(F.col("__keep2")), "__size": F.coalesce("__size2", "__size"), "__last": F.col("__last") & F.coalesce("__tail", F.lit(True))}
         )
-    return rows
+    return rows.select(id_col, F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__last").alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
-def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+def _last_of_runs(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Sorted rows -> the last row of each run of equal texts; one row is held over from batch to batch."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    Texts are equal when identical; null counts as empty, so nulls and empties form one group. Of equal texts the
-    row with the largest id stays; of rows that repeat that id too, one stays. Null ids sort first: one stays
-    only in a group that has no other. An empty table gives an empty one; other columns are ignored.
-    ``prefix``: characters in the splitter key; the result doesn't depend on it.
-    """
-    rows = _groups(docs, id_col, text_col, False, prefix)
-    return rows.select(id_col, F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__last").alias("kept"), F.col("__sha").alias("text_sha256"))
+    held, text = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "")
+        if held is not None and words[0].as_py() != text:
+            yield held
+        ends = np.flatnonzero(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False))
+        if len(ends):
+            yield batch.take(pa.array(ends))
+        held, text = batch.slice(batch.num_rows - 1), words[-1].as_py()
+    if held is not None:
+        yield held
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns, by the rules of :func:`mark_copies`: texts are moved once."""
-    return _groups(docs, id_col, text_col, True, prefix).where("__last").select(*docs.columns)
+    """The rows of ``docs`` that stay, all columns, by the rules of :func:`mark_copies`.
+
+    Each task first sorts and thins out its own rows, so of a text's copies at most one a task is moved, however
+    many there are; then splitters over (first bytes, digest) bring equal texts together.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumns({"__prefix": F.substring(text, 1, prefix), "__hash": F.xxhash64(text)})
+
+    def thin(df: DataFrame) -> DataFrame:
+        return df.sortWithinPartitions("__prefix", "__hash", text, id_col).mapInArrow(lambda batches: _last_of_runs(batches, text_col), rows.schema)
+
+    return thin(thin(rows).repartitionByRange("__prefix", "__hash")).select(*docs.columns)
