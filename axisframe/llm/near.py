@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -190,6 +190,21 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def may_contain(ids: DataFrame, x: Column, bits: int = 23) -> Column:
+    """False for most ``x`` that are not among ``ids``, never for one that is: rows that needn't be moved to the join after it.
+
+    One bit an id in a table of 2**bits, a megabyte whatever the data; with far more ids than bits it lets all pass.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    words = ids.select(F.shiftright(place, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    table = [0] * (1 << bits - 6)
+    for w, b in words.collect():
+        table[w] = b
+    at = F.pmod(F.xxhash64(x), F.lit(1 << bits))
+    packed = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    return F.getbit(F.element_at(packed, F.shiftright(at, 6).cast("int") + 1), (at % 64).cast("int")) == 1
+
+
 def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """For each (rep, centre): ``elements``, by which the multisets differ, and the numbers the search below needs.
 
@@ -288,7 +303,8 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 6
     centres = crowded.groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("centre"))
     placed = materialise(crowded.select("band", "rep").join(centres, "band"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = materialise(texts.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    wanted = placed.select(F.col("rep").alias("id")).distinct()
+    texts = materialise(texts.where(may_contain(wanted, F.col("id"))).join(wanted, "id", "left_semi"))
     pairs = placed.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialise(compare(pairs, texts, width).where(F.col("similarity") >= similarity).select("a", "b"))
     roots = components(links.unionByName(_across(placed, links, texts, similarity, width)))
