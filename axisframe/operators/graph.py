@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialise
+from ..plans.lineage import materialise, scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, write=materialise) -> DataFrame:
     """(id, root) of every node of the edges (a, b): the smallest id of its component.
 
     Each round every node takes the least root among its neighbours' and its own, then the root of that root, so
-    long chains halve. A round is written to the shared folder before the next begins.
+    long chains halve. A round is written to the shared folder before the next begins; the result is written by
+    ``write``, the rounds are deleted.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        step = label.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "other").alias("mid"))
-        jump = label.select(F.col("id").alias("mid"), F.col("root").alias("far"))
-        new = materialise(step.join(jump, "mid").select("id", "old", F.least("mid", "far").alias("root")))
-        label = new.select("id", "root")
-        if new.where(F.col("old") != F.col("root")).isEmpty():
-            return label
+    with scratch(edges.sparkSession) as keep:
+        both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        label = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+        while True:
+            near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+            step = label.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "other").alias("mid"))
+            jump = label.select(F.col("id").alias("mid"), F.col("root").alias("far"))
+            new = keep(step.join(jump, "mid").select("id", "old", F.least("mid", "far").alias("root")))
+            label = new.select("id", "root")
+            if new.where(F.col("old") != F.col("root")).isEmpty():
+                return write(label)
