@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..plans.lineage import materialise
+from ..plans.lineage import materialise, scratch
 from .common import splitmix
 
 U = np.uint64
@@ -241,7 +241,7 @@ def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return joined.select("rep", "centre", "root", "text_a", "text_b").mapInArrow(run, f"rep {kind}, centre {kind}, root {kind}, elements array<long>, cost double, free double, apart boolean")
 
 
-def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, width: int, keep) -> DataFrame:
     """Links between members of one bucket that their links to centres leave in different classes.
 
     Against a common centre C a text X lacks m and adds a shingles; let cost(X) = (1-k) m + k a with
@@ -251,11 +251,11 @@ def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: f
     elements in the order of how rare they are around C, two texts that share t of them share one among the first
     n - t + 1 of each: an exact prefix filter, in which what a family of copies has in common takes no part.
     """
-    roots = components(links)
+    roots = components(links, keep)
     seen = placed.where("rep != centre").select("rep", "centre").distinct()
     seen = seen.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = seen.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("centre")
-    apart = materialise(deltas(seen.join(mixed, "centre"), texts, width, similarity))
+    apart = keep(deltas(seen.join(mixed, "centre"), texts, width, similarity))
     each = apart.select("rep", "centre", F.explode("elements").alias("element"))
     rare = each.groupBy("centre", "element").agg(F.count("*").alias("n")).where("n > 1")
     # where an element stands in its text's order: those of one text alone come first and find nobody
@@ -267,7 +267,7 @@ def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: f
     # how far beyond the centre's reach the nearest text that isn't linked to it is
     beyond = facts.where("apart").groupBy("centre").agg(F.min(F.col("cost") - F.col("free")).alias("gap"))
     # ``behind`` counts the elements from this one on: no more can be shared by texts whose rarest shared element it is
-    ranked = materialise(
+    ranked = keep(
         behind.join(facts, ["rep", "centre"]).join(beyond, "centre")
         .withColumn("near", F.col("behind") >= F.col("cost") + F.greatest("gap", F.lit(0.0)) - least)
         .withColumn("far", F.col("apart") & (F.col("behind") >= F.col("cost") - F.col("free") - least))
@@ -276,9 +276,9 @@ def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: f
     x = ranked.where("far").select("centre", "element", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("cost").alias("ca"), F.col("behind").alias("na"), "free")
     y = ranked.where("near").select("centre", "element", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("cost").alias("cb"), F.col("behind").alias("nb"))
     pairs = x.join(y, ["centre", "element"]).where((F.col("ra") != F.col("rb")) & (F.col("ca") + F.col("cb") - F.col("free") <= F.least("na", "nb") + least))
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return compare(pairs, texts.join(need, "id", "left_semi"), width).where(F.col("similarity") >= similarity).select("a", "b")
+    return keep(compare(pairs, texts.join(need, "id", "left_semi"), width).where(F.col("similarity") >= similarity).select("a", "b"))
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 64, rows_per_band: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,30 +290,31 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 6
     1, id null); rows that repeat an id share the least class id among those of its texts. At similarity s a pair
     shares no bucket with probability (1 - s**r)**(m // r): 3e-7 at 0.8 for the defaults.
     """
-    signed = materialise(sign(docs, id_col, text_col, width, m, rows_per_band))
-    whole = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
-    # equal multisets: one stands for all
-    named = materialise(whole.groupBy("name_a", "name_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
-    entries = named.select("rep", F.explode("bands").alias("band"))
-    crowds = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = materialise(entries.join(crowds, "band"))
-    # a bucket's centre is the member with the most company over all bands: of a family of copies, one close to their origin
-    company = crowded.groupBy("rep").agg(F.sum("n").alias("company"))
-    crowded = crowded.join(company, "rep")
-    centres = crowded.groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("centre"))
-    placed = materialise(crowded.select("band", "rep").join(centres, "band"))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wanted = placed.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(texts.where(may_contain(wanted, F.col("id"))).join(wanted, "id", "left_semi"))
-    pairs = placed.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    links = materialise(compare(pairs, texts, width).where(F.col("similarity") >= similarity).select("a", "b"))
-    roots = components(links.unionByName(_across(placed, links, texts, similarity, width)))
-    whose = whole.select("id", "name_a", "name_b").join(named.select("name_a", "name_b", "rep"), ["name_a", "name_b"]).select("id", "rep")
-    rooted = whose.join(roots.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
-    every = signed.select("id").join(rooted, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    every = materialise(every)
-    # written first, so that the join below has exchanges of its own and one large class can be split over tasks
-    size = materialise(every.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"))
+    with scratch(docs.sparkSession) as keep:
+        signed = keep(sign(docs, id_col, text_col, width, m, rows_per_band))
+        whole = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
+        # equal multisets: one stands for all
+        named = keep(whole.groupBy("name_a", "name_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
+        entries = named.select("rep", F.explode("bands").alias("band"))
+        crowds = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        crowded = keep(entries.join(crowds, "band"))
+        # a bucket's centre is the member with the most company over all bands: of a family of copies, one close to their origin
+        company = crowded.groupBy("rep").agg(F.sum("n").alias("company"))
+        crowded = crowded.join(company, "rep")
+        centres = crowded.groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("centre"))
+        placed = keep(crowded.select("band", "rep").join(centres, "band"))
+        texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        wanted = placed.select(F.col("rep").alias("id")).distinct()
+        texts = keep(texts.where(may_contain(wanted, F.col("id"))).join(wanted, "id", "left_semi"))
+        pairs = placed.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+        links = keep(compare(pairs, texts, width).where(F.col("similarity") >= similarity).select("a", "b"))
+        roots = components(links.unionByName(_across(placed, links, texts, similarity, width, keep)), keep)
+        whose = whole.select("id", "name_a", "name_b").join(named.select("name_a", "name_b", "rep"), ["name_a", "name_b"]).select("id", "rep")
+        rooted = whose.join(roots.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
+        every = signed.select("id").join(rooted, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        every = materialise(every)
+        # written first, so that the join below has exchanges of its own and one large class can be split over tasks
+        size = materialise(every.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"))
     return every.join(size, "class_id", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
