@@ -38,14 +38,15 @@ def splitmix(x):
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
-_KEPT: dict[str, tuple[str, object]] = {}
+_KEPT: dict[tuple[str, str], object] = {}
 
 
 def once_per_process(kind: str, key: str, make):
-    """``make()`` for the first task of a Python worker, then the same object; one of each ``kind`` is kept."""
-    if kind not in _KEPT or _KEPT[kind][0] != key:
-        _KEPT[kind] = (key, make())
-    return _KEPT[kind][1]
+    """``make()`` for the first task of a Python worker, then the same object; the worker keeps the last one only."""
+    if (kind, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind, key] = make()
+    return _KEPT[kind, key]
 
 
 def new_key() -> str:

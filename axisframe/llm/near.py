@@ -34,7 +34,7 @@ GOLD = U(0x9E3779B97F4A7C15)
 class Words(dict):
     """Word -> 64-bit hash, remembered up to a bound."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -160,7 +160,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, m: int, rows_p
             for i, value in enumerate(batch.column(1)):
                 part.append(value.as_py())
                 size += len(part[-1] or "")
-                if size > 1_500_000 or i == batch.num_rows - 1:
+                if size > 500_000 or i == batch.num_rows - 1:
                     got, names = _signed(part, width, m, rows_per_band, words)
                     bands += got
                     a += [n[0] for n in names]
