@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -274,6 +275,7 @@ def main_text(html: str | None, model: Crf) -> str:
     return " ".join(text for (_, text, _), keep in zip(blocks, model.decode(blocks), strict=True) if keep)
 
 
+@cache
 def fit(pages: int = 1000) -> Crf:
     """The model trained on ``pages`` made-up labelled pages; the same on every run."""
     return train(labelled_pages(pages))
