@@ -249,5 +249,8 @@ def test_feature_model(spark):
     p = mixed.p_features(runs).orderBy("feature").toPandas()["p"].to_numpy()
     assert (p[:2] <= 1 / 9 + 1e-9).all() and (p[2:] > 0.1).all()
     assert set(mixed.p_features(runs, ["(Intercept)", "x"], conjunction=True).toPandas()["term"]) == {"(Intercept)&x"}
+    enhanced = mixed.FeatureMixedModel(m.responses, m.predictors, "v ~ x", "(1 | group)", boots=50, use_ranks=True, shape=(2, 3), tfce={"dt": 0.2})
+    t = enhanced.run(2).where("perm = 0 AND kind = 'feature' AND term = 'x'").orderBy("feature").toPandas()["t"].to_numpy()
+    assert len(t) == 6 and np.abs(t[:2]).min() > np.abs(t[3:]).max()
     with pytest.raises(ValueError):
         mixed.FeatureMixedModel(m.responses, m.predictors, "v ~ x", "(1 | group)", most_cells=10)
