@@ -1,9 +1,10 @@
 """License scans by a positional index of rare words.
 
-Every template's words are indexed by position. A file's words that are known to the index are taken from the
-highest IDF (over templates) down; each votes for (template, start of the template in the file) and votes that
-agree in relative position are added up. A start whose votes cover enough of the template's rare words is a
-match if the template's mandatory phrases all stand inside the matched stretch.
+Every template's rarest words by IDF (over templates) are indexed by position. A file's words that are known to the
+index are hits (template, place in the template, start of the template in the file). Hits in the order of both texts
+whose starts move by a few words at most from one to the next form a chain, so words may be put in or left out. A chain
+that covers enough of the weight of the template's rare words is a match if the template's mandatory phrases all stand
+inside the matched stretch.
 """
 
 from __future__ import annotations
@@ -49,9 +50,9 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    def __init__(self, base: dict[str, str], templates, cover: float, rare: int):
+    def __init__(self, base: dict[str, str], templates, cover: float, rare: int, drift: int = 3):
         self.base = [(b" " + p.encode() + b" ", label) for p, label in base.items()]
-        self.cover = cover
+        self.cover, self.drift = cover, drift
         self.templates = []
         df: Counter = Counter()
         parsed = [(label, words_of(text), [words_of(p) for p in musts]) for label, text, musts in templates]
@@ -81,19 +82,38 @@ class Index:
                 at = joined.find(phrase, at + 1)
         labels, best = set(base), 1.0 if base else 0.0
         known = self.known
-        found = [(i, x) for i, x in enumerate(w) if x in known] if not known.isdisjoint(w) else []
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for i, x in found:
-            weight = self.idf[x]
-            for t, k in self.postings[x]:
-                votes[t, i - k] += weight
-        for (t, start), got in votes.items():
-            label, length, full, musts = self.templates[t]
-            if full > 0 and got >= self.cover * full:
-                stretch = b" " + b" ".join(w[max(0, start - 2) : start + length + 3]) + b" "
-                if all(m in stretch for m in musts):
-                    labels.add(label)
-                    best = max(best, min(1.0, got / full))
+        there = known & set(w)
+        most = [0.0] * len(self.templates)
+        for x in there:
+            for t, _ in self.postings[x]:
+                most[t] += self.idf[x]
+        # only templates whose words in the file could cover enough, each counted once
+        open_to = {t for t, (_, _, full, _) in enumerate(self.templates) if full > 0 and most[t] >= self.cover * full - 1e-9}
+        if open_to:
+            near = {x: [(t, k) for t, k in reversed(self.postings[x]) if t in open_to] for x in there}
+            # (template, start): (place in the template, weight, least start) of the best chain that ends there; along one start the later is the better
+            ends: dict[tuple[int, int], list[tuple[int, float, int]]] = defaultdict(list)
+            for i, x in enumerate(w):
+                if x not in near:
+                    continue
+                weight = self.idf[x]
+                for t, k in near[x]:  # from the highest place down: a word of the file stands in a chain once
+                    start = i - k
+                    got, least = 0.0, start
+                    for other in range(start - self.drift, start + self.drift + 1):
+                        for end in reversed(ends.get((t, other), ())):
+                            if end[0] < k:
+                                if end[1] > got:
+                                    got, least = end[1], min(start, end[2])
+                                break
+                    got += weight
+                    ends[t, start].append((k, got, least))
+                    label, length, full, musts = self.templates[t]
+                    if got >= self.cover * full and (label not in labels or got / full > best):
+                        stretch = b" " + b" ".join(w[max(0, least - self.drift) : start + length + self.drift]) + b" "
+                        if all(m in stretch for m in musts):
+                            labels.add(label)
+                            best = max(best, min(1.0, got / full))
         return len(w), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), best
 
 
@@ -101,9 +121,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``.
 
     ``n_base`` counts every place of every base phrase, overlapping ones too; first and last are null if there are
-    none. A match needs ``cover`` of the IDF weight of the template's ``rare`` rarest words at one relative
-    position, so words put in or left out in its midst split its votes. ``score``: 1 with a base phrase, else the
-    best match's share of the weight, else 0. Null texts count as empty: no words, no labels. Templates are a
+    none. A match needs ``cover`` of the IDF weight of the template's ``rare`` rarest words in one chain: in the
+    template's order, each once, with at most 3 words put in or left out between one and the next. Its mandatory
+    phrases must stand unbroken. ``score``: 1 with a base phrase, else the best match's share of the weight, else 0. Null texts count as empty: no words, no labels. Templates are a
     fixed list, not data. Repeated rows are each scanned; other columns are ignored.
     """
     spec = (base or BASE, templates or TEMPLATES, cover, rare)

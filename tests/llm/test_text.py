@@ -200,6 +200,53 @@ def test_templates_find_themselves(label, text, musts):
     assert label not in index.scan(broken)[5].split(",") or musts[0] in " ".join(re.findall(r"\w+", broken))
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice"
+
+
+def test_numbered_bsd():
+    index = licenses.Index(licenses.BASE, licenses.TEMPLATES, 0.7, 24)
+    assert index.scan(BSD)[5:] == ("bsd-text", 1.0)
+
+
+@pytest.mark.parametrize("label", ["mit-text", "bsd-text"])
+def test_words_put_in_and_left_out(label):
+    """A word put in or left out at any place, mandatory phrases aside, leaves the label."""
+    index = licenses.Index(licenses.BASE, licenses.TEMPLATES, 0.7, 24)
+    w, musts = next((licenses.words_of(t), [licenses.words_of(m) for m in musts]) for x, t, musts in licenses.TEMPLATES if x == label)
+    fixed = {i + j for m in musts for i in range(len(w)) if w[i : i + len(m)] == m for j in range(len(m))}
+    inside = {i + j for m in musts for i in range(len(w)) if w[i : i + len(m)] == m for j in range(1, len(m))}
+    scan = lambda words: index.scan("x y z " + b" ".join(words).decode() + " x y z")[5].split(",")
+    for i in range(len(w) + 1):
+        for n in (1, 3):
+            assert (label in scan(w[:i] + [b"extra"] * n + w[i:])) == (i not in inside), (i, n)
+        if i < len(w) and i not in fixed:
+            assert label in scan(w[:i] + w[i + 1 :]), i
+    # a number or comment mark before every tenth word, all phrases whole
+    assert label in scan([y for i, x in enumerate(w) for y in ([b"dnl"] if i % 10 == 9 and i not in inside else []) + [x]])
+    # words of the text in another order are no match
+    assert label not in scan(w[::-1])
+
+
+def test_chains_equal_brute_force():
+    """The weight of the best chain of each template, against all pairs of hits."""
+    rng = np.random.default_rng(5)
+    templates = [("one", "a b c d a e f b g", ()), ("two", "c c a b h i", ())]
+    index = licenses.Index({}, templates, 0.5, 24)
+    for _ in range(300):
+        w = [b"abcdefghiz"[j : j + 1] for j in rng.integers(0, 10, rng.integers(0, 25))]
+        want, score = set(), 0.0
+        for t, (label, _, full, _) in enumerate(index.templates):
+            hits = [(i, k, index.idf[x]) for i, x in enumerate(w) for u, k in index.postings.get(x, ()) if u == t]
+            got = []
+            for i, k, weight in hits:
+                got.append(weight + max((g for (h, j, _), g in zip(hits, got) if h < i and j < k and abs((i - k) - (h - j)) <= 3), default=0.0))
+            if max(got, default=0.0) >= 0.5 * full:
+                want.add(label)
+                score = max(score, min(1.0, max(got) / full))
+        labels, best = index.scan(b" ".join(w).decode())[5:]
+        assert labels == ",".join(sorted(want)) and best == pytest.approx(score)
+
+
 # -- leaks
 
 
