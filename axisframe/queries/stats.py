@@ -46,6 +46,14 @@ def pval_histogram(v):
     return rows(got.select("smp", "p"), 9)
 
 
+@query()
+def pval_histogram_whole(v):
+    """Every sample; the SQL of ``pval_histogram`` compares all with all, so it stops at a prefix."""
+    s = v.sig.df.withColumn("value", F.col("value") - 100)
+    got = clusters.pval_from_histogram(s.where("ch = 0").select("smp", "value"), s.where("ch = 1").select("value"))
+    return rows(got.select("smp", "p"), 9)
+
+
 _RUNS = """WITH i AS (SELECT ch, smp, value, smp - row_number() OVER (PARTITION BY ch ORDER BY smp) AS g FROM sig WHERE value >= 60)
            SELECT ch, min(smp) AS first, max(smp) AS last, count(*) AS size, round(sum(value), 4) + 0.0 AS sum FROM i GROUP BY ch, g"""
 
@@ -88,9 +96,16 @@ def tfce_1d(v):
     return rows(c.tfce_runs("smp", dt=0.25, tail=1, lo=0.25), 4)
 
 
+@query()
+def tfce_1d_whole(v):
+    """Every sample of every channel."""
+    c = Cube(v.sig.df, ("ch", "smp")).map(lambda x: x / 100)
+    return rows(c.tfce_runs("smp", dt=0.25, tail=1, lo=0.25), 4)
+
+
 @query()
 def tfce_2d(v):
-    c = v.cube.where("c < 20").map(lambda x: x / 50)
+    c = v.cube.map(lambda x: x / 50)
     return rows(clusters.tfce(c, ["a", "b"], (5, 20), dt=0.25, tail=1).sum("b"), 3)
 
 
@@ -102,7 +117,17 @@ _ORDER = "CASE WHEN k = 0 THEN i ELSE (i * 2654435761 + k * 40503 * (i % 97 + 1)
            deal AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY {_ORDER}, i) AS r FROM d, k)
            SELECT k AS perm, round(avg(value) FILTER (WHERE x) - avg(value) FILTER (WHERE NOT x), 6) + 0.0 AS diff FROM place JOIN deal USING (k, r) GROUP BY k""")
 def perm_means(v):
-    d = v.sig.df.where("ch = 0 AND smp < 500").select(F.col("smp").alias("i"), (F.col("smp") % 2 == 0).alias("x"), "value")
+    return _perm_means(v.sig.df.where("ch = 0 AND smp < 500"))
+
+
+@query()
+def perm_means_whole(v):
+    """Every sample of the channel."""
+    return _perm_means(v.sig.df.where("ch = 0"))
+
+
+def _perm_means(sig):
+    d = sig.select(F.col("smp").alias("i"), (F.col("smp") % 2 == 0).alias("x"), "value")
     perms = statistics.permutations(d, "i", None, 50)
     dealt = perms.join(d.select("i", "x"), "i").join(d.select(F.col("i").alias("source"), "value"), "source")
     return rows(dealt.groupBy("perm").agg((F.avg(F.when(F.col("x"), F.col("value"))) - F.avg(F.when(~F.col("x"), F.col("value")))).alias("diff")))
@@ -117,9 +142,16 @@ def perm_groups(v):
     return rows(statistics.permutations(d, "i", "g", 5))
 
 
+@query()
+def perm_groups_whole(v):
+    """Every event."""
+    d = v.events.select(F.col("event_id").alias("i"), F.col("user_id").alias("g"))
+    return rows(statistics.permutations(d, "i", "g", 5))
+
+
 @query()
 def permutation_test(v):
-    d = v.sig.df.where("smp < 300").select("ch", F.col("smp").alias("i"), (F.col("smp") % 2 == 0).alias("x"), "value")
+    d = v.sig.df.select("ch", F.col("smp").alias("i"), (F.col("smp") % 2 == 0).alias("x"), "value")
     return rows(statistics.permutation_test(d, "i", "value", "x", ["ch"], 30), 5)
 
 
@@ -178,7 +210,7 @@ def ica_sources(v):
 
 @query()
 def wica_clean(v):
-    s = v.sig.df.where("smp < 1200").select(F.col("ch").alias("channel"), F.col("smp").alias("sample"), F.col("value") + F.when((F.col("ch") < 2) & F.col("smp").between(500, 520), 5000.0).otherwise(0.0))
+    s = v.sig.df.select(F.col("ch").alias("channel"), F.col("smp").alias("sample"), F.col("value") + F.when((F.col("ch") < 2) & F.col("smp").between(500, 520), 5000.0).otherwise(0.0))
     s = s.toDF("channel", "sample", "value")
     got = decomposition.remove_artifacts(s, 200.0, (0, 1), 0.3, ar_max=4)
     return rows(got.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 1).alias("sd")), 1)
@@ -193,7 +225,7 @@ def find_blinks(v):
 def _study(v):
     """Groups of observations with two predictors and a small map of responses, all from the events."""
     i = F.col("event_id")
-    e = v.events.where("event_id < 1200").select((i % 6).cast("string").alias("group"), F.expr("event_id div 6").alias("obs"), "value")
+    e = v.events.select((i % 6).cast("string").alias("group"), F.expr("event_id div 6").alias("obs"), "value")
     pred = e.select("group", "obs", ((F.col("obs") * 37 % 101) / 101.0).alias("x"), F.when(F.col("obs") % 2 == 0, "lo").otherwise("hi").alias("cond"))
     noise = v.events.select(F.expr("event_id * 31 % 997").alias("n"))
     resp = pred.crossJoin(v.spark.range(8).withColumnRenamed("id", "feature")).select("group", "obs", F.col("feature").cast("int").alias("feature"), (F.when(F.col("feature") < 3, F.col("x")).otherwise(0.0) + F.sin(F.col("obs") * 12.9898 + F.col("feature") * 78.233 + F.col("group").cast("int") * 3.7) * 0.5).alias("value"))
