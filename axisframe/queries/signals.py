@@ -125,6 +125,12 @@ def fft_resample(v):
     return rows(got.df.select("ch", "smp_idx", "value"), 5)
 
 
+@query()
+def fft_resample_whole(v):
+    """Every sample; the SQL of ``fft_resample`` pairs all with all, so it stops at a prefix."""
+    return rows(v.sig.resampled(50.0).df.select("ch", "smp_idx", "value"), 5)
+
+
 @query("SELECT ch, smp, round((l - avg(l) OVER w) / stddev_samp(l) OVER w, 5) + 0.0 AS value FROM (SELECT ch, smp, log10(CASE WHEN value - 5 <= 0 THEN 2.220446049250313e-16 ELSE value - 5 END) AS l FROM sig) WINDOW w AS (PARTITION BY ch)")
 def log_power_z(v):
     from pyspark.sql import Window
@@ -138,8 +144,19 @@ def log_power_z(v):
 @query("""WITH p AS (SELECT smp * 1.0 AS beh, smp * 0.005 + 12.25 + (smp % 3) * 0.0001 AS eeg FROM sig WHERE ch = 0 AND smp < 200)
           SELECT round(regr_slope(eeg, beh), 8) + 0.0 AS slope, round(regr_intercept(eeg, beh), 6) + 0.0 AS intercept FROM p""")
 def pulse_align_fit(v):
+    return _pulse_fit(v, v.sig.df.where("ch = 0 AND smp < 200"))
+
+
+@query("""WITH p AS (SELECT smp * 1.0 AS beh, smp * 0.005 + 12.25 + (smp % 3) * 0.0001 AS eeg FROM sig WHERE ch = 0)
+          SELECT round(regr_slope(eeg, beh), 8) + 0.0 AS slope, round(regr_intercept(eeg, beh), 6) + 0.0 AS intercept FROM p""")
+def pulse_align_fit_whole(v):
+    """Every sample of the channel."""
+    return _pulse_fit(v, v.sig.df.where("ch = 0"))
+
+
+def _pulse_fit(v, sig):
     smp = F.col("smp").cast("double")
-    pairs = v.sig.df.where("ch = 0 AND smp < 200").select(smp.alias("beh"), (smp * 0.005 + 12.25 + (F.col("smp") % 3) * 0.0001).alias("eeg"))
+    pairs = sig.select(smp.alias("beh"), (smp * 0.005 + 12.25 + (F.col("smp") % 3) * 0.0001).alias("eeg"))
     slope, intercept = align.fit_line(pairs)
     return v.spark.createDataFrame([(round(slope, 8), round(intercept, 6))], "slope double, intercept double")
 
@@ -204,21 +221,39 @@ def swt_roundtrip(v):
     return rows(v.sig.where("smp < 128").apply(lambda x, t: (iswt(swt(x, 5)), t)).sum("smp"), 2)
 
 
+@query("SELECT ch, smp, round(value, 5) + 0.0 AS value FROM sig")
+def swt_roundtrip_whole(v):
+    """Every sample as it comes back; a length that is no multiple of 2**5 is padded with the last sample, and cut back."""
+    from ..functions.wavelets import iswt, swt
+
+    def kernel(x, t):
+        n = x.shape[-1]
+        return iswt(swt(np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, -n % 32)], "edge"), 5))[..., :n], t
+
+    return rows(v.sig.apply(kernel), 5)
+
+
 @query("SELECT ch, smp, round(value, 5) + 0.0 AS value FROM sig WHERE smp < 400")
 def emd_sum(v):
     """Modes and residue add up to the signal."""
     return rows(v.sig.where("smp < 400").emd().sum("mode"), 5)
 
 
+@query("SELECT ch, smp, round(value, 5) + 0.0 AS value FROM sig")
+def emd_sum_whole(v):
+    """Modes and residue of every sample."""
+    return rows(v.sig.emd().sum("mode"), 5)
+
+
 @query()
 def eemd_modes(v):
-    got = v.sig.where("smp < 128").eemd(num_ensembles=8, num_sifts=4)
+    got = v.sig.eemd()
     return rows(Cube(got.df, got.dims).std("smp"), 3)
 
 
 @query()
 def instantaneous_frequency(v):
-    return rows(v.sig.where("smp < 1000").filtered((8.0, 14.0), "pass").instantaneous().nanmean("smp"), 3)
+    return rows(v.sig.filtered((8.0, 14.0), "pass").instantaneous().nanmean("smp"), 3)
 
 
 @query("SELECT ch, count(*) AS n, round(sum(value), 2) + 0.0 AS total, round(max(CASE WHEN smp = 3 THEN value END), 6) + 0.0 AS fourth FROM sig GROUP BY ch")

@@ -97,3 +97,45 @@ def test_study_has_every_event(spark, events):
     f = fit[fit["feature"] == 0].set_index("term")["beta"]
     assert x.shape[0] == len(r)
     np.testing.assert_allclose([f["x"], f["condlo"]], want[1:], atol=5e-3)
+
+
+# -- signals
+
+
+def table_of(g, value="value", at="smp"):
+    return g.pivot(index=at, columns="ch", values=value).to_numpy()
+
+
+def test_fft_resample_whole(spark, sig):
+    n, m = len(sig), len(sig) // 4
+    assert n % 4 == 0 and m % 2  # no term at half the rate
+    want = np.fft.irfft(np.fft.rfft(sig, axis=0)[: m // 2 + 1], m, axis=0) * m / n
+    np.testing.assert_allclose(table_of(got(spark, "fft_resample_whole"), at="smp_idx"), want, atol=2e-5)
+
+
+def test_pulse_align_fit_whole(spark, sig):
+    beh = np.arange(len(sig), dtype=float)
+    slope, intercept = np.polyfit(beh, beh * 0.005 + 12.25 + (beh % 3) * 0.0001, 1)
+    g = got(spark, "pulse_align_fit_whole")
+    assert g["slope"][0] == pytest.approx(slope, abs=2e-8) and g["intercept"][0] == pytest.approx(intercept, abs=2e-6)
+
+
+@pytest.mark.parametrize("name", ["swt_roundtrip_whole", "emd_sum_whole"])
+def test_what_comes_back_is_the_signal(spark, sig, name):
+    np.testing.assert_allclose(table_of(got(spark, name)), sig, atol=2e-5)
+
+
+def test_instantaneous_frequency_sees_every_sample(spark):
+    from axisframe.functions.emd import instantaneous
+    from axisframe.queries.registry import Views
+
+    x = table_of(Views(spark, LONG).sig.filtered((8.0, 14.0), "pass").df.select("ch", "smp", "value").toPandas())
+    want = np.nanmean(instantaneous(np.ascontiguousarray(x.T), 200.0)[0], axis=1)
+    np.testing.assert_allclose(got(spark, "instantaneous_frequency").sort_values("ch")["value"], want, atol=2e-3)
+
+
+def test_eemd_sees_every_sample(spark, sig):
+    g = got(spark, "eemd_modes")
+    # the mean noisy input, int(log2 n) - 1 modes, the residue
+    assert len(g) == 4 * (int(np.log2(len(sig))) - 1 + 2)
+    np.testing.assert_allclose(g[g["mode"] == 0].sort_values("ch")["value"], sig.std(axis=0), rtol=5e-3)
