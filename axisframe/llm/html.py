@@ -32,6 +32,8 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 NAMES = frozenset(w for group in (MAIN, *ASIDE.values()) for name in group for w in name.split("-"))
 ROOT = ("html", "body")
+# The tags that can stand in a head; any other ends one that is open.
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes head html".split())
 
 
 def words_of_names(attrs: str) -> tuple[str, ...]:
@@ -58,6 +60,8 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, float]]:
 
     def add(raw: str):
         nonlocal path, linked
+        if quiet and stack[-1][0] == "head" and raw.strip():
+            leave_head()
         if quiet or not raw:
             return
         text = unescape(raw) if "&" in raw else raw
@@ -67,6 +71,12 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, float]]:
         if any(t == "a" for t, _ in stack):
             linked += len(text)
 
+    def leave_head():
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "head":
+                pop(k)
+                break
+
     def pop(k: int):
         nonlocal quiet
         for t, _ in stack[k:]:
@@ -94,6 +104,8 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, float]]:
                     pop(k)
                     break
             continue
+        if quiet and tag not in IN_HEAD:
+            leave_head()
         if tag in VOID:
             continue
         if tag in RAW:
@@ -286,7 +298,7 @@ def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str
 
     Null html counts as empty. Blocks keep the page's order and are joined by one space; white space (any Unicode
     white space) inside a block becomes one space. Character references are decoded. Malformed markup is read as far
-    as it goes: unclosed tags end with the page, an unclosed comment or script hides the rest. Pages of any length are
+    as it goes: unclosed tags end with the page, a head at the first tag or text that can't stand in it, an unclosed comment or script hides the rest. Pages of any length are
     read whole. Repeated rows are each read; other columns are ignored.
     """
     weights = pages.sparkSession.sparkContext.broadcast((model.weights, model.transitions))

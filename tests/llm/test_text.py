@@ -372,6 +372,16 @@ def test_page_rows(spark, crf):
     assert html.extract(df, crf).count() == 5 and html.extract(df.limit(0), crf).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<body>", "<BODY class=x>", "<p>", "<div>", "</head><body>", "", "<script>a</script><body>"])
+def test_head_without_its_end(crf, start):
+    """</head> can be left out: <body>, text and any tag of the body end it."""
+    page = f"<html><head><meta charset=utf-8><title>x</title><link rel=a href=b><style>p {{}}</style>{start}<article><p>text of the page.</p><p>More of it.</p></article>"
+    assert [t for _, t, _ in html.leaf_blocks(page)] == ["text of the page.", "More of it."]
+    assert html.main_text(page, crf) == "text of the page. More of it."
+    assert [t for _, t, _ in html.leaf_blocks("<html><head><title>x</title><body><p>text</p>")] == ["text"]
+    assert [t for _, t, _ in html.leaf_blocks("<head><title>x</title> \n bare &amp; plain <b>text</b>")] == ["bare & plain text"]
+
+
 # -- shards
 
 
