@@ -87,6 +87,19 @@ def cluster_sums(v):
     return rows(clusters.find_clusters(cells, edges, 40.0, 1)[1], 4)
 
 
+@query("""WITH RECURSIVE g AS (SELECT c * 100 + b * 5 + a AS cell, a, b, c, value FROM cube WHERE value >= 40),
+          e AS (SELECT x.cell AS p, y.cell AS q FROM g x JOIN g y ON x.c = y.c AND abs(x.a - y.a) + abs(x.b - y.b) = 1),
+          r AS (SELECT cell, cell AS root FROM g UNION SELECT e.q, r.root FROM r JOIN e ON e.p = r.cell),
+          m AS (SELECT cell, min(root) AS cluster FROM r GROUP BY cell)
+          SELECT cluster, count(*) AS size, round(sum(value), 4) + 0.0 AS sum FROM m JOIN g USING (cell) GROUP BY cluster""")
+def cluster_sums_whole(v):
+    """Every map of the cube: c is a third axis without edges."""
+    cells = v.cube.df.select((F.col("c") * 100 + F.col("b") * 5 + F.col("a")).alias("cell"), "value")
+    maps = v.cube.df.agg(F.max("c")).first()[0] + 1
+    edges = clusters.grid_edges([(clusters.neighbors_1d(v.spark, 1), maps), (clusters.neighbors_1d(v.spark, 20), 20), (clusters.neighbors_1d(v.spark, 5), 5)])
+    return rows(clusters.find_clusters(cells, edges, 40.0, 1)[1], 4)
+
+
 @query("""WITH s AS (SELECT ch, smp, value / 100 AS x FROM sig WHERE smp < 500), t AS (SELECT k, 0.25 + k * 0.25 AS h FROM range(20) r(k)),
           i AS (SELECT ch, smp, k, h, smp - row_number() OVER (PARTITION BY ch, k ORDER BY smp) AS g FROM s JOIN t ON x >= h),
           w AS (SELECT ch, smp, h, count(*) OVER (PARTITION BY ch, k, g) AS n FROM i)

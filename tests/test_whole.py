@@ -139,3 +139,45 @@ def test_eemd_sees_every_sample(spark, sig):
     # the mean noisy input, int(log2 n) - 1 modes, the residue
     assert len(g) == 4 * (int(np.log2(len(sig))) - 1 + 2)
     np.testing.assert_allclose(g[g["mode"] == 0].sort_values("ch")["value"], sig.std(axis=0), rtol=5e-3)
+
+
+# -- cubes
+
+
+@pytest.fixture(scope="module")
+def cube(events):
+    """(c, b, a)"""
+    return events["value"].to_numpy().reshape(-1, 20, 5)
+
+
+def test_products_whole(spark, cube):
+    want = np.cumprod(cube / 1000 + 0.95, axis=1)
+    g = got(spark, "cumprod_whole").sort_values(["c", "b", "a"])
+    np.testing.assert_allclose(g["value"].to_numpy().reshape(cube.shape), want, atol=2e-9)
+    g = got(spark, "reduce_prod_whole").sort_values(["c", "a"])
+    np.testing.assert_allclose(g["value"].to_numpy().reshape(-1, 5), want[:, -1], atol=2e-9)
+
+
+def test_add_dim_whole(spark, cube):
+    g = got(spark, "add_dim_whole").sort_values(["rep", "c", "b", "a"])
+    np.testing.assert_allclose(g["value"].to_numpy().reshape(3, *cube.shape), np.stack([cube] * 3), atol=1e-6)
+
+
+def test_cluster_sums_whole(spark, cube):
+    flat, want, seen = cube.ravel(), {}, set()
+    for start in np.flatnonzero(flat >= 40).tolist():
+        if start in seen:
+            continue
+        seen.add(start)
+        members = [start]
+        for cell in members:  # grows as neighbours are found
+            c, b, a = np.unravel_index(cell, cube.shape)
+            for y, x in ((b - 1, a), (b + 1, a), (b, a - 1), (b, a + 1)):
+                n = int(c * 100 + y * 5 + x)
+                if 0 <= y < 20 and 0 <= x < 5 and flat[n] >= 40 and n not in seen:
+                    seen.add(n)
+                    members.append(n)
+        want[start] = (len(members), flat[members].sum())
+    g = got(spark, "cluster_sums_whole").set_index("cluster")
+    assert g["size"].to_dict() == {k: n for k, (n, _) in want.items()}
+    np.testing.assert_allclose([g["sum"][k] for k in want], [s for _, s in want.values()], atol=1e-3)
