@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,15 +20,24 @@ def held_out(doc_id: Column) -> Column:
 def sample_rows(df: DataFrame, key: str, group: str, per_group: int) -> DataFrame:
     """About ``per_group`` rows of each value of ``group``, chosen by a hash of ``key``: the same on every run.
 
-    Only ``group`` is counted to find the fractions. Null groups are left out.
+    Only ``group`` is counted to find the fractions. Null groups are left out. The table of fractions has a row a
+    group; Spark joins it by broadcast where its size, which it knows, allows, else by a shuffle.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
-    spread = 1 << 30
-    keep = F.lit(False)
-    for value, n in counts.items():
-        edge = spread if n <= per_group else int(spread * per_group / n)
-        keep = keep | ((F.col(group) == F.lit(value)) & (F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < edge))
-    return df.where(F.col(group).isNotNull() & keep)
+    spark, spread = df.sparkSession, 1 << 30
+    kind = df.schema[group].dataType.simpleString()
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().collect()
+    edges = [(r[0], spread if r[1] <= per_group else int(spread * per_group / r[1])) for r in counts]
+    name = fresh("edge", df.columns)
+    edge = spark.createDataFrame(edges, f"`{group}` {kind}, `{name}` long")
+    return df.join(edge, group).where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < F.col(name)).select(*df.columns)
+
+
+def fresh(name: str, taken) -> str:
+    """``name``, with as many underscores before it as it takes to differ from the names that are taken (case aside)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def splitmix(x):
@@ -38,6 +48,7 @@ def splitmix(x):
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
+
 _KEPT: dict[tuple[str, str], object] = {}
 
 
