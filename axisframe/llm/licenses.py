@@ -1,10 +1,12 @@
 """License scans by a positional index of rare words.
 
-Every template's rarest words by IDF (over templates) are indexed by position. A file's words that are known to the
-index are hits (template, place in the template, start of the template in the file). Hits in the order of both texts
-whose starts move by a few words at most from one to the next form a chain, so words may be put in or left out. A chain
-that covers enough of the weight of the template's rare words is a match if the template's mandatory phrases all stand
-inside the matched stretch.
+Every template's rarest words by IDF (over templates) are indexed by position. A template that is to be covered must
+have one of its highest-IDF words in the file, those that weigh more than it may lack; so a file's licence words are
+looked up from the highest IDF down, and templates none of whose key words are there are never touched. For the others
+the words' places are intersected by relative position: hits (template, place in the template, start of the template in
+the file) in the order of both texts whose starts move by a few words at most from one to the next form a chain, so
+words may be put in or left out. A chain that covers enough of the weight of the template's rare words is a match if
+the template's mandatory phrases all stand inside the matched stretch.
 """
 
 from __future__ import annotations
@@ -38,6 +40,18 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("unencumbered software released into the public domain",)),
+    ("gpl-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("gnu general public license", "free software foundation")),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu affero general public license",)),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("endorse or promote products derived from this software",)),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ("alter it and redistribute it freely",)),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software", ("any person or organization obtaining a copy",)),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", ("boost software license",)),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", ("without a written agreement",)),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license",)),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", ("changing it is allowed",)),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1", ("sil open font license",)),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ("creative commons attribution noderivatives",)),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial",)),
     ("mit-line", "Released under the MIT License", ("mit license",)),
 ]
 
@@ -60,37 +74,62 @@ class Index:
             df.update(set(w))
         self.idf = {w: math.log((1 + len(parsed)) / n) for w, n in df.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.keys: dict[bytes, list[int]] = defaultdict(list)
         for t, (label, w, musts) in enumerate(parsed):
             # the template's rarest words by IDF carry it; ties by place
             chosen = sorted(range(len(w)), key=lambda i: (-self.idf[w[i]], i))[:rare]
+            full = 0.0
             for i in sorted(chosen):
                 self.postings[w[i]].append((t, i))
-            self.templates.append((label, len(w), sum(self.idf[w[i]] for i in chosen), [b" " + b" ".join(m) + b" " for m in musts]))
-        self.known = self.postings.keys()
-
-    def scan(self, text: str):
-        w = words_of(text)
-        joined = b" " + b" ".join(w) + b" "
-        n, first, last, base = 0, None, None, set()
+                full += self.idf[w[i]]  # in the order in which a chain adds it up
+            self.templates.append((label, len(w), full, [b" " + b" ".join(m) + b" " for m in musts]))
+            # its key words: without all of them what is left covers too little
+            weight: Counter = Counter()
+            for i in chosen:
+                weight[w[i]] += self.idf[w[i]]
+            spare = (1 - cover) * full + 1e-9
+            for x in sorted(weight, key=lambda x: (-self.idf[x], x)):
+                if spare < 0:
+                    break
+                self.keys[x].append(t)
+                spare -= weight[x]
+        self.lookup = sorted(self.keys, key=lambda x: (-self.idf[x], x))  # the order in which a file's words are looked up
+
+    def bases(self, joined: bytes) -> tuple[int, int | None, int | None, set[str]]:
+        """Places of base phrases: how many, the first and last word, labels. Spaces are counted once for each phrase."""
+        n, first, last, found = 0, None, None, set()
         for phrase, label in self.base:
-            at = joined.find(phrase)
+            at, counted, place = joined.find(phrase), 0, 0
             while at >= 0:
-                place = joined.count(b" ", 0, at)
+                place += joined.count(b" ", counted, at)
+                counted = at
                 first, last = place if first is None else min(first, place), place if last is None else max(last, place)
                 n += 1
-                base.add(label)
+                found.add(label)
                 at = joined.find(phrase, at + 1)
-        labels, best = set(base), 1.0 if base else 0.0
-        known = self.known
-        there = known & set(w)
-        most = [0.0] * len(self.templates)
-        for x in there:
+        return n, first, last, found
+
+    def candidates(self, there: set[bytes]) -> set[int]:
+        """Templates that a file of these words may hold: found by their key words, weighed by all they share."""
+        found: set[int] = set()
+        for x in self.lookup:
+            if x in there:
+                found.update(self.keys[x])
+        weight = [0.0] * len(self.templates)
+        for x in there & self.postings.keys() if found else ():
             for t, _ in self.postings[x]:
-                most[t] += self.idf[x]
-        # only templates whose words in the file could cover enough, each counted once
-        open_to = {t for t, (_, _, full, _) in enumerate(self.templates) if full > 0 and most[t] >= self.cover * full - 1e-9}
+                weight[t] += self.idf[x]
+        return {t for t in found if self.templates[t][2] > 0 and weight[t] >= self.cover * self.templates[t][2] - 1e-9}
+
+    def scan(self, text: str):
+        w = words_of(text)
+        joined = b" " + b" ".join(w) + b" "
+        n, first, last, base = self.bases(joined)
+        labels, best = set(base), 1.0 if base else 0.0
+        there = set(w)
+        open_to = self.candidates(there)
         if open_to:
-            near = {x: [(t, k) for t, k in reversed(self.postings[x]) if t in open_to] for x in there}
+            near = {x: [(t, k) for t, k in reversed(self.postings[x]) if t in open_to] for x in there & self.postings.keys()}
             # (template, start): (place in the template, weight, least start) of the best chain that ends there; along one start the later is the better
             ends: dict[tuple[int, int], list[tuple[int, float, int]]] = defaultdict(list)
             for i, x in enumerate(w):
@@ -123,8 +162,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``n_base`` counts every place of every base phrase, overlapping ones too; first and last are null if there are
     none. A match needs ``cover`` of the IDF weight of the template's ``rare`` rarest words in one chain: in the
     template's order, each once, with at most 3 words put in or left out between one and the next. Its mandatory
-    phrases must stand unbroken. ``score``: 1 with a base phrase, else the best match's share of the weight, else 0. Null texts count as empty: no words, no labels. Templates are a
-    fixed list, not data. Repeated rows are each scanned; other columns are ignored.
+    phrases must stand unbroken. ``score``: 1 with a base phrase, else the best match's share of the weight, else 0.
+    Null texts count as empty: no words, no labels. Time is linear in the text. Templates are a fixed list, not data.
+    Repeated rows are each scanned; other columns are ignored; an empty table gives an empty one.
     """
     spec = (base or BASE, templates or TEMPLATES, cover, rare)
     key = new_key()
