@@ -34,7 +34,8 @@ class Maker:
         self.r = random.Random(seed)
         parts = ["".join(self.r.choice(c) for c in ("bcdfghlmnprstvz", "aeiouäéíöü", ["", "n", "r", "s", "l", "t"])) for _ in range(70)]
         self.words = ["".join(self.r.choices(parts, k=self.r.choice([1, 1, 2, 2, 3]))) for _ in range(400)]
-        self.blocks: list[bool] = []
+        self.mute = self.r.random() < 0.3  # no name on this page says anything
+        self.claimed = False  # whether a tag or a name says where the article is
 
     def text(self, low: int, high: int) -> str:
         r, out = self.r, []
@@ -68,13 +69,20 @@ class Maker:
         names = MAIN if kind == "main" else ASIDE[kind]
         if self.r.random() < 0.2:
             return ""
-        return f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(names)}"'
+        name = self.odd_name() if self.mute else self.r.choice(names)
+        return f' {self.r.choice(["class", "class", "id"])}="{name}"'
+
+    def odd_name(self) -> str:
+        """A name that nothing can be known from."""
+        return self.r.choice(["css-", "x", "c_", "wq"]) + "".join(self.r.choices("bcdfgkmqxz0123456789", k=5))
 
     def part(self, kind: str) -> str:
         r, tag = self.r, self.r.choice(TAGS[kind])
         plain = tag in ("div", "section", "ul", "ol")
         attrs = self.name(kind)
-        if plain and not attrs:
+        if plain and self.claimed and r.random() < 0.4:  # what it is then follows from where the article is
+            attrs = f' class="{self.odd_name()}"'
+        elif plain and (not attrs or not self.claimed):
             attrs = f' class="{r.choice(ASIDE[kind])}"'
         if kind == "menu":
             inner = self.links(r.randint(3, 9))
@@ -116,7 +124,11 @@ class Maker:
             elif roll < 0.94:
                 out.append("<table><tr>" + "".join(self.block("td", self.text(1, 4), True) for _ in range(3)) + "</tr></table>")
             elif roll < 0.97:
+                claimed, self.claimed = self.claimed, False  # inside the article a name must tell
                 out.append(self.part(r.choice(["advert", "notice", "sidebar", "form"])))
+                self.claimed = claimed
+            elif roll < 0.975:
+                out.append(f'<div class="{self.odd_name()}">' + self.block("p", self.text(5, 60), True) + "</div>")
             else:
                 out.append(self.block("pre", self.text(4, 20), True))
         return "".join(out)
@@ -129,9 +141,10 @@ class Maker:
         r.shuffle(after)
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         attrs = self.name("main")
-        if tag in ("div", "section") and not attrs:
+        if tag in ("div", "section") and (self.mute or not attrs):
             attrs = f' class="{r.choice(MAIN)}"'
         plain = r.random()
+        self.claimed = plain >= 0.2
         if plain < 0.1:  # nothing says where the article is
             body = self.article()
         elif plain < 0.2:

@@ -328,10 +328,10 @@ def test_held_out_pages(crf):
     right = total = 0
     for page in labelled_pages(150, seed=4242):
         blocks, gold = [], []
-        for path, text, linked in html.leaf_blocks(page):
+        for node, text, linked in html.leaf_blocks(page):
             clean = " ".join(text.replace(ARTICLE, "").replace(OTHER, "").split())
             if clean:
-                blocks.append((path, clean, linked))
+                blocks.append(html.Block(node, clean, linked))
                 gold.append(ARTICLE in text)
         got = crf.decode(blocks)
         right += sum(a == b for a, b in zip(got, gold, strict=True))
