@@ -7,43 +7,49 @@ are left are compiled to Spark column expressions, so scoring is one projection
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import fresh, held_out
 
 #: A rule: ((statistic, at_most, threshold), ...), all of which must hold.
 Rule = tuple[tuple[str, bool, float], ...]
 
 
+#: Characters whose shares are statistics.
+CLASSES = {
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ",
+    "digits": "0123456789",
+    "bars": "|",
+    "marks": "!?",
+    "symbols": "#$%&*+<=>@[\\]^_`{}~/",
+    "stops": ".,;:",
+    "lines": "\n",
+}
+
+
 def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; a null text counts as empty, and every statistic of an empty one is 0."""
+    """Statistics of a whole text; a null text counts as empty, and of an empty one every statistic is 0 but ``word_chars``, which is 1."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    words = F.filter(F.split(t, r"[ \n]"), lambda w: w != "")
+    words = F.array_remove(F.split(t, r"[ \n]"), "")
     count = F.greatest(F.size(words), F.lit(1))
+    # one pass leaves the few characters that any class counts; Spark computes it once for all
+    every = "".join(re.escape(c) for c in CLASSES.values())
+    left = F.regexp_replace(t, F.lit(f"[^{every}]++"), F.lit(""))
 
     def share(chars: str) -> Column:
-        return (F.length(t) - F.length(F.translate(t, chars, ""))) / n
+        return (F.length(left) - F.length(F.translate(left, chars, ""))) / n
 
-    return {
-        "log_chars": F.log1p(F.length(t)),
-        "word_chars": n / count,
-        "distinct_words": F.size(F.array_distinct(words)) / count,
-        "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"),
-        "digits": share("0123456789"),
-        "bars": share("|"),
-        "marks": share("!?"),
-        "symbols": share("#$%&*+<=>@[\\]^_`{}~/"),
-        "stops": share(".,;:"),
-        "lines": share("\n"),
-    }
+    shares = {k: share(c) for k, c in CLASSES.items()}
+    return {"log_chars": F.log1p(F.length(t)), "word_chars": n / count, "distinct_words": F.size(F.array_distinct(words)) / count, **shares}
 
 
-NAMES = ["log_chars", "word_chars", "distinct_words", "upper", "digits", "bars", "marks", "symbols", "stops", "lines"]
+NAMES = ["log_chars", "word_chars", "distinct_words", *CLASSES]
 
 
 def grow(x: np.ndarray, target: np.ndarray, depth: int, least: int) -> list[tuple[tuple, float]]:
@@ -123,12 +129,15 @@ class RuleModel:
 
 
 def train(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.5, penalty: float = 2e-3) -> RuleModel:
-    """Boosted trees -> rules -> lasso. With one class or no rows: no rules, the intercept of the class share."""
+    """Boosted trees -> rules -> lasso. With one class or no rows: no rules, the intercept of the class share.
+
+    A node of a tree has a 500th of the rows, and one row, at least.
+    """
     mean = float(y.mean()) if len(y) else 1.0
     base = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return RuleModel([], base)
-    least = max(3, len(y) // 500)
+    least = max(1, len(y) // 500)
     margin, paths = np.full(len(y), base), {}
     for _ in range(trees):
         nodes = grow(x, y - 1 / (1 + np.exp(-margin)), depth, least)
@@ -149,32 +158,38 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: f
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleModel:
     """A model from about ``most`` labelled rows at most, outside the held-out third, half of each class where there are so many.
 
-    ``most`` bounds the rows of statistics (not texts) that come to the driver. Rows are picked by a hash of the id.
+    ``most`` bounds the rows of statistics (not texts) that come to the driver. Rows are picked by a hash of the id. Of
+    an id's several labels the commonest counts, the higher of ties; labels other than 0 and 1, null labels and null
+    ids count for nothing. No label at all gives a model without rules that accepts everything.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(id_col, F.col(label_col).cast("int").alias("__y"))
-    counts = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("id")))
+    known = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     spread, keep = 1 << 30, F.lit(False)
     for value, n in counts.items():
-        keep = keep | ((F.col("__y") == value) & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(spread)) < (spread if 2 * n <= most else int(spread * most / (2 * n)))))
-    picked = known.where(keep).dropDuplicates([id_col])  # at most about ``most`` ids: small enough to broadcast
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
-    got = rows.select(F.col(id_col).alias("__id"), "__y", *(c.cast("double").alias(k) for k, c in statistics(F.col(text_col)).items())).toPandas().sort_values("__id", kind="stable")
-    return train(got[NAMES].to_numpy(float), got["__y"].to_numpy(float))
+        keep = keep | ((F.col("y") == value) & (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(spread)) < (spread if 2 * n <= most else int(spread * most / (2 * n)))))
+    picked = known.where(keep)  # about ``most`` ids at most: small enough to broadcast
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    got = rows.select("id", "y", *(c.cast("double").alias(k) for k, c in statistics(F.col("text")).items())).toPandas().sort_values(["id", *NAMES], kind="stable")
+    return train(got[NAMES].to_numpy(float), got["y"].to_numpy(float))
 
 
 def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score`` (higher: likelier good), ``predicted`` 1 if score >= 0.5 else 0.
 
-    Only the whole text decides; null counts as empty, and empty texts get the score of statistics that are all 0.
-    Repeated rows are each scored; other columns are ignored; an empty table gives an empty one.
+    Only the whole text decides; null counts as empty, and empty texts get the score of an empty text's statistics.
+    Equal texts get equal scores; repeated rows are each scored; other columns are ignored; an empty table gives an empty one.
     """
-    named = docs.select(id_col, *(c.alias(k) for k, c in statistics(F.col(text_col)).items()))
-    scored = named.select(id_col, held_out(F.col(id_col)).alias("held_out"), model.over({k: F.col(k) for k in NAMES}).alias("score"))
+    named = docs.select(id_col, *(c.alias(f"_ {k}") for k, c in statistics(F.col(text_col)).items()))
+    scored = named.select(id_col, held_out(F.col(id_col)).alias("held_out"), model.over({k: F.col(f"_ {k}") for k in NAMES}).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` the model predicts good, all their columns and no others."""
-    names = {k: f"__q_{k}" for k in NAMES}
+    """The rows of ``docs`` the model predicts good, all their columns and no others, whatever these are called.
+
+    Null and empty texts, equal texts, repeated rows and empty tables go by the rules of :func:`score_documents`.
+    """
+    names = {k: fresh(f"_ {k}", docs.columns) for k in NAMES}
     with_stats = docs.withColumns({names[k]: c for k, c in statistics(F.col(text_col)).items()})
     return with_stats.where(model.over({k: F.col(v) for k, v in names.items()}) >= 0.5).select(*docs.columns)
