@@ -311,7 +311,7 @@ class Crf:
         return out[::-1]
 
 
-def train(pages: list[str], steps: int = 120, penalty: float = 1e-4) -> Crf:
+def train(pages: list[str], steps: int = 200, penalty: float = 1e-4) -> Crf:
     """Maximum likelihood on marked pages (see :mod:`axisframe.llm.pages`) by gradient ascent with Adam steps."""
     vocabulary: dict[str, int] = {}
     rows, cols, labels, firsts, lens = [], [], [], [], []

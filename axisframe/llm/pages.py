@@ -110,20 +110,20 @@ class Maker:
             out.append(f"<header>{title}</header>" if r.random() < 0.15 else title)
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             roll = r.random()
-            if roll < 0.72:
+            if roll < 0.7:
                 sloppy = r.random() < 0.2
                 out.append(self.block("p", self.text(1, r.choice([4, 20, 80])), True, close=not sloppy))
                 if sloppy and r.random() < 0.5:
                     out.append("<br>")
-            elif roll < 0.8:
+            elif roll < 0.77:
                 out.append(self.block(r.choice(["h2", "h3"]), self.text(1, 8), True))
-            elif roll < 0.87:
+            elif roll < 0.84:
                 out.append("<ul>" + "".join(self.block("li", self.text(2, 15), True) for _ in range(r.randint(2, 5))) + "</ul>")
-            elif roll < 0.91:
+            elif roll < 0.87:
                 out.append("<blockquote>" + self.block("p", self.text(5, 30), True) + "</blockquote>")
-            elif roll < 0.94:
+            elif roll < 0.89:
                 out.append("<table><tr>" + "".join(self.block("td", self.text(1, 4), True) for _ in range(3)) + "</tr></table>")
-            elif roll < 0.97:
+            elif roll < 0.96:
                 claimed, self.claimed = self.claimed, False  # inside the article a name must tell
                 out.append(self.part(r.choice(["advert", "notice", "sidebar", "form"])))
                 self.claimed = claimed

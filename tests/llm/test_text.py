@@ -93,6 +93,56 @@ def test_language_filters():
     assert (model.masks(h) & 1).all()
 
 
+def slow_grams(text):
+    out, last = " ", True
+    for c in text:
+        c = c.lower()[0] if c.isalpha() else " "
+        if c != " " or not last:
+            out += c
+        last = c == " "
+    out += "" if last else " "
+    return [out[i : i + 4] for i in range(len(out) - 3)]
+
+
+def test_filters_name_every_language():
+    """Each trained n-gram returns all languages whose sample has it, for more languages than a word has bits; popcounts by hand give the same predictions."""
+    rng = random.Random(9)
+    letters = langid.letter_table()
+    samples = [(f"l{i:03d}", " ".join("".join(rng.choices("abcdefghij"[i % 7 :], k=rng.randint(1, 6))) for _ in range(120))) for i in range(90)]
+    sets = {}
+    for lang, text in samples:
+        sets.setdefault(lang, set()).update(slow_grams(text))
+    model = langid.train(samples)
+    assert model.languages == sorted(sets) and model.table.shape[1] == 2
+    strangers = 0
+    for gram in set().union(*sets.values()):
+        h, _ = langid.grams([gram.strip() or "a"], letters)
+        h = next(x for x, g in zip(h, slow_grams(gram.strip() or "a")) if g == gram) if gram in slow_grams(gram.strip() or "a") else None
+        if h is None:
+            continue
+        mask = model.masks(np.array([h]))
+        said = {lang for i, lang in enumerate(model.languages) if model.bits(mask, i)[0]}
+        want = {lang for lang, s in sets.items() if gram in s}
+        assert want <= said
+        strangers += len(said - want)
+    texts = [" ".join(t.split()[k : k + 30]) for _, t in samples for k in (0, 40)]
+    pred, _ = langid.decide(texts, model, letters)
+    for t, p in zip(texts, pred):
+        g = slow_grams(t)
+        share = {lang: sum(x in s for x in g) for lang, s in sets.items()}
+        assert share[p] >= max(share.values()) - 0.1 * len(g)  # a filter may say yes to a few strangers
+    assert langid.decide(texts, model, letters, chars=10)[0] == pred
+
+
+def test_long_texts_in_pieces():
+    letters = langid.letter_table()
+    for text in ("", "a", "  a  b--c d é", "ab" * 50 + " .. " * 30 + "Σας ΟΔΟΣ", "x" * 9):
+        whole, _ = langid.grams([text], letters)
+        for chars in (1, 2, 5, 1000):
+            np.testing.assert_array_equal(np.concatenate(list(langid.long_grams(text, letters, chars))), whole)
+            assert len(whole) == len(slow_grams(text))
+
+
 def test_grams_by_hand():
     letters = langid.letter_table()
     one, _ = langid.grams(["Ab--c"], letters)
@@ -149,6 +199,44 @@ def test_rules_equal_their_columns(spark, documents):
     assert ((got >= 0.5) == y).mean() > 0.97
 
 
+def slow_statistics(text):
+    t = text or ""
+    n = max(len(t), 1)
+    words = [w for w in re.split("[ \n]", t) if w]
+    count = max(len(words), 1)
+    shares = {k: sum(c in chars for c in t) / n for k, chars in quality.CLASSES.items()}
+    return {"log_chars": np.log1p(len(t)), "word_chars": n / count, "distinct_words": len(set(words)) / count, **shares}
+
+
+def test_quality_scores_equal_brute_force(spark, documents, odd):
+    """Every score again from the text, by the rules the model has."""
+    model = quality.fit(documents, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert model.rules
+    for docs in (documents, odd):
+        texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+        for r in quality.score_documents(docs, model).collect():
+            s, total = slow_statistics(texts[r["doc_id"]]), model.intercept
+            for rule, w in model.rules:
+                total += w * all(s[name] <= t if at_most else s[name] > t for name, at_most, t in rule)
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-total))), r
+
+
+def test_labels_that_conflict(spark, documents):
+    """The commonest label of an id counts, whatever the order of rows."""
+    rows = [(i, y) for i in range(60) for y in ([1, 1, 0] if i % 2 else [0])] + [(3, 7), (None, 1), (4, None)]
+    a = quality.fit(documents, spark.createDataFrame(rows, "doc_id long, quality int"))
+    b = quality.fit(documents, spark.createDataFrame(rows[::-1], "doc_id long, quality int").repartition(3))
+    assert a == b
+
+
+def test_few_labels_make_rules(spark):
+    docs = spark.createDataFrame([(i, "!!!! ???" if i % 2 else "some words of a text") for i in range(30)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, (i + 1) % 2) for i in range(8)], "doc_id long, quality int")
+    model = quality.fit(docs, known)
+    got = {r["doc_id"]: r["predicted"] for r in quality.score_documents(docs, model).collect()}
+    assert model.rules and all(got[i] == (i + 1) % 2 for i in range(30))
+
+
 def test_lasso_gives_zeros():
     rng = np.random.default_rng(1)
     r = (rng.random((500, 30)) < 0.5).astype(float)
@@ -190,6 +278,57 @@ def test_licenses(odd, documents):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def brute_labels(text):
+    """Labels and score by comparing every hit with every other, template by template, without keys or candidates."""
+    index = licenses.Index(licenses.BASE, licenses.TEMPLATES, 0.7, 24)
+    w = licenses.words_of(text or "")
+    base = {x for x in brute_base(text)[4].split(",") if x}
+    labels, best = set(base), 1.0 if base else 0.0
+    for t, (label, length, full, musts) in enumerate(index.templates):
+        hits, got = [(i, k) for i, x in enumerate(w) for u, k in reversed(index.postings.get(x, ())) if u == t], []
+        for i, k in hits:
+            before = [(g, least) for (h, j), (g, least) in zip(hits, got) if h < i and j < k and abs((i - k) - (h - j)) <= index.drift]
+            g, least = max(before, default=(0.0, i - k), key=lambda x: x[0])
+            got.append((g + index.idf[w[i]], min(least, i - k)))
+        for (i, k), (g, least) in zip(hits, got):
+            stretch = b" " + b" ".join(w[max(0, least - index.drift) : i - k + length + index.drift]) + b" "
+            if g >= 0.7 * full and all(m in stretch for m in musts):
+                labels.add(label)
+                best = max(best, min(1.0, g / full))
+    return ",".join(sorted(labels)), best
+
+
+def test_license_query_equals_brute_force(spark, documents):
+    rng = random.Random(3)
+    w = lambda t: licenses.words_of(t)
+    planted = []
+    for label, text, _ in licenses.TEMPLATES * 3:
+        words = [x for x in w(text) if rng.random() > 0.08]
+        for _ in range(rng.randint(0, 4)):
+            words.insert(rng.randint(0, len(words)), rng.choice([b"extra", b"the", b"software", b"license"]))
+        planted.append((len(planted) + 10**6, b" ".join(words).decode()))
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = licenses.scan_licenses(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        labels, score = brute_labels(texts[r["doc_id"]])
+        assert r["labels"] == labels and r["score"] == pytest.approx(score), texts[r["doc_id"]][:300]
+
+
+def test_licenses_in_linear_time():
+    import time
+
+    index = licenses.Index(licenses.BASE, licenses.TEMPLATES, 0.7, 24)
+    for part in ("mit license ", "released under the mit license ", "the software "):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            index.scan(part * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.3
+
+
 @pytest.mark.parametrize("label, text, musts", licenses.TEMPLATES)
 def test_templates_find_themselves(label, text, musts):
     index = licenses.Index(licenses.BASE, licenses.TEMPLATES, 0.7, 24)
@@ -439,3 +578,56 @@ def test_shard_rows(odd):
 )
 def test_layouts(crf, page, text):
     assert html.main_text(f"<html><body>{page}</body></html>", crf) == text
+
+
+# Pages written by hand, apart from the generator the model is trained on.
+LAYOUTS = [
+    # a blog
+    ('<div id="page" class="hfeed"><header id="masthead"><div class="site-title"><a href="/">My Blog</a></div><p class="site-description">Just another site</p></header><div id="primary"><main id="main" role="main"><article id="post-12" class="post"><header class="entry-header"><h1 class="entry-title">How the river froze</h1></header><div class="entry-content"><p>It began on a Tuesday, when the wind turned north and did not turn back.</p><p>By noon the ferries had stopped.</p><ul><li>No boats.</li><li>No bridges.</li></ul></div></article><div id="comments" class="comments-area"><h2>Two thoughts</h2><ol class="comment-list"><li><p>I remember that winter well, it was colder than any since.</p></li></ol></div></main></div><aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="#">One</a></li><li><a href="#">Two</a></li></ul></section></aside><footer id="colophon">Proudly powered by something</footer></div>',
+     "How the river froze It began on a Tuesday, when the wind turned north and did not turn back. By noon the ferries had stopped. No boats. No bridges."),
+    # news, names that say nothing
+    ('<div class="css-1a2b"><nav class="css-9z"><a href="/">Home</a><a href="/w">World</a><a href="/s">Sport</a></nav></div><article class="css-77x"><h1 class="css-q">Council votes on the bridge</h1><p class="css-p">The council voted on Monday evening to rebuild the old bridge over the river.</p><p class="css-p">Work begins in spring, the mayor said.</p><p class="css-p">It will cost four million.</p></article><div class="css-ad0">Win a car today</div><footer class="css-f">Contact us. All rights reserved.</footer>',
+     "Council votes on the bridge The council voted on Monday evening to rebuild the old bridge over the river. Work begins in spring, the mayor said. It will cost four million."),
+    # documentation
+    ('<header><a class="logo" href="/">docs</a><form role="search"><input type="search"><button>Go</button></form></header><div class="row"><nav class="toc"><ul><li><a href="#a">Install</a></li><li><a href="#b">Use</a></li></ul></nav><main><h1>Install</h1><p>Run the following command in a shell.</p><pre>make install</pre><h2>Use</h2><p>Then start the program and open the page in a browser of your choice.</p><table><tr><th>Option</th><th>Meaning</th></tr><tr><td>-v</td><td>say more</td></tr></table></main></div><footer><a href="/l">License</a></footer>',
+     "Install Run the following command in a shell. make install Use Then start the program and open the page in a browser of your choice. Option Meaning -v say more"),
+    # an old page of tables' time
+    ('<center><h1>Notes on bees</h1></center><p>Bees live in hives, and each hive has one queen.<p>The drones do no work at all, or so it is said.<hr><p>In winter the bees stay in and eat what they have stored.',
+     "Notes on bees Bees live in hives, and each hive has one queen. The drones do no work at all, or so it is said. In winter the bees stay in and eat what they have stored."),
+    # cookie notice, newsletter, related
+    ('<div class="cookie-consent"><p>We and our partners store information on a device.</p><button>Accept</button></div><div class="top-bar"><a href="/login">Log in</a></div><section class="article-body"><h1>Bread without kneading</h1><p>Mix flour, water, salt and a little yeast in a bowl.</p><p>Cover it and let it stand overnight at room temperature.</p><div class="newsletter-signup"><p>Get a recipe each week by mail.</p></div><p>In the morning, fold the dough and bake it in a hot pot.</p></section><section class="related-posts"><h3>You may also like</h3><ul><li><a href="#">Rye bread</a></li><li><a href="#">Flat bread</a></li></ul></section><div class="footer">About. Terms. Privacy.</div>',
+     "Bread without kneading Mix flour, water, salt and a little yeast in a bowl. Cover it and let it stand overnight at room temperature. In the morning, fold the dough and bake it in a hot pot."),
+    # the site's frame in unknown names, the article in its tag
+    ('<div class="zq1"><p>Sale ends Friday, everything must go!</p></div><div class="zq2"><ul><li><a href="#">A</a></li><li><a href="#">B</a></li><li><a href="#">C</a></li></ul></div><main><p>The first sentence of this text is rather short.</p><p>The second is a little longer than the first, but not by much.</p></main><div class="zq3"><p>Written by somebody who lives by the sea with a dog.</p></div><div class="zq4">2024 the company</div>',
+     "The first sentence of this text is rather short. The second is a little longer than the first, but not by much."),
+    # forum-like comments in a list, article in a named division
+    ('<div id="header"><h1><a href="/">Site</a></h1></div><div id="menu"><a href="/a">a</a> | <a href="/b">b</a></div><div id="content"><h2>On walking</h2><p>Walking is the best way to see a town, and the cheapest.</p><blockquote><p>He who walks sees twice.</p></blockquote><p>Take good shoes.</p></div><div id="respond"><h3>Leave a reply</h3><form><label>Name</label><textarea></textarea></form></div><ul class="comments"><li>So true, I walk each day.</li><li>Not in the rain, thank you.</li></ul><div id="footer">x</div>',
+     "On walking Walking is the best way to see a town, and the cheapest. He who walks sees twice. Take good shoes."),
+    # head and body left out, article between advertisement
+    ('<!doctype html><title>t</title><ins class="adsbygoogle">Ad text here</ins><article><h1>Stars</h1><p>Stars are far away &amp; hot.</p><aside><p>Related: planets</p></aside><p>Some are <a href="/r">red</a>, some are blue.</p></article><div class="share"><a href="#">Tweet</a></div>',
+     "Stars Stars are far away & hot. Some are red, some are blue."),
+]
+
+
+@pytest.mark.parametrize("page, text", LAYOUTS)
+def test_pages_written_by_hand(crf, page, text):
+    assert html.main_text(page, crf) == text
+
+
+@pytest.mark.parametrize("old, new", [('class="ad"', 'class="zz"'), (' class="ad"', ""), ("<nav>", "<nav class=q>"), ("<footer>", "<footer><p>")])
+def test_pages_with_other_names(spark, crf, old, new):
+    """What isn't the article is known without its name too, from the rest of the page."""
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        assert old in r["html"] and html.main_text(r["html"].replace(old, new), crf) == reference_text(r["html"])
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div>x", "<a ", "<a ='>", '<a =">" ', "</x>", "<li>", "<!--", "<", "<b>x<hr>", "<tr><td>x", "<head>x", "<p><i>", "x &", "<q a='"])
+def test_odd_pages_take_linear_time(crf, part):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        html.main_text(part * n, crf)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5  # 16 times if it were quadratic
