@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialise, scratch
+from ..plans.lineage import materialise, scratch, sized
 
 
 def components(edges: DataFrame, write=materialise) -> DataFrame:
@@ -17,12 +17,13 @@ def components(edges: DataFrame, write=materialise) -> DataFrame:
     """
     with scratch(edges.sparkSession) as keep:
         both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        label = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+        rows = both.count()  # bounds the nodes
+        label = keep(sized(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), rows))
         while True:
             near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
             step = label.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "other").alias("mid"))
             jump = label.select(F.col("id").alias("mid"), F.col("root").alias("far"))
-            new = keep(step.join(jump, "mid").select("id", "old", F.least("mid", "far").alias("root")))
+            new = keep(sized(step.join(jump, "mid").select("id", "old", F.least("mid", "far").alias("root")), rows))
             label = new.select("id", "root")
             if new.where(F.col("old") != F.col("root")).isEmpty():
-                return write(label)
+                return write(sized(label, rows))

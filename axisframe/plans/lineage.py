@@ -11,36 +11,60 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the cluster, or a new folder where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the cluster; where that is unset and all runs on this machine (tests), a new folder.
+
+    On a cluster without the setting there is no folder that all executors see, so that is an error.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="axisframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/axisframe/{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return _write(df, f"{shared_folder(df.sparkSession)}/axisframe/{uuid.uuid4().hex}")
+    """A table in the shared folder with the rows of ``df``; deleted when the driver ends."""
+    path = new_path(df.sparkSession)
+    got = write_table(df, path)
+    fs, p = _file_system(df.sparkSession, path)
+    fs.deleteOnExit(p)
+    return got
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system it is."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def sized(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """``df`` in no more tasks than a table of at most ``rows`` rows of about ``width`` bytes is worth: files of 128 MB, but two tasks a core at least."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows * width // (128 << 20))))
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A ``materialise`` whose tables are deleted at the end of the block: results must have been written elsewhere by then."""
-    folder = f"{shared_folder(spark)}/axisframe/{uuid.uuid4().hex}"
-    count = iter(range(1 << 30))
+    folder, count = new_path(spark), iter(range(1 << 30))
     try:
-        yield lambda df: _write(df, f"{folder}/{next(count)}")
+        yield lambda df: write_table(df, f"{folder}/{next(count)}")
     finally:
         remove(spark, folder)
