@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..plans.lineage import materialise, scratch
-from .common import splitmix
+from ..plans.lineage import materialise, scratch, sized
+from .common import fresh, lean, splitmix
 
 U = np.uint64
 _WORD = re.compile(r"\w+")
@@ -168,12 +168,25 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, m: int, rows_p
                     part, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "name_a", "name_b", "bands"])
 
-    return pick.mapInArrow(run, f"id {pick.schema[0].dataType.simpleString()}, name_a long, name_b long, bands array<long>")
+    return pick.mapInArrow(lean(run), f"id {pick.schema[0].dataType.simpleString()}, name_a long, name_b long, bands array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``pairs`` (a, b, different) with ``similarity``: the exact overlap of the two texts' multisets."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def with_texts(pairs: DataFrame, texts: DataFrame, keep, load: int = 1000) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``text_a`` and ``text_b``.
+
+    A ``b`` of more than ``load`` pairs is dealt out in parts of about that many, its text sent to each part, so no
+    key holds a family's whole texts however large the family is.
+    """
+    crowds = keep(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > load).select("b", F.ceil(F.col("n") / load).cast("int").alias("parts")))
+    left = pairs.join(crowds, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(crowds, "b", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(right, ["b", "part"]).drop("part")
+
+
+def compare(pairs: DataFrame, texts: DataFrame, width: int, keep) -> DataFrame:
+    """``pairs`` (a, b) with ``similarity``: the exact overlap of the two texts' multisets."""
+    joined = with_texts(pairs.select("a", "b"), texts, keep).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -187,7 +200,7 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return joined.mapInArrow(lean(run), f"a {kind}, b {kind}, similarity double")
 
 
 def may_contain(ids: DataFrame, x: Column, bits: int = 23) -> Column:
@@ -205,12 +218,13 @@ def may_contain(ids: DataFrame, x: Column, bits: int = 23) -> Column:
     return F.getbit(F.element_at(packed, F.shiftright(at, 6).cast("int") + 1), (at % 64).cast("int")) == 1
 
 
-def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, keep, most: int = 500_000) -> DataFrame:
     """For each (rep, centre): ``elements``, by which the multisets differ, and the numbers the search below needs.
 
-    An element is a shingle with a sign (the text lacks it, or adds it) and a copy number, as one hash.
+    An element is a shingle with a sign (the text lacks it, or adds it) and a copy number, as one hash. Rows go out
+    whenever ``most`` elements have gathered.
     """
-    joined = pairs.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("text_a")), "rep").join(texts.select(F.col("id").alias("centre"), F.col("text").alias("text_b")), "centre")
+    joined = with_texts(pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"), "root"), texts, keep)
     k = similarity / (1 + similarity)
 
     def copies(keys: np.ndarray, counts: np.ndarray, sign: int) -> np.ndarray:
@@ -220,8 +234,8 @@ def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            elements, cost, free, apart, last = [], [], [], [], (None, None)
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+            elements, cost, free, apart, last, begin, held = [], [], [], [], (None, None), 0, 0
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
                 y = y.as_py()
                 if last[0] != y:
                     last = (y, bag(shingles([y], width, words)[0]))
@@ -232,16 +246,20 @@ def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
                 diff[np.searchsorted(keys, c[0])] -= c[1]
                 more, less = diff > 0, diff < 0
                 elements.append(np.concatenate([copies(keys[more], diff[more], 1), copies(keys[less], -diff[less], 0)]).view(np.int64))
+                held += len(elements[-1])
                 cost.append(float((1 - k) * -diff[less].sum() + k * diff[more].sum()))
                 free.append(float((1 - 2 * k) * c[1].sum()))
                 apart.append(overlap(a, c) < similarity)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(elements, pa.list_(pa.int64())), pa.array(cost, pa.float64()), pa.array(free, pa.float64()), pa.array(apart, pa.bool_())], ["rep", "centre", "root", "elements", "cost", "free", "apart"])
+                if held > most or i == batch.num_rows - 1:
+                    rows = batch.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(elements, pa.list_(pa.int64())), pa.array(cost, pa.float64()), pa.array(free, pa.float64()), pa.array(apart, pa.bool_())], ["rep", "centre", "root", "elements", "cost", "free", "apart"])
+                    elements, cost, free, apart, begin, held = [], [], [], [], i + 1, 0
 
     kind = pairs.schema["rep"].dataType.simpleString()
-    return joined.select("rep", "centre", "root", "text_a", "text_b").mapInArrow(run, f"rep {kind}, centre {kind}, root {kind}, elements array<long>, cost double, free double, apart boolean")
+    return joined.select("a", "b", "root", "text_a", "text_b").mapInArrow(lean(run), f"rep {kind}, centre {kind}, root {kind}, elements array<long>, cost double, free double, apart boolean")
 
 
-def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, width: int, keep) -> DataFrame:
+def _across(placed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, width: int, keep, rows: int) -> DataFrame:
     """Links between members of one bucket that their links to centres leave in different classes.
 
     Against a common centre C a text X lacks m and adds a shingles; let cost(X) = (1-k) m + k a with
@@ -249,13 +267,13 @@ def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: f
     cost(X) + cost(Y) - free elements of what sets them apart from C. X is linked to C just if cost(X) <= free,
     so of a pair across classes one, X, has cost(X) > free, and then more than cost(Y) elements are shared. With
     elements in the order of how rare they are around C, two texts that share t of them share one among the first
-    n - t + 1 of each: an exact prefix filter, in which what a family of copies has in common takes no part.
+    n - t + 1 of each: an exact prefix filter, in which what a family of copies has in common takes no part. Of the
+    texts that share an element, those of the class most of them belong to meet only those of other classes.
     """
-    roots = components(links, keep)
     seen = placed.where("rep != centre").select("rep", "centre").distinct()
     seen = seen.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = seen.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("centre")
-    apart = keep(deltas(seen.join(mixed, "centre"), texts, width, similarity))
+    apart = keep(deltas(seen.join(mixed, "centre"), texts, width, similarity, keep))
     each = apart.select("rep", "centre", F.explode("elements").alias("element"))
     rare = each.groupBy("centre", "element").agg(F.count("*").alias("n")).where("n > 1")
     # where an element stands in its text's order: those of one text alone come first and find nobody
@@ -263,7 +281,7 @@ def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: f
     order = Window.partitionBy("rep", "centre").orderBy(F.desc("n"), "element")
     behind = shared.withColumn("behind", F.row_number().over(order))  # 1: the commonest
     least = 1e-9
-    facts = apart.select("rep", "centre", "root", "cost", "free", "apart", F.size("elements").alias("size"))
+    facts = apart.select("rep", "centre", "root", "cost", "free", "apart")
     # how far beyond the centre's reach the nearest text that isn't linked to it is
     beyond = facts.where("apart").groupBy("centre").agg(F.min(F.col("cost") - F.col("free")).alias("gap"))
     # ``behind`` counts the elements from this one on: no more can be shared by texts whose rarest shared element it is
@@ -273,12 +291,20 @@ def _across(placed: DataFrame, links: DataFrame, texts: DataFrame, similarity: f
         .withColumn("far", F.col("apart") & (F.col("behind") >= F.col("cost") - F.col("free") - least))
         .where("near OR far")
     )
-    x = ranked.where("far").select("centre", "element", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("cost").alias("ca"), F.col("behind").alias("na"), "free")
-    y = ranked.where("near").select("centre", "element", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("cost").alias("cb"), F.col("behind").alias("nb"))
-    pairs = x.join(y, ["centre", "element"]).where((F.col("ra") != F.col("rb")) & (F.col("ca") + F.col("cb") - F.col("free") <= F.least("na", "nb") + least))
-    pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # the class that most entries of an element have, and elements that more than one class has
+    by_class = ranked.groupBy("centre", "element", "root").agg(F.count("*").alias("n"))
+    home = by_class.groupBy("centre", "element").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    ranked = keep(sized(ranked.join(home, ["centre", "element"]).withColumn("at_home", F.col("root") == F.col("home")), rows * 8))
+    x = ranked.where("far").select("centre", "element", "at_home", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("cost").alias("ca"), F.col("behind").alias("na"), "free")
+    y = ranked.where("near").select("centre", "element", F.col("at_home").alias("home_b"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("cost").alias("cb"), F.col("behind").alias("nb"))
+    enough = (F.col("ra") != F.col("rb")) & (F.col("ca") + F.col("cb") - F.col("free") <= F.least("na", "nb") + least)
+    pairs = x.where("NOT at_home").join(y, ["centre", "element"]).where(enough).select("a", "b")
+    pairs = pairs.union(x.where("at_home").join(y.where("NOT home_b"), ["centre", "element"]).where(enough).select("a", "b"))
+    pairs = keep(sized(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows * 8))
+    if pairs.isEmpty():
+        return pairs
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return keep(compare(pairs, texts.join(need, "id", "left_semi"), width).where(F.col("similarity") >= similarity).select("a", "b"))
+    return keep(compare(pairs, texts.join(need, "id", "left_semi"), width, keep).where(F.col("similarity") >= similarity).select("a", "b"))
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 64, rows_per_band: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,38 +312,63 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 6
 
     Two texts are linked if the weighted Jaccard similarity of their shingle multisets is ``similarity`` or more; a
     class is a connected component of links. Words are ``\\w+`` in lower case. Texts of fewer than ``width`` words are
-    one shingle. Null and wordless texts are each their own class. Rows with a null id are their own class (of size
-    1, id null); rows that repeat an id share the least class id among those of its texts. At similarity s a pair
-    shares no bucket with probability (1 - s**r)**(m // r): 3e-7 at 0.8 for the defaults.
+    one shingle. Null and wordless texts are each their own class. Ids are of any type that can be ordered. Rows with a
+    null id are their own class (of size 1, id null); rows that repeat an id share the least class id among those of
+    its texts. Other columns are ignored; an empty table gives an empty one. At similarity s a pair shares no bucket
+    with probability (1 - s**r)**(m // r): 3e-7 at 0.8 for the defaults.
     """
     with scratch(docs.sparkSession) as keep:
         signed = keep(sign(docs, id_col, text_col, width, m, rows_per_band))
+        rows = signed.count()
+        bands = m // rows_per_band
         whole = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
         # equal multisets: one stands for all
-        named = keep(whole.groupBy("name_a", "name_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
+        named = keep(sized(whole.groupBy("name_a", "name_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), rows, 32 + 8 * bands))
         entries = named.select("rep", F.explode("bands").alias("band"))
         crowds = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        crowded = keep(entries.join(crowds, "band"))
+        crowded = keep(sized(entries.join(crowds, "band"), rows * bands, 24))
         # a bucket's centre is the member with the most company over all bands: of a family of copies, one close to their origin
         company = crowded.groupBy("rep").agg(F.sum("n").alias("company"))
         crowded = crowded.join(company, "rep")
-        centres = crowded.groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("centre"))
-        placed = keep(crowded.select("band", "rep").join(centres, "band"))
+        centres = crowded.groupBy("band").agg(F.min_by("rep", F.struct(-F.col("company"), "rep")).alias("centre"))
+        placed = keep(sized(crowded.select("band", "rep").join(centres, "band"), rows * bands, 24))
         texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         wanted = placed.select(F.col("rep").alias("id")).distinct()
         texts = keep(texts.where(may_contain(wanted, F.col("id"))).join(wanted, "id", "left_semi"))
         pairs = placed.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-        links = keep(compare(pairs, texts, width).where(F.col("similarity") >= similarity).select("a", "b"))
-        roots = components(links.unionByName(_across(placed, links, texts, similarity, width, keep)), keep)
+        links = keep(sized(compare(pairs, texts, width, keep).where(F.col("similarity") >= similarity).select("a", "b"), rows * 8))
+        roots = components(links, keep)
+        more = _across(placed, roots, texts, similarity, width, keep, rows)
+        if not more.isEmpty():
+            # links between classes: components of classes, then each text's
+            a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+            above = components(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b"), keep)
+            every = roots.select("id", "root").unionByName(above.select("id", F.col("id").alias("root")).join(roots.select("id"), "id", "left_anti"))
+            roots = keep(sized(every.join(above.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")), rows))
         whose = whole.select("id", "name_a", "name_b").join(named.select("name_a", "name_b", "rep"), ["name_a", "name_b"]).select("id", "rep")
         rooted = whose.join(roots.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
         every = signed.select("id").join(rooted, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        every = materialise(every)
+        every = materialise(sized(every, rows))
         # written first, so that the join below has exchanges of its own and one large class can be split over tasks
-        size = materialise(every.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"))
+        size = materialise(sized(every.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"), rows))
     return every.join(size, "class_id", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def kept_rows(docs: DataFrame, marked: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` but those that ``marked`` doesn't keep, all columns."""
-    return docs.join(marked.where("NOT kept").select(id_col), id_col, "left_anti").select(*docs.columns)
+def kept_rows(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """One row of each class that ``marked`` gives the rows of ``docs``, all columns: that with the least id.
+
+    Of rows that repeat an id, which are one class, that with the least text stays (null before all others; of equal
+    texts, the least row written as JSON). Rows with a null id all stay.
+    """
+    dropped = marked.where("NOT kept").select(F.col(id_col).alias("id")).distinct()
+    # most rows needn't move: they can't be among those dropped
+    doubt = may_contain(dropped, F.col(id_col))
+    out = fresh("out", docs.columns)
+    kept = docs.where(F.col(id_col).isNull() | ~doubt).unionByName(docs.where(doubt).join(dropped.withColumnRenamed("id", out), F.col(id_col) == F.col(out), "left_anti"))
+    again = fresh("again", docs.columns)
+    repeated = marked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again)
+    if repeated.isEmpty():
+        return kept
+    # partial aggregates: an id that very many rows repeat is settled task by task first
+    one = kept.join(repeated, F.col(id_col) == F.col(again), "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(text_col, F.to_json(F.struct(*docs.columns)))).alias(again))
+    return kept.join(repeated, F.col(id_col) == F.col(again), "left_anti").unionByName(one.select(f"{again}.*"))
