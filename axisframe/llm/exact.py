@@ -4,7 +4,7 @@ Rows are range-partitioned by sampled splitters over (first bytes, 64-bit digest
 memory by (first bytes, digest, whole text, id), so equal texts stand side by side and each row is compared in
 full with its neighbour. The splitter key is short whatever the texts are, and the id in it lets one text's
 copies spread over many partitions: a run that crosses a partition's edge is joined to its continuation through
-a table of at most two rows a partition.
+a table of at most two digests a partition, and whole texts are compared where these agree.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import materialise
+from .common import fresh, lean
 
 META = ("__keep", "__size", "__last", "__sha", "__pid", "__edge", "__edge_text")
 
@@ -85,32 +86,42 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical; null counts as empty, so nulls and empties form one group. Of equal texts the
     row with the largest id stays; of rows that repeat that id too, one stays. Null ids sort first: one stays
-    only in a group that has no other. An empty table gives an empty one; other columns are ignored.
+    only in a group that has no other. An empty table gives an empty one; other columns are ignored, whatever their names.
     ``prefix``: characters in the splitter key; the result doesn't depend on it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(id_col, text.alias("__text"), F.substring(text, 1, prefix).alias("__prefix"), F.xxhash64(text).alias("__hash"))
-    dealt = keyed.repartitionByRange("__prefix", "__hash", id_col).sortWithinPartitions("__prefix", "__hash", "__text", id_col)
+    keyed = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.substring(text, 1, prefix).alias("__prefix"), F.xxhash64(text).alias("__hash"))
+    dealt = keyed.repartitionByRange("__prefix", "__hash", "__id").sortWithinPartitions("__prefix", "__hash", "__text", "__id")
     dealt = dealt.withColumn("__sha", F.sha2(F.col("__text").cast("binary"), 256))
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(n, k) for n, k in zip((id_col, *META), (kind, kind, T.LongType(), T.BooleanType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType()), strict=True)])
-    rows = materialise(dealt.mapInArrow(lambda batches: _runs(batches, id_col), schema))
-    # at most two rows a partition: is this run the continuation of the one before?
-    order = Window.orderBy("__pid", "__edge")
-    edges = rows.where(F.col("__edge_text").isNotNull()).select("__pid", "__edge", "__keep", "__size", F.coalesce(F.lag("__edge_text").over(order) == F.col("__edge_text"), F.lit(False)).alias("same")).orderBy("__pid", "__edge").collect()
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(("__id", *META), (kind, kind, T.LongType(), T.BooleanType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType()), strict=True)])
+    rows = materialise(dealt.mapInArrow(lean(lambda batches: _runs(batches, "__id")), schema))
+    # at most two rows a partition: is this run the continuation of the one before? Digests first
+    edges = rows.where(F.col("__edge_text").isNotNull()).select("__pid", "__edge", "__keep", "__size", "__sha").orderBy("__pid", "__edge").collect()
+    alike = [(i, *(x for e in edges[i - 1 : i + 1] for x in (e["__pid"], e["__edge"]))) for i in range(1, len(edges)) if edges[i]["__sha"] == edges[i - 1]["__sha"]]
+    same = _same_texts(rows, alike) if alike else set()
     chains: list[list] = []
-    for e in edges:
-        if e["same"]:
+    for i, e in enumerate(edges):
+        if i in same:
             chains[-1].append(e)
         else:
             chains.append([e])
     mended = [(e["__pid"], e["__edge"], c[-1]["__keep"], sum(x["__size"] for x in c), i == len(c) - 1) for c in chains if len(c) > 1 for i, e in enumerate(c)]
     if mended:
-        better = docs.sparkSession.createDataFrame(mended, f"__pid int, __edge int, __keep2 {kind.simpleString()}, __size2 long, __tail boolean")
+        better = docs.sparkSession.createDataFrame(mended, T.StructType([T.StructField(n, k) for n, k in zip(("__pid", "__edge", "__keep2", "__size2", "__tail"), (T.IntegerType(), T.IntegerType(), kind, T.LongType(), T.BooleanType()), strict=True)]))
         rows = rows.join(F.broadcast(better), ["__pid", "__edge"], "left").withColumns(  # bounded by twice the number of partitions
             {"__keep": F.when(F.col("__tail").isNull(), F.col("__keep")).otherwise(F.col("__keep2")), "__size": F.coalesce("__size2", "__size"), "__last": F.col("__last") & F.coalesce("__tail", F.lit(True))}
         )
-    return rows.select(id_col, F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__last").alias("kept"), F.col("__sha").alias("text_sha256"))
+    return rows.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__last").alias("kept"), F.col("__sha").alias("text_sha256"))
+
+
+def _same_texts(rows: DataFrame, alike: list[tuple]) -> set[int]:
+    """Of runs on two sides of partitions' edges whose digests agree, those whose whole texts do: compared where they are, not on the driver."""
+    ends = rows.where(F.col("__edge_text").isNotNull())
+    pairs = F.broadcast(rows.sparkSession.createDataFrame(alike, "i int, pid_a int, edge_a int, pid_b int, edge_b int"))  # at most one a partition
+    a, b = (ends.select(F.col("__pid").alias(f"pid_{c}"), F.col("__edge").alias(f"edge_{c}"), F.col("__edge_text").alias(f"text_{c}")) for c in "ab")
+    both = a.join(pairs, ["pid_a", "edge_a"]).select("i", "text_a").join(b.join(pairs, ["pid_b", "edge_b"]).select("i", "text_b"), "i")
+    return {r["i"] for r in both.where("text_a = text_b").select("i").collect()}
 
 
 def _last_of_runs(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
@@ -140,9 +151,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     many there are; then splitters over (first bytes, digest) bring equal texts together.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"__prefix": F.substring(text, 1, prefix), "__hash": F.xxhash64(text)})
+    prefix_col, hash_col = fresh("prefix", docs.columns), fresh("hash", docs.columns)
+    rows = docs.withColumns({prefix_col: F.substring(text, 1, prefix), hash_col: F.xxhash64(text)})
 
     def thin(df: DataFrame) -> DataFrame:
-        return df.sortWithinPartitions("__prefix", "__hash", text, id_col).mapInArrow(lambda batches: _last_of_runs(batches, text_col), rows.schema)
+        return df.sortWithinPartitions(prefix_col, hash_col, text, id_col).mapInArrow(lean(lambda batches: _last_of_runs(batches, text_col)), rows.schema)
 
-    return thin(thin(rows).repartitionByRange("__prefix", "__hash")).select(*docs.columns)
+    return thin(thin(rows).repartitionByRange(prefix_col, hash_col)).select(*docs.columns)

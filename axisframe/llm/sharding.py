@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Prime; the table has so many rows whatever the data, which bounds what is broadcast.
 SLOTS = 65_537
 
@@ -53,21 +55,23 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % slots
 
 
-def lookup(spark: SparkSession, table: list[int]) -> DataFrame:
-    """The table as rows (``__slot``, ``__shard``)."""
+def lookup(spark: SparkSession, table: list[int], slot: str, shard: str) -> DataFrame:
+    """The table as rows (slot, shard)."""
     text = ",".join(map(str, table))
-    return spark.range(1).select(F.posexplode(F.split(F.lit(text), ",")).alias("__slot", "__shard")).select(F.col("__slot").cast("long"), F.col("__shard").cast("int"))
+    return spark.range(1).select(F.posexplode(F.split(F.lit(text), ",")).alias(slot, shard)).select(F.col(slot).cast("long"), F.col(shard).cast("int"))
 
 
 def assign_shards(rows: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS, weights: list[int] | None = None) -> DataFrame:
     """``rows`` with ``slot`` long and ``shard`` int (they replace columns of these names).
 
     Every row gets a shard: equal keys the same one, null and empty keys that of the empty text, repeated rows
-    each their own row. An empty table gives an empty one. Texts are never read.
+    each their own row. Other columns stay, whatever their names. An empty table gives an empty one. Texts are never read.
     """
-    table = lookup(rows.sparkSession, fill_table(shards, slots, weights))
-    kept = rows.drop("slot", "shard").withColumn("__slot", slot_of(F.col(key_col), slots))
-    return kept.join(F.broadcast(table), "__slot").select(*(c for c in rows.columns if c not in ("slot", "shard")), F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    slot, shard = fresh("slot", rows.columns), fresh("shard", rows.columns)
+    table = lookup(rows.sparkSession, fill_table(shards, slots, weights), slot, shard)
+    others = [c for c in rows.columns if c.lower() not in ("slot", "shard")]
+    placed = rows.withColumn(slot, slot_of(F.col(key_col), slots)).join(F.broadcast(table), slot)
+    return placed.select(*others, F.col(slot).alias("slot"), F.col(shard).alias("shard"))
 
 
 def oracle(shards: list[str], slots: int = SLOTS) -> str:
