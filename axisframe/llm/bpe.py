@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import new_key, once_per_process
+from .common import lean, new_key, once_per_process
 
 MIX = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
@@ -119,17 +119,19 @@ class ByteBpe:
 
 
 class _Memo(dict):
-    """Pre-token -> (its ids as text, their decoded bytes); emptied when it has ``most`` entries, so memory is bounded."""
+    """Pre-token -> (its ids as text, their decoded bytes); emptied when it takes about ``most`` bytes, so memory is bounded."""
 
     def __init__(self, bpe: ByteBpe, most: int):
-        self.bpe, self.most = bpe, most
+        self.bpe, self.most, self.size = bpe, most, 0
 
     def __missing__(self, piece: str) -> tuple[bytes, bytes]:
-        if len(self) >= self.most:
-            self.clear()
         ids = self.bpe.piece(piece)
         got = (",".join(map(str, ids)).encode(), self.bpe.decode(ids))
         if len(piece) <= 64:
+            self.size += 320 + len(piece) + len(got[0]) + len(got[1])
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
             self[piece] = got
         return got
 
@@ -140,14 +142,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_documents(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 24_000_000
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
     A null text counts as empty (0 tokens, digests of nothing). Repeated rows are each encoded. Other columns
     are ignored. A lone pre-token may be as long as the text; it is merged in O(n log n). ``ranks`` is the
-    vocabulary file, tens of thousands of entries, broadcast once. ``memo`` bounds the entries each worker
-    keeps of pre-tokens it has met; results don't depend on it.
+    vocabulary file, tens of thousands of entries, broadcast once. ``memo`` bounds the bytes each worker
+    keeps of pre-tokens it has met; results don't depend on it. An empty table gives an empty one.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), new_key()
 
@@ -168,7 +170,7 @@ def encode_documents(
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
     pick = docs.select(id_col, text_col)
     kind = pick.schema[0].dataType.simpleString()
-    return pick.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pick.mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_to_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
@@ -185,4 +187,4 @@ def encode_to_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_c
             ids = [bpe.encode(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array(ids, pa.list_(pa.int32()))], [*rest, "token_ids"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -49,6 +49,20 @@ def splitmix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def lean(run):
+    """A function for ``mapInArrow`` whose worker gives Arrow's memory back after each batch instead of holding on to it."""
+
+    def frugal(batches):
+        import pyarrow as pa
+
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return frugal
+
+
 _KEPT: dict[tuple[str, str], object] = {}
 
 

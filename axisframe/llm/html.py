@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import new_key, once_per_process
+from .common import lean, new_key, once_per_process
 from .pages import ARTICLE, ASIDE, MAIN, OTHER, labelled_pages
 
 # HTML's element groups.
@@ -408,4 +408,4 @@ def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str
 
     pick = pages.select(id_col, url_col, html_col)
     kinds = [f.dataType.simpleString() for f in pick.schema]
-    return pick.mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return pick.mapInArrow(lean(run), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")

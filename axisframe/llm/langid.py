@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, new_key, once_per_process, sample_rows, splitmix
+from .common import held_out, lean, new_key, once_per_process, sample_rows, splitmix
 
 N = 4
 U = np.uint64
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_c
                     h = np.unique(h).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(h)), pa.array(h)], ["lang", "gram"])
 
-    got = rows.mapInArrow(run, "lang string, gram long").distinct().toPandas()
+    got = rows.mapInArrow(lean(run), "lang string, gram long").distinct().toPandas()
     return build({str(lang): g.to_numpy().view(U) for lang, g in got.groupby("lang")["gram"]})
 
 
@@ -212,4 +212,4 @@ def predict(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
     pick = docs.select(id_col, held_out(F.col(id_col)).alias("held_out"), text_col)
-    return pick.mapInArrow(run, f"`{id_col}` {pick.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return pick.mapInArrow(lean(run), f"`{id_col}` {pick.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

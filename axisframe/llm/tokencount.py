@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import new_key, once_per_process
+from .common import lean, new_key, once_per_process
 
 SPACE = "▁"
 
@@ -40,7 +40,7 @@ def read_pieces(path: str) -> dict:
 
 
 class PieceCounter:
-    def __init__(self, model: dict, memo: int = 400_000):
+    def __init__(self, model: dict, memo: int = 24_000_000):
         self.rank, self.prefix = model["rank"], SPACE if model["dummy_prefix"] else ""
         self.single = {p for p in self.rank if len(p) == 1}
         inside = {c for p in self.rank if len(p) > 1 for c in p}
@@ -88,14 +88,18 @@ class PieceCounter:
 
 
 class _Counts(dict):
+    """Chunk -> count; emptied when it takes about ``most`` bytes."""
+
     def __init__(self, counter: PieceCounter, most: int):
-        self.counter, self.most = counter, most
+        self.counter, self.most, self.size = counter, most, 0
 
     def __missing__(self, s: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
         n = self.counter.chunk(s)
         if len(s) <= 64:
+            self.size += 190 + 2 * len(s)
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
             self[s] = n
         return n
 
@@ -103,7 +107,8 @@ class _Counts(dict):
 def count_tokens(docs: DataFrame, model: dict, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_tokens``, ``over_limit`` (more than ``limit`` tokens).
 
-    A null or empty text has 0 bytes and 0 tokens. Repeated rows are each counted; other columns are ignored.
+    A null or empty text has 0 bytes and 0 tokens. Repeated rows are each counted; other columns are ignored; an empty
+    table gives an empty one. Texts of any length are counted whole, a word at a time.
     ``model`` (see :func:`read_pieces`) is one vocabulary, broadcast once.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), new_key()
@@ -122,4 +127,4 @@ def count_tokens(docs: DataFrame, model: dict, limit: int = 4096, id_col: str =
             )
 
     pick = docs.select(id_col, text_col)
-    return pick.mapInArrow(run, f"`{id_col}` {pick.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return pick.mapInArrow(lean(run), f"`{id_col}` {pick.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

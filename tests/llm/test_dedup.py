@@ -81,6 +81,12 @@ def test_drop_copies_keeps_columns(odd):
     assert {r["doc_id"] for r in rows if r["text"] and "quick" in r["text"]} == {6}
 
 
+def test_columns_with_inner_names(spark):
+    df = spark.createDataFrame([(1, "t", "p", "q", "r", "s"), (2, "t", "p2", "q2", "r2", "s2")], "doc_id long, text string, __prefix string, __hash string, prefix string, hash string")
+    assert [tuple(r) for r in exact.drop_copies(df).collect()] == [(2, "t", "p2", "q2", "r2", "s2")]
+    check_exact(df.withColumnsRenamed({"__prefix": "__keep", "__hash": "__id"}))
+
+
 # -- near
 
 
@@ -141,7 +147,7 @@ def brute_classes(rows, similarity=0.8):
     for i in ids:
         for k in bags[i][0].tolist():
             shared[k].add(i)
-    pairs = {(i, j) for i in ids for k in bags[i][0].tolist() for j in shared[k] if i < j and len(shared[k]) < 2000}
+    pairs = {(i, j) for i in ids for k in bags[i][0].tolist() for j in shared[k] if i < j}
     for i, j in pairs:
         if near.overlap(bags[i], bags[j]) >= similarity:
             root[max(find(i), find(j))] = min(find(i), find(j))
@@ -210,6 +216,46 @@ def test_kept_rows(documents):
     assert got.columns == documents.columns and got.count() == marked.select("class_id").distinct().count()
 
 
+def test_ids_of_any_type(spark, documents):
+    """Classes with text ids are those with numbers."""
+    docs = documents.select(F.format_string("d%05d", "doc_id").alias("doc_id"), "text", F.lit(1).alias("id"), F.lit(2).alias("root"), F.lit(3).alias("class_id"))
+    got = {int(r["doc_id"][1:]): int(r["class_id"][1:]) for r in near.classes(docs).collect()}
+    assert got == {r["doc_id"]: r["class_id"] for r in near.classes(documents).collect()}
+
+
+def test_rows_that_repeat_an_id(spark):
+    """One row of a class stays, also where several rows have its least id; null ids all stay."""
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, text, 1), (5, text + " more", 2), (7, text + " and more", 3), (9, "something else entirely that is not alike", 4), (9, "something else entirely that is not alike", 4), (None, text, 5), (None, text, 6), (11, None, 7), (11, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out int")
+    kept = near.kept_rows(df, near.classes(df), "doc_id").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[7]], key=str)
+
+
+def test_hot_centres_are_dealt_out(spark):
+    """A centre's pairs are split, none lost, whatever the load."""
+    texts = spark.range(60).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    pairs = spark.range(1, 60).select(F.col("id").alias("a"), F.when(F.col("id") < 50, 0).otherwise(1).cast("long").alias("b"))
+    from axisframe.plans.lineage import materialise
+
+    for load in (1, 7, 1000):
+        got = near.with_texts(pairs, texts, materialise, load)
+        assert sorted((r["a"], r["b"], r["text_a"], r["text_b"]) for r in got.collect()) == [(a, int(a >= 50), f"t{a}", f"t{int(a >= 50)}") for a in range(1, 60)]
+
+
+def test_family_that_lacks_what_the_centre_has(spark):
+    """Texts that share what sets them apart from the centre: found, though those of one class never meet."""
+    rng = np.random.default_rng(4)
+    whole = [f"a{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        w = list(whole) if i % 2 else whole[:40] + whole[72:]  # half lack a passage and are not linked to the others
+        for k in rng.integers(0, len(w), rng.integers(0, 3)):
+            w[k] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_queries_equal_sql(spark, duck):
     from axisframe.llm.queries import oracle_sql, queries
 

@@ -437,11 +437,23 @@ def test_leak_rows(spark, odd):
 
 
 def test_leak_query(spark, documents):
-    """Every document that contains an item word for word is found."""
+    """Exactly the pairs that the distance of each item to each whole document gives, and their edits."""
     bench = [(r["item_id"], decontaminate.normalise(r["text"])) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    want = {(r["doc_id"], i) for r in documents.collect() for i, t in bench if t in decontaminate.normalise(r["text"])}
-    got = {(r["doc_id"], r["item_id"]) for r in queries()["op1_decontaminate"](spark, DATA).collect()}
-    assert want and want <= got
+    rows = [(r["doc_id"], decontaminate.normalise(r["text"])) for r in documents.collect()]
+    want = {(d, i, e) for i, t in bench for d, text in rows if (e := decontaminate.Myers(t).search(text)) <= decontaminate.budget(len(t), 0.1)}
+    assert any(t in text for _, t in bench for _, text in rows)
+    assert {tuple(r) for r in queries()["op1_decontaminate"](spark, DATA).select("doc_id", "item_id", "edits").collect()} == want
+
+
+def test_leaks_with_other_ids_and_names(spark):
+    """Ids of any type, names that clash with inner ones, and long texts that cross a stretch."""
+    text = "x y z " * 60_000 + "the quick brown fox jumps over the lazy dog " + "x y z " * 60_000
+    docs = spark.createDataFrame([("d1", text, 1, 2, 3), ("d2", "nothing", 1, 2, 3), (None, text[-400_000:], 1, 2, 3), ("d1", text, 1, 2, 3)], "doc_id string, text string, __found int, number int, item int")
+    bench = spark.createDataFrame([("a", "The quick brown fox jumps over the lazy dog.", 1), ("b", "dog x y z x y", 1)], "item_id string, text string, edits int")
+    got = sorted((tuple(r) for r in decontaminate.find_leaks(docs, bench).collect()), key=str)
+    assert got == [("d1", "a", 0), ("d1", "b", 0), (None, "a", 0), (None, "b", 0)]
+    kept = decontaminate.drop_leaks(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == ["d2"]
 
 
 # -- pages
@@ -566,6 +578,12 @@ def test_shard_rows(odd):
     assert not re.search("Python|Arrow|Pandas", plan) and "BroadcastHashJoin" in plan
 
 
+def test_shards_beside_inner_names(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c", "d")], "doc_id long, __slot string, __shard string, slot string, SHARD string")
+    got = sharding.assign_shards(df, "doc_id", ["x", "y"], 101)
+    assert got.columns == ["doc_id", "__slot", "__shard", "slot", "shard"] and tuple(got.first())[:3] == (1, "a", "b")
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
