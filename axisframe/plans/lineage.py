@@ -40,13 +40,17 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def temporary(spark: SparkSession) -> str:
+    """A path in the shared folder whose files are deleted when the driver ends."""
+    path = new_path(spark)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """A table in the shared folder with the rows of ``df``; deleted when the driver ends."""
-    path = new_path(df.sparkSession)
-    got = write_table(df, path)
-    fs, p = _file_system(df.sparkSession, path)
-    fs.deleteOnExit(p)
-    return got
+    return write_table(df, temporary(df.sparkSession))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -55,9 +59,23 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _in_tasks(df: DataFrame, n: int) -> DataFrame:
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, n), (1 << 31) - 1))
+
+
 def sized(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
     """``df`` in no more tasks than a table of at most ``rows`` rows of about ``width`` bytes is worth: files of 128 MB, but two tasks a core at least."""
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows * width // (128 << 20))))
+    return _in_tasks(df, -(-rows * width // (128 << 20)))
+
+
+def merged(df: DataFrame, least: int = 8 << 20) -> DataFrame:
+    """``df`` without splits that are too small to be worth a task: by Spark's estimate of its size, ``least`` bytes a task, but two tasks a core at least.
+
+    Tables in many small files or blocks otherwise give as many small tasks and small output files. Where splits are
+    larger than that it changes nothing.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return _in_tasks(df, -(-size // least))
 
 
 @contextmanager
