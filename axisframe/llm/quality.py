@@ -190,6 +190,9 @@ def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text") -> Data
 
     Null and empty texts, equal texts, repeated rows and empty tables go by the rules of :func:`score_documents`.
     """
-    names = {k: fresh(f"_ {k}", docs.columns) for k in NAMES}
+    names, score = {k: fresh(f"_ {k}", docs.columns) for k in NAMES}, fresh("_ score", docs.columns)
     with_stats = docs.withColumns({names[k]: c for k, c in statistics(F.col(text_col)).items()})
-    return with_stats.where(model.over({k: F.col(v) for k, v in names.items()}) >= 0.5).select(*docs.columns)
+    # a condition on the score itself would be moved below the statistics, which would then be computed once for each
+    # rule that asks for them; a generator stops it there
+    scored = with_stats.select(*docs.columns, F.inline(F.array(F.struct(model.over({k: F.col(v) for k, v in names.items()}).alias(score)))))
+    return scored.where(F.col(score) >= 0.5).select(*docs.columns)
