@@ -81,29 +81,41 @@ class ByteBpe:
         self.id_at = [ranks[k] for k in self.hash.keys]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token by heap and linked list."""
-        ranks, n = self.ranks, len(piece)
-        token: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                heap.append((r, i, piece[i : i + 2]))
+        """Ids of one pre-token by heap and linked list.
+
+        A token is known by where it begins: ``end`` links it to the next one, ``left`` to the one before, ``pair`` is the
+        rank of it with the next one (-1: none). A heap entry is rank and place in one number, and is out of date where
+        ``pair`` says otherwise.
+        """
+        get, n, low = self.ranks.get, len(piece), (1 << 40) - 1
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        end, left = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, i, joined = heapq.heappop(heap)
-            j = right[i]
-            if token[i] is None or j >= n or token[i] + token[j] != joined:
+            x = pop(heap)
+            i = x & low
+            if pair[i] != x >> 40:
                 continue  # one side has been merged since
-            token[i], token[j] = joined, None
-            right[i] = k = right[j]
-            if k < n:
-                left[k] = i
-                if (r := ranks.get(joined + token[k])) is not None:
-                    heapq.heappush(heap, (r, i, joined + token[k]))
-            if (k := left[i]) >= 0 and (r := ranks.get(token[k] + joined)) is not None:
-                heapq.heappush(heap, (r, k, token[k] + joined))
-        return [ranks[t] for t in token if t is not None]
+            j = end[i]
+            end[i] = e = end[j]
+            pair[j] = pair[i] = -1
+            if e < n:
+                left[e] = i
+                if (r := get(piece[i : end[e]], -1)) >= 0:
+                    pair[i] = r
+                    push(heap, r << 40 | i)
+            if (k := left[i]) >= 0:
+                pair[k] = r = get(piece[k:e], -1)
+                if r >= 0:
+                    push(heap, r << 40 | k)
+        out, i, ranks = [], 0, self.ranks
+        while i < n:
+            out.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
 
     def piece(self, text: str) -> list[int]:
         """Ids of one pre-token."""
@@ -119,19 +131,25 @@ class ByteBpe:
 
 
 class _Memo(dict):
-    """Pre-token -> (its ids as text, their decoded bytes); emptied when it takes about ``most`` bytes, so memory is bounded."""
+    """Pre-token -> (its ids as text, their decoded bytes), in two generations of about ``most`` / 2 bytes each.
+
+    When the young one is full it becomes the old one, and what is met again comes back from there; so common pre-tokens
+    stay, and memory is bounded.
+    """
 
     def __init__(self, bpe: ByteBpe, most: int):
-        self.bpe, self.most, self.size = bpe, most, 0
+        self.bpe, self.most, self.size, self.old = bpe, most // 2, 0, {}
 
     def __missing__(self, piece: str) -> tuple[bytes, bytes]:
-        ids = self.bpe.piece(piece)
-        got = (",".join(map(str, ids)).encode(), self.bpe.decode(ids))
+        got = self.old.get(piece)
+        if got is None:
+            ids = self.bpe.piece(piece)
+            got = (",".join(map(str, ids)).encode(), self.bpe.decode(ids))
         if len(piece) <= 64:
             self.size += 320 + len(piece) + len(got[0]) + len(got[1])
             if self.size > self.most:
+                self.old, self.size = dict(self), 0
                 self.clear()
-                self.size = 0
             self[piece] = got
         return got
 
@@ -142,7 +160,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_documents(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 24_000_000
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 64_000_000
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 

@@ -40,7 +40,7 @@ def read_pieces(path: str) -> dict:
 
 
 class PieceCounter:
-    def __init__(self, model: dict, memo: int = 24_000_000):
+    def __init__(self, model: dict, memo: int = 32_000_000):
         self.rank, self.prefix = model["rank"], SPACE if model["dummy_prefix"] else ""
         self.single = {p for p in self.rank if len(p) == 1}
         inside = {c for p in self.rank if len(p) > 1 for c in p}
