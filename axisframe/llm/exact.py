@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import materialise
+from ..plans.lineage import materialise, merged
 from .common import fresh, lean
 
 META = ("__keep", "__size", "__last", "__sha", "__pid", "__edge", "__edge_text")
@@ -157,4 +157,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def thin(df: DataFrame) -> DataFrame:
         return df.sortWithinPartitions(prefix_col, hash_col, text, id_col).mapInArrow(lean(lambda batches: _last_of_runs(batches, text_col)), rows.schema)
 
-    return thin(thin(rows).repartitionByRange(prefix_col, hash_col)).select(*docs.columns)
+    dealt = thin(rows).repartitionByRange(prefix_col, hash_col)
+    return thin(merged(dealt)).select(*docs.columns)  # a range stays in one task when small ones are merged

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,14 +150,13 @@ def _signed(batch_texts: list[str | None], width: int, m: int, rows_per_band: in
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, m: int, rows_per_band: int) -> DataFrame:
-    """(id, name_a, name_b, bands) of every row."""
+    """(id, name_a, name_b, bands, bytes of the text) of every row."""
     pick = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            bands, a, b, part, size, begin = [], [], [], [], 0, 0
-
+            bands, a, b, part, size = [], [], [], [], 0
             for i, value in enumerate(batch.column(1)):
                 part.append(value.as_py())
                 size += len(part[-1] or "")
@@ -166,27 +166,28 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, m: int, rows_p
                     a += [n[0] for n in names]
                     b += [n[1] for n in names]
                     part, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "name_a", "name_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pc.binary_length(batch.column(1)).cast(pa.int64())], ["id", "name_a", "name_b", "bands", "bytes"])
 
-    return pick.mapInArrow(lean(run), f"id {pick.schema[0].dataType.simpleString()}, name_a long, name_b long, bands array<long>")
+    return pick.mapInArrow(lean(run), f"id {pick.schema[0].dataType.simpleString()}, name_a long, name_b long, bands array<long>, bytes long")
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame, keep, load: int = 1000) -> DataFrame:
+def with_texts(pairs: DataFrame, texts: DataFrame, keep, rows: int, load: int = 1000) -> DataFrame:
     """``pairs`` (a, b, ...) with ``text_a`` and ``text_b``.
 
     A ``b`` of more than ``load`` pairs is dealt out in parts of about that many, its text sent to each part, so no
-    key holds a family's whole texts however large the family is.
+    key holds a family's whole texts however large the family is. ``rows``: about how many pairs there are, to size files.
     """
-    crowds = keep(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > load).select("b", F.ceil(F.col("n") / load).cast("int").alias("parts")))
+    crowds = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > load).select("b", F.ceil(F.col("n") / load).cast("int").alias("parts"))
+    crowds = keep(sized(crowds, rows // load))
     left = pairs.join(crowds, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(crowds, "b", "left")
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(right, ["b", "part"]).drop("part")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, keep) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, width: int, keep, rows: int) -> DataFrame:
     """``pairs`` (a, b) with ``similarity``: the exact overlap of the two texts' multisets."""
-    joined = with_texts(pairs.select("a", "b"), texts, keep).select("a", "b", "text_a", "text_b")
+    joined = with_texts(pairs.select("a", "b"), texts, keep, rows).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -218,13 +219,13 @@ def may_contain(ids: DataFrame, x: Column, bits: int = 23) -> Column:
     return F.getbit(F.element_at(packed, F.shiftright(at, 6).cast("int") + 1), (at % 64).cast("int")) == 1
 
 
-def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, keep, most: int = 500_000) -> DataFrame:
+def deltas(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, keep, rows: int, most: int = 500_000) -> DataFrame:
     """For each (rep, centre): ``elements``, by which the multisets differ, and the numbers the search below needs.
 
     An element is a shingle with a sign (the text lacks it, or adds it) and a copy number, as one hash. Rows go out
     whenever ``most`` elements have gathered.
     """
-    joined = with_texts(pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"), "root"), texts, keep)
+    joined = with_texts(pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"), "root"), texts, keep, rows)
     k = similarity / (1 + similarity)
 
     def copies(keys: np.ndarray, counts: np.ndarray, sign: int) -> np.ndarray:
@@ -273,7 +274,7 @@ def _across(placed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
     seen = placed.where("rep != centre").select("rep", "centre").distinct()
     seen = seen.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = seen.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("centre")
-    apart = keep(deltas(seen.join(mixed, "centre"), texts, width, similarity, keep))
+    apart = keep(sized(deltas(seen.join(mixed, "centre"), texts, width, similarity, keep, rows), rows, 1024))
     each = apart.select("rep", "centre", F.explode("elements").alias("element"))
     rare = each.groupBy("centre", "element").agg(F.count("*").alias("n")).where("n > 1")
     # where an element stands in its text's order: those of one text alone come first and find nobody
@@ -285,12 +286,10 @@ def _across(placed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
     # how far beyond the centre's reach the nearest text that isn't linked to it is
     beyond = facts.where("apart").groupBy("centre").agg(F.min(F.col("cost") - F.col("free")).alias("gap"))
     # ``behind`` counts the elements from this one on: no more can be shared by texts whose rarest shared element it is
-    ranked = keep(
-        behind.join(facts, ["rep", "centre"]).join(beyond, "centre")
-        .withColumn("near", F.col("behind") >= F.col("cost") + F.greatest("gap", F.lit(0.0)) - least)
-        .withColumn("far", F.col("apart") & (F.col("behind") >= F.col("cost") - F.col("free") - least))
-        .where("near OR far")
-    )
+    ranked = behind.join(facts, ["rep", "centre"]).join(beyond, "centre")
+    ranked = ranked.withColumn("near", F.col("behind") >= F.col("cost") + F.greatest("gap", F.lit(0.0)) - least)
+    ranked = ranked.withColumn("far", F.col("apart") & (F.col("behind") >= F.col("cost") - F.col("free") - least))
+    ranked = keep(sized(ranked.where("near OR far"), rows, 1024))
     # the class that most entries of an element have, and elements that more than one class has
     by_class = ranked.groupBy("centre", "element", "root").agg(F.count("*").alias("n"))
     home = by_class.groupBy("centre", "element").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
@@ -304,7 +303,7 @@ def _across(placed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
     if pairs.isEmpty():
         return pairs
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return keep(compare(pairs, texts.join(need, "id", "left_semi"), width, keep).where(F.col("similarity") >= similarity).select("a", "b"))
+    return keep(compare(pairs, texts.join(need, "id", "left_semi"), width, keep, rows).where(F.col("similarity") >= similarity).select("a", "b"))
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 64, rows_per_band: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +318,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 6
     """
     with scratch(docs.sparkSession) as keep:
         signed = keep(sign(docs, id_col, text_col, width, m, rows_per_band))
-        rows = signed.count()
+        rows, volume = signed.agg(F.count("*"), F.sum("bytes")).first()
         bands = m // rows_per_band
         whole = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
         # equal multisets: one stands for all
@@ -334,15 +333,15 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, m: int = 6
         placed = keep(sized(crowded.select("band", "rep").join(centres, "band"), rows * bands, 24))
         texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         wanted = placed.select(F.col("rep").alias("id")).distinct()
-        texts = keep(texts.where(may_contain(wanted, F.col("id"))).join(wanted, "id", "left_semi"))
+        texts = keep(sized(texts.where(may_contain(wanted, F.col("id"))).join(wanted, "id", "left_semi"), volume or 0, 1))
         pairs = placed.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-        links = keep(sized(compare(pairs, texts, width, keep).where(F.col("similarity") >= similarity).select("a", "b"), rows * 8))
-        roots = components(links, keep)
+        links = keep(sized(compare(pairs, texts, width, keep, rows).where(F.col("similarity") >= similarity).select("a", "b"), rows * 8))
+        roots = components(links, keep, links.count())
         more = _across(placed, roots, texts, similarity, width, keep, rows)
         if not more.isEmpty():
             # links between classes: components of classes, then each text's
             a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-            above = components(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b"), keep)
+            above = components(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b"), keep, more.count())
             every = roots.select("id", "root").unionByName(above.select("id", F.col("id").alias("root")).join(roots.select("id"), "id", "left_anti"))
             roots = keep(sized(every.join(above.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")), rows))
         whose = whole.select("id", "name_a", "name_b").join(named.select("name_a", "name_b", "rep"), ["name_a", "name_b"]).select("id", "rep")
@@ -364,7 +363,7 @@ def kept_rows(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str = "
     # most rows needn't move: they can't be among those dropped
     doubt = may_contain(dropped, F.col(id_col))
     out = fresh("out", docs.columns)
-    kept = docs.where(F.col(id_col).isNull() | ~doubt).unionByName(docs.where(doubt).join(dropped.withColumnRenamed("id", out), F.col(id_col) == F.col(out), "left_anti"))
+    kept = docs.where(F.col(id_col).isNull() | ~doubt).unionByName(sized(docs.where(doubt).join(dropped.withColumnRenamed("id", out), F.col(id_col) == F.col(out), "left_anti"), dropped.count(), 4096))
     again = fresh("again", docs.columns)
     repeated = marked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again)
     if repeated.isEmpty():

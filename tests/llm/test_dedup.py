@@ -239,7 +239,7 @@ def test_hot_centres_are_dealt_out(spark):
     from axisframe.plans.lineage import materialise
 
     for load in (1, 7, 1000):
-        got = near.with_texts(pairs, texts, materialise, load)
+        got = near.with_texts(pairs, texts, materialise, 59, load)
         assert sorted((r["a"], r["b"], r["text_a"], r["text_b"]) for r in got.collect()) == [(a, int(a >= 50), f"t{a}", f"t{int(a >= 50)}") for a in range(1, 60)]
 
 
