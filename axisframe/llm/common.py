@@ -10,8 +10,24 @@ from pyspark.sql import functions as F
 from ..plans.lineage import merged
 
 
+#: Bytes of a batch that a Python worker gets at once.
+BATCH = 8 << 20
+
+
+def opened(df: DataFrame) -> DataFrame:
+    """``df`` for operators with Python workers: splits not worth a task merged, and Arrow batches of 8 MB in its session.
+
+    A row count alone doesn't bound a batch of whole texts. A session that has a bound of its own other than Spark's
+    64 MB keeps it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(conf.get(key, "0")).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        conf.set(key, str(BATCH))
+    return merged(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return merged(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return opened(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -274,6 +274,7 @@ def _across(placed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
     seen = placed.where("rep != centre").select("rep", "centre").distinct()
     seen = seen.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = seen.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("centre")
+    mixed = keep(sized(mixed, rows))  # a row a centre: written, so that Spark knows its size and the crowd of a hot centre needn't move
     apart = keep(sized(deltas(seen.join(mixed, "centre"), texts, width, similarity, keep, rows), rows, 1024))
     each = apart.select("rep", "centre", F.explode("elements").alias("element"))
     rare = each.groupBy("centre", "element").agg(F.count("*").alias("n")).where("n > 1")
@@ -284,7 +285,7 @@ def _across(placed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
     least = 1e-9
     facts = apart.select("rep", "centre", "root", "cost", "free", "apart")
     # how far beyond the centre's reach the nearest text that isn't linked to it is
-    beyond = facts.where("apart").groupBy("centre").agg(F.min(F.col("cost") - F.col("free")).alias("gap"))
+    beyond = keep(sized(facts.where("apart").groupBy("centre").agg(F.min(F.col("cost") - F.col("free")).alias("gap")), rows))
     # ``behind`` counts the elements from this one on: no more can be shared by texts whose rarest shared element it is
     ranked = behind.join(facts, ["rep", "centre"]).join(beyond, "centre")
     ranked = ranked.withColumn("near", F.col("behind") >= F.col("cost") + F.greatest("gap", F.lit(0.0)) - least)
