@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from axisframe.llm import decontaminate, exact, near, quality, queries
-from axisframe.plans.lineage import materialise, merged, new_path, remove, write_table
+from axisframe.llm.common import opened
+from axisframe.plans.lineage import materialise, new_path, remove, write_table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +15,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null texts count as empty, and empty ones get the verdict on an empty text; equal texts get equal verdicts, so
     repeated rows stay or go together; without labels every row stays; an empty table gives an empty one.
     """
-    docs = merged(docs)
+    docs = opened(docs)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -24,7 +25,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one text. Null ids come before all others; of rows that repeat text and id one stays. An
     empty table gives an empty one.
     """
-    return exact.drop_copies(merged(docs))
+    return exact.drop_copies(opened(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and wordless texts and rows with a null id are each their own class and stay; of rows that repeat an id one
     stays. An empty table gives an empty one.
     """
-    docs = merged(docs)
+    docs = opened(docs)
     return near.kept_rows(docs, near.classes(docs), "doc_id")
 
 
@@ -43,12 +44,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and wordless texts stay, repeated rows stay or go together, null or empty items match nothing; an empty table
     or benchmark is no error.
     """
-    return decontaminate.drop_leaks(merged(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.drop_leaks(opened(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of every document that is left: a row a row, null text counting as empty."""
-    return queries.encode(merged(docs))
+    return queries.encode(opened(docs))
 
 
 STAGES = [("quality", good_quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("byte bpe", byte_bpe)]
