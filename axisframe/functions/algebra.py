@@ -114,18 +114,23 @@ def crlb_isr(polys, variances) -> np.ndarray:
 
 def procrustes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The orthogonal matrix r with the least ||a r - b||."""
-    u, _, vt = np.linalg.svd(a.T @ b)
+    return procrustes_of(a.T @ b)
+
+
+def procrustes_of(products: np.ndarray) -> np.ndarray:
+    """The same from the sums of products aᵀ b, which can be aggregated over any number of rows."""
+    u, _, vt = np.linalg.svd(products)
     return u @ vt
 
 
 def running_averages(x: np.ndarray, fast: float = 0.5, slow: float = 0.975) -> np.ndarray:
     """Fast average of what a slow average leaves, over time."""
-    f, s, out = 0.0, x[:10].mean(), np.empty(len(x))
-    for i, v in enumerate(x):
-        f = fast * f + (1 - fast) * (v - s)
-        s = slow * s + (1 - slow) * v
-        out[i] = f
-    return out
+    from .filters import lfilter
+
+    x, start = np.asarray(x, float), float(np.mean(x[:10]))
+    level = lfilter([1 - slow], [1, -slow], x[None], np.array([[slow * start]]))[0]
+    before = np.concatenate([[start], level[:-1]])
+    return lfilter([1 - fast], [1, -fast], (x - before)[None])[0]
 
 
 def find_blinks(x: np.ndarray, radius: int, fast: float = 0.5, slow: float = 0.975, threshold: float | None = None) -> np.ndarray:

@@ -8,7 +8,7 @@ from .design import butter, cheby1, hamming_lowpass
 
 
 def lfilter(b, a, x: np.ndarray, zi: np.ndarray | None = None) -> np.ndarray:
-    """Rational filter along the last axis, transposed direct form II, all other axes at once."""
+    """Rational filter along the last axis, transposed direct form II; all other axes at once, and a series much longer than the filter rings by FFT."""
     b, a = np.atleast_1d(np.asarray(b, float)), np.atleast_1d(np.asarray(a, float))
     n = max(len(a), len(b))
     b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
@@ -17,15 +17,34 @@ def lfilter(b, a, x: np.ndarray, zi: np.ndarray | None = None) -> np.ndarray:
     if not a[1:].any() and zi is None:  # FIR
         out = np.apply_along_axis(lambda r: np.convolve(r, b)[: len(r)], 1, flat) if flat.size else flat
         return out.reshape(x.shape)
-    state = np.zeros((n, len(flat)))
+    state = np.zeros((n - 1, len(flat))) if zi is None else np.broadcast_to(np.asarray(zi, float).reshape(n - 1, -1), (n - 1, len(flat)))
+    size = flat.shape[1]
+    # the filter's memory: until its response to an impulse is below the last digit of its start
+    ring = int(np.ceil(np.log(1e-18) / np.log(min(max(np.abs(np.roots(a)).max(initial=0.0), 0.1), 1 - 1e-9)))) + n
+    if size < max(256, 2 * ring):
+        return _steps(b, a, flat, state)[0].reshape(x.shape)
+    # the recursion gives the response to an impulse and the fading of the first state; long series are sums of these
+    impulse = np.zeros((1, ring))
+    impulse[0, 0] = 1
+    h = _steps(b, a, impulse, np.zeros((n - 1, 1)))[0][0]
+    wide = 1 << (size + ring - 1).bit_length()
+    out = np.fft.irfft(np.fft.rfft(flat, wide, axis=-1) * np.fft.rfft(h, wide), wide, axis=-1)[:, :size]
     if zi is not None:
-        state[:-1] = np.asarray(zi).reshape(n - 1, -1)
-    out, columns = np.empty((flat.shape[1], len(flat))), np.ascontiguousarray(flat.T)
+        out[:, :ring] += _steps(b, a, np.zeros((len(flat), ring)), state)[0]
+    return out.reshape(x.shape)
+
+
+def _steps(b: np.ndarray, a: np.ndarray, rows: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The recursion step by step, all rows at once: (filtered rows, states at the end)."""
+    n = len(b)
+    held = np.zeros((n, len(rows)))
+    held[:-1] = state
+    out, columns = np.empty((rows.shape[1], len(rows))), np.ascontiguousarray(rows.T)
     for t, v in enumerate(columns):
-        y = b[0] * v + state[0]
-        state[:-1] = state[1:] + np.outer(b[1:], v) - np.outer(a[1:], y)
+        y = b[0] * v + held[0]
+        held[:-1] = held[1:] + np.outer(b[1:], v) - np.outer(a[1:], y)
         out[t] = y
-    return out.T.reshape(x.shape)
+    return out.T, held[:-1]
 
 
 def lfilter_zi(b, a) -> np.ndarray:
@@ -71,18 +90,20 @@ def buttfilt(x: np.ndarray, band, samplerate: float, kind: str = "stop", order:
     return filtfilt(b, a, x)
 
 
+def smooth(x: np.ndarray, q: int, order: int | None = None, kind: str = "iir") -> np.ndarray:
+    """What comes before every q-th sample is taken: a zero-phase Chebyshev filter (order 8, 0.05 dB, at 0.8/q) or a Hamming FIR (30 taps, at 1/q)."""
+    if kind == "fir":
+        return lfilter(hamming_lowpass((30 if order is None else order) + 1, 1 / q), [1.0], x)
+    return filtfilt(*cheby1(8 if order is None else order, 0.05, 0.8 / q), x)
+
+
 def decimate(x: np.ndarray, q: int, order: int | None = None, kind: str = "iir") -> np.ndarray:
-    """Every q-th sample after a zero-phase Chebyshev filter (order 8, 0.05 dB, at 0.8/q) or a Hamming FIR (30 taps, at 1/q)."""
+    """Every q-th sample of the smoothed series."""
     if not isinstance(q, int | np.integer):
         raise TypeError("q must be a whole number")
-    if kind == "fir":
-        y = lfilter(hamming_lowpass((30 if order is None else order) + 1, 1 / q), [1.0], x)
-    elif kind == "iir":
-        b, a = cheby1(8 if order is None else order, 0.05, 0.8 / q)
-        y = filtfilt(b, a, x)
-    else:
+    if kind not in ("iir", "fir"):
         raise ValueError(f"no kind of decimation {kind!r}")
-    return y[..., ::q]
+    return smooth(x, q, order, kind)[..., ::q]
 
 
 def resample(x: np.ndarray, n: int, window: np.ndarray | None = None) -> np.ndarray:

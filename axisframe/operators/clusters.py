@@ -93,26 +93,24 @@ def find_clusters(cells: DataFrame, edges: DataFrame, threshold: float, tail: in
 def pval_from_histogram(stats: DataFrame, null: DataFrame, tail: int = 0, value: str = "value") -> DataFrame:
     """``stats`` with ``p`` = (null values as extreme + 1) / (their number + 1).
 
-    Both sides are sorted together once and null values are counted as they pass: by buckets of the value first, so
-    neither a pairing of all with all nor one long window is needed.
+    Distinct values of both sides, each with its number of null values, are sorted together by ranges and counted as
+    they pass, so neither a pairing of all with all nor one long window is needed, and ties are one row.
     """
     if tail not in (-1, 0, 1):
         raise ValueError("tail is -1, 0 or 1")
     size = F.abs(F.col(value)) if tail == 0 else -F.col(value) if tail == -1 else F.col(value)
-    both = stats.withColumn("__v", size).withColumn("__null", F.lit(0)).unionByName(null.select(size.alias("__v"), F.lit(1).alias("__null")), allowMissingColumns=True)
-    # null values at or above a statistic: on a tie the null value comes first
-    both = both.repartitionByRange("__v").sortWithinPartitions(F.desc("__v"), F.desc("__null"))
-    part = both.withColumn("__part", F.spark_partition_id())
+    both = stats.select(size.alias("__v"), F.lit(0).alias("__null")).unionByName(null.select(size.alias("__v"), F.lit(1).alias("__null")))
+    both = both.groupBy("__v").agg(F.sum("__null").alias("__null")).repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
     from ..plans.lineage import materialise
 
-    part = materialise(part)
+    part = materialise(both)
     ahead = part.groupBy("__part").agg(F.sum("__null").alias("n"))  # one row a partition; later partitions hold larger values
     w = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     total = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ahead = ahead.select("__part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__ahead"), F.sum("n").over(total).alias("__all"))
-    here = F.sum("__null").over(Window.partitionBy("__part").orderBy(F.desc("__v"), F.desc("__null")).rowsBetween(Window.unboundedPreceding, 0))
-    got = part.withColumn("__here", here).join(ahead, "__part").where("__null = 0")
-    return got.withColumn("p", (F.col("__here") + F.col("__ahead") + 1) / (F.col("__all") + 1)).select(*stats.columns, "p")
+    here = F.sum("__null").over(Window.partitionBy("__part").orderBy(F.desc("__v")).rowsBetween(Window.unboundedPreceding, 0))
+    p = part.withColumn("__here", here).join(ahead, "__part").select("__v", ((F.col("__here") + F.col("__ahead") + 1) / (F.col("__all") + 1)).alias("p"))
+    return stats.withColumn("__v", size).join(p, "__v").select(*stats.columns, "p")
 
 
 def thresholds(spark: SparkSession, lo: float, hi: float, step: float) -> DataFrame:
@@ -212,4 +210,10 @@ def tfce(cube: Cube, over: list[str], shape: tuple[int, ...], edges: list[tuple[
     return cube.with_(df.groupBy(*keys).applyInPandas(run, df.schema) if keys else df.groupBy(F.lit(0)).applyInPandas(run, df.schema))
 
 
+def tfce_signed(cube: Cube, over: list[str], shape: tuple[int, ...], edges: list[tuple[int, int]] | None = None, **kw) -> Cube:
+    """Positive and negative sides enhanced apart, in one cube."""
+    up, down = (tfce(cube, over, shape, edges, tail=tail, **kw) for tail in (1, -1))
+    return up.combine(down, lambda a, b: a + b)
+
+
 METHODS = {"runs": runs, "tfce_runs": tfce_runs}

@@ -6,18 +6,53 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.algebra import ar_covariance, autoregression, clean_component, crlb_isr, find_blinks, wasobi, whitening
+from ..functions.algebra import ar_covariance, autoregression, clean_component, crlb_isr, running_averages, wasobi, whitening
 
 
 def covariance(cells: DataFrame, var: str, obs: str, value: str = "value", ddof: int = 1) -> DataFrame:
-    """(a, b, cov) of all pairs of variables a <= b over observations: long cells are paired by observation, with partial sums."""
-    n = F.count("*")
-    x, y = cells.select(F.col(var).alias("a"), obs, F.col(value).alias("__x")), cells.select(F.col(var).alias("b"), obs, F.col(value).alias("__y"))
-    pairs = x.join(y, obs).where("a <= b")
-    return pairs.groupBy("a", "b").agg((F.covar_pop("__x", "__y") * n / (n - ddof)).alias("cov"))
+    """(a, b, cov) of all pairs of variables a <= b over observations.
+
+    Each observation's cells are gathered once; tasks sum products of whole blocks of observations by BLAS, shifted by
+    the first of them so that large means cost no digits, and the d x d sums of tasks are merged by moments. Variables
+    missing from an observation take no part in it, as if it weren't there for their pairs.
+    """
+    names = [r[0] for r in cells.select(var).distinct().orderBy(var).collect()]
+    d, kind = len(names), cells.schema[var].dataType
+    place = {x: i for i, x in enumerate(names)}
+    whole = cells.groupBy(obs).agg(F.collect_list(F.struct(F.col(var).alias("k"), F.col(value).cast("double").alias("v"))).alias("cells"))
+
+    def run(batches):
+        shift, n, sx, sxy = None, np.zeros((d, d)), np.zeros((d, d)), np.zeros((d, d))
+        for batch in batches:
+            lists = batch.column(0)
+            inner, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            x = np.full((len(lists), d), np.nan)
+            x[np.repeat(np.arange(len(lists)), ends), [place[k] for k in inner.field("k").to_pylist()]] = inner.field("v").to_numpy(zero_copy_only=False)
+            there = ~np.isnan(x)
+            if shift is None:
+                shift = np.where(there.any(0), np.nan_to_num(x[there.argmax(0), np.arange(d)]), 0.0)
+            y, m = np.where(there, x - shift, 0.0), there.astype(float)
+            n, sx, sxy = n + m.T @ m, sx + y.T @ m, sxy + y.T @ y  # of a pair: observations that have both, sum of its first, of products
+        if shift is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]) for a in (shift, n, sx, sxy)], ["shift", "n", "sx", "sxy"])
+
+    parts = whole.select("cells").mapInArrow(run, "shift binary, n binary, sx binary, sxy binary").collect()  # d x d blocks, one a task
+    n, mean, moment = np.zeros((d, d)), np.zeros((d, d)), np.zeros((d, d))  # pair (i, j): count, mean of i, centred sum of products
+    for r in parts:
+        shift, m, sx, sxy = (np.frombuffer(r[k]).reshape(-1, d) for k in ("shift", "n", "sx", "sxy"))
+        some = np.where(m > 0, m, 1)
+        here = shift[0][:, None] + sx / some
+        gap, both = here - mean, n + m
+        moment = moment + (sxy - sx * sx.T / some) + gap * gap.T * n * m / np.where(both > 0, both, 1)
+        mean = np.where(both > 0, mean + gap * m / np.where(both > 0, both, 1), 0)
+        n = both
+    got = [(names[i], names[j], float(moment[i, j] / (n[i, j] - ddof))) for i in range(d) for j in range(i, d) if n[i, j] > ddof]
+    return cells.sparkSession.createDataFrame(got, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cov", T.DoubleType())]))
 
 
 def gram(series: DataFrame, values: str, d: int, lags: int = 0, center: bool = True) -> np.ndarray:
@@ -68,7 +103,7 @@ def project(signal: DataFrame, weights: np.ndarray, channel: str = "channel", sa
     channels = [r[0] for r in signal.select(channel).distinct().orderBy(channel).collect()]
     rows = [(int(i), c, float(w)) for i, row in enumerate(weights) for c, w in zip(channels, row, strict=True)]
     table = signal.sparkSession.createDataFrame(rows, f"{name} int, {channel} {signal.schema[channel].dataType.simpleString()}, __w double")
-    return signal.join(F.broadcast(table), channel).groupBy(name, sample).agg(F.sum(F.col(value) * F.col("__w")).alias(value))  # components x channels rows
+    return signal.join(table, channel).groupBy(name, sample).agg(F.sum(F.col(value) * F.col("__w")).alias(value))  # components x channels rows
 
 
 def pca(signal: DataFrame, ncomps: int | None = None, eigratio: float = 1e6, **cols) -> tuple[np.ndarray, DataFrame]:
@@ -150,13 +185,30 @@ def remove_artifacts(signal: DataFrame, samplerate: float, channels=(0, 1), fact
 
 
 def blinks(series: DataFrame, key: str, radius: int, fast: float = 0.5, slow: float = 0.975, threshold: float | None = None) -> DataFrame:
-    """(key, sample) of samples near a blink, of (key, sample, value); each series is one task, as the averages recur over it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        return pdf.loc[find_blinks(pdf["value"].to_numpy(), radius, fast, slow, threshold), [key, "sample"]]
+    """(key, sample) of samples near a blink, of (key, sample, value).
 
-    return series.select(key, "sample", "value").groupBy(key).applyInPandas(run, series.select(key, "sample").schema)
+    The averages run in chunks whose halo is as long as they remember (to 1e-12). As in
+    :func:`axisframe.functions.algebra.find_blinks` the forward average at a place is multiplied with the backward one
+    that far from the end. The standard deviation of the product, if no threshold is given, is an aggregate; what is
+    near a blink is spread out from each.
+    """
+    from ..plans.cube import Cube
+    from ..plans.timecube import CHUNK, TimeCube
+
+    cells = series.select(F.lit(0).alias("k_idx"), F.col(key).alias("k"), F.col("sample").cast("int").alias("s_idx"), F.col("sample").alias("s"), "value")
+    halo = int(np.ceil(np.log(1e-12) / np.log(max(fast, slow)))) + 10
+    cube = TimeCube.of(Cube(cells, ("k", "s")), "s", 1.0)
+    averages = [cube.apply_chunked(f, max(CHUNK, 4 * halo), halo).df for f in (
+        lambda rows, t: {None: np.stack([running_averages(r, fast, slow) for r in rows])},
+        lambda rows, t: {None: np.stack([running_averages(r[::-1], fast, slow)[::-1] for r in rows])},
+    )]
+    last = cells.groupBy("k").agg(F.max("s_idx").alias("__last"))
+    back = averages[1].join(last, "k").select("k", (F.col("__last") - F.col("s_idx")).alias("s_idx"), F.col("value").alias("__back"))
+    both = averages[0].join(back, ["k", "s_idx"]).select("k", "s_idx", F.abs(F.col("value") * F.col("__back") / 2).alias("value"))
+    limits = both.groupBy("k").agg(F.stddev_pop("value").alias("__sd"), F.max("s_idx").alias("__last"))
+    hits = both.join(limits, "k").where(F.col("value") > (F.col("__sd") if threshold is None else F.lit(float(threshold))))
+    near = hits.select("k", F.explode(F.sequence(F.greatest(F.col("s_idx") - radius, F.lit(0)), F.least(F.col("s_idx") + radius - 1, "__last"))).alias("sample")).distinct()
+    return near.select(F.col("k").alias(key), F.col("sample").cast(series.schema["sample"].dataType).alias("sample"))
 
 
 def segment_correlation(a: DataFrame, b: DataFrame, on: list[str], keys: list[str]) -> DataFrame:

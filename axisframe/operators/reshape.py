@@ -124,7 +124,27 @@ def from_series(series: DataFrame, cube: Cube, dim: str, value: str = "values",
     return cube.with_(df.select(*keys, f"{dim}_idx", F.col("__x.label").alias(dim), F.col("__x.v").alias(cube.value)), (*rest, dim))
 
 
+def flat(cube: Cube, condition: Column) -> Cube:
+    """The cells where a condition over any axes holds, in row-major order along one axis ``cell``, labelled with their row-major numbers."""
+    from .statistics import sorted_ranks
+
+    chosen = cube.df.where(condition).select(ordinal(cube).alias("cell"), cube.value)
+    ranked = sorted_ranks(chosen, F.col("cell"))
+    return cube.with_(ranked.select((F.col("__rank") - 1).cast("int").alias("cell_idx"), "cell", cube.value), ("cell",))
+
+
+def repeat_to_match(cube: Cube, other: Cube) -> Cube:
+    """The cube's cells repeated along the axes that ``other`` has besides, in the order of the other's axes."""
+    if missing := set(cube.dims) - set(other.dims):
+        raise ValueError(f"the other cube has no axes {sorted(missing)}")
+    df = cube.df
+    for d in other.dims:
+        if d not in cube.dims:
+            df = df.crossJoin(other.axis_table(d))
+    return cube.with_(df.select(*(c for d in other.dims for c in (f"{d}_idx", d)), cube.value), other.dims)
+
+
 METHODS = {
-    "transpose": transpose, "swapaxes": swapaxes, "squeeze": squeeze, "ravel": ravel, "flatten": ravel, "reshape": reshape, "resize": resize, "repeat": repeat,
+    "flat": flat, "repeat_to_match": repeat_to_match, "transpose": transpose, "swapaxes": swapaxes, "squeeze": squeeze, "ravel": ravel, "flatten": ravel, "reshape": reshape, "resize": resize, "repeat": repeat,
     "diagonal": diagonal, "add_dim": add_dim, "compress": compress, "nonzero": nonzero, "take": take, "compact": compact, "to_series": to_series,
 }

@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.dist import t_sf2, ttest_z_one_sided
+from ..functions.dist import normal_cdf, t_sf2, z_one_sided
 
 
-def _sorted_ranks(df: DataFrame, by: Column) -> DataFrame:
-    """``__rank`` 1.. over the whole table in the order of ``by``: ranges of values are sorted apart and counted, so no task sorts all."""
+def sorted_ranks(df: DataFrame, by: Column) -> DataFrame:
+    """``__rank`` 1.. over the whole table in the order of ``by``: ranges of values are sorted apart and counted, so no task sorts all.
+
+    Rows of one value are told apart by where they come from, so they too can be dealt over several ranges.
+    """
     from ..plans.lineage import materialise
 
-    part = materialise(df.withColumn("__by", by).repartitionByRange("__by").withColumn("__part", F.spark_partition_id()))
+    keyed = df.withColumns({"__value": by, "__source": F.monotonically_increasing_id()})
+    part = materialise(keyed.repartitionByRange("__value", "__source").withColumns({"__part": F.spark_partition_id(), "__by": F.struct("__value", "__source")}).drop("__value", "__source"))
     sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
@@ -28,12 +32,12 @@ def fdr(df: DataFrame, p: str = "p", alpha: float = 0.05, method: str = "indep")
 
     A test is rejected if its p-value is at or below the largest one that lies strictly below its line.
     """
-    ranked = _sorted_ranks(df, F.col(p))
+    ranked = sorted_ranks(df, F.col(p))
     n = df.count()
     if method in ("indep", "poscorr"):
         factor = 1.0
     elif method in ("negcorr", "n"):
-        factor = float((1 / np.arange(1, n + 1)).sum()) if n < 1_000_000 else float(np.log(n) + np.euler_gamma + 1 / (2 * n))
+        factor = df.sparkSession.range(1, n + 1).agg(F.sum(1 / F.col("id"))).first()[0] or 1.0
     else:
         raise ValueError("method is 'indep' or 'negcorr'")
     raw = F.col(p) * F.lit(n * factor) / F.col("__rank")
@@ -50,7 +54,7 @@ def fdr(df: DataFrame, p: str = "p", alpha: float = 0.05, method: str = "indep")
 
 def holm(df: DataFrame, p: str = "p") -> DataFrame:
     """``df`` with ``p_corrected`` by Holm's step-down method."""
-    ranked, n = _sorted_ranks(df, F.col(p)), df.count()
+    ranked, n = sorted_ranks(df, F.col(p)), df.count()
     ranked = ranked.withColumn("__raw", F.col(p) * (F.lit(n) - F.col("__rank") + 1))
     ends = ranked.groupBy("__part").agg(F.max("__raw").alias("m"))
     ends = ends.select("__part", F.max("m").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__m"))
@@ -65,18 +69,29 @@ def order_key(i: Column, k: Column) -> Column:
 
 
 def permutations(df: DataFrame, index: str, group: str | None, n: int) -> DataFrame:
-    """(perm, ``index``, source): in permutation 0..n each row takes the place of ``source``; rows are shuffled inside their group only."""
-    perms = df.sparkSession.range(n + 1).select(F.col("id").alias("perm"))
-    rows = df.select(index, *([group] if group else [])).crossJoin(perms)
-    by = ["perm", *([group] if group else [])]
-    place = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(index)))
-    shuffled = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(order_key(F.col(index), F.col("perm")), index))).select(*by, "__r", F.col(index).alias("source"))
-    return place.join(shuffled, [*by, "__r"]).select("perm", index, "source")
+    """(perm, ``index``, source): in permutation 0..n each row takes the place of ``source``; rows are shuffled inside their group only.
+
+    Places are found once for all permutations. Ranks come from ranges of the sorted rows, so one group may hold them all.
+    """
+    rows = df.select(F.col(index).alias("__i"), (F.col(group) if group else F.lit(0)).alias("__g"))
+    place = _ranks_within(rows, ["__g"], F.col("__i"))
+    dealt = rows.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
+    dealt = _ranks_within(dealt, ["perm", "__g"], F.struct(order_key(F.col("__i"), F.col("perm")), "__i")).select("perm", "__g", "__r", F.col("__i").alias("source"))
+    return dealt.join(place, [place["__g"].eqNullSafe(dealt["__g"]), place["__r"] == dealt["__r"]]).select("perm", F.col("__i").alias(index), "source")
+
+
+def _ranks_within(df: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """``df`` with ``__r``: 1.. in the order of ``by`` among the rows of the same keys."""
+    ranked = sorted_ranks(df, F.struct(*keys, by.alias("__order")))
+    first = ranked.groupBy(*keys).agg(F.min("__rank").alias("__first"))
+    other = first.select(*(F.col(k).alias(f"{k}_") for k in keys), "__first")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return ranked.join(other, same).withColumn("__r", F.col("__rank") - F.col("__first") + 1).select(*df.columns, "__r")
 
 
 @F.pandas_udf(DoubleType())
-def _z(mx: pd.Series, vx: pd.Series, nx: pd.Series, my: pd.Series, vy: pd.Series, ny: pd.Series) -> pd.Series:
-    return pd.Series(ttest_z_one_sided(*(s.to_numpy(float) for s in (mx, vx, nx, my, vy, ny))))
+def _z(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(z_one_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
@@ -85,16 +100,25 @@ def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_sf2(t.to_numpy(float), df.to_numpy(float)))
 
 
+@F.pandas_udf(DoubleType())
+def normal_pvalue(z: pd.Series) -> pd.Series:
+    """Two-sided p-value of a standard normal."""
+    return pd.Series(2 * normal_cdf(-np.abs(z.to_numpy(float))))
+
+
 def ttest_z(df: DataFrame, keys: list[str], value: str, is_x: Column) -> DataFrame:
-    """One-sided z of the pooled t-test of rows where ``is_x`` against the others, by ``keys``."""
+    """(keys, t, z): pooled t-test of rows where ``is_x`` against the others, and its one-sided z."""
     v = F.col(value)
     x, y = F.when(is_x, v), F.when(~is_x, v)
     m = df.groupBy(*keys).agg(F.avg(x).alias("mx"), F.var_samp(x).alias("vx"), F.count(x).alias("nx"), F.avg(y).alias("my"), F.var_samp(y).alias("vy"), F.count(y).alias("ny"))
-    return m.select(*keys, _z("mx", "vx", "nx", "my", "vy", "ny").alias("z"))
+    df = F.col("nx") + F.col("ny") - 2
+    pooled = ((F.col("nx") - 1) * F.col("vx") + (F.col("ny") - 1) * F.col("vy")) / df
+    m = m.withColumns({"t": (F.col("mx") - F.col("my")) / F.sqrt(pooled * (1 / F.col("nx") + 1 / F.col("ny"))), "df": df.cast("double")})
+    return m.select(*keys, "t", _z("t", "df").alias("z"))
 
 
 def permutation_test(df: DataFrame, index: str, value: str, in_x: str, features: list[str] = (), iterations: int = 1000, paired: bool = False, parametric: bool = True) -> DataFrame:
-    """(perm, features, z): perm 0 is the data, the others have their rows dealt anew to the two sides."""
+    """(perm, features, t, z): perm 0 is the data, the others have their rows dealt anew to the two sides."""
     if paired:
         raise NotImplementedError("only tests of two samples that are not paired")
     if not parametric:

@@ -6,7 +6,9 @@ chunks: sums of chunks first, then each chunk on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import math
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..plans.cube import Cube
@@ -106,7 +108,32 @@ def dilate(cube: Cube, radius: int, dim: int | str = -1):
     return cube.df.where(F.col(cube.value) != 0).select(*rest, at).where((F.col(f"{d}_idx") >= 0) & (F.col(f"{d}_idx") < n)).distinct()
 
 
+def unwrap(cube: Cube, dim: int | str = -1) -> Cube:
+    """Angles along an axis without jumps of more than pi: each such jump is made up for by whole turns from there on."""
+    d = cube.axis(dim)
+    step = F.col(cube.value) - F.lag(cube.value).over(_ordered(cube, d, F.col(f"{d}_idx")))
+    turn = F.lit(2 * math.pi)
+    short = F.pmod(step + math.pi, turn) - math.pi
+    short = F.when((short == -math.pi) & (step > 0), F.lit(math.pi)).otherwise(short)
+    made_up = F.when(F.abs(step) < math.pi, F.lit(0.0)).otherwise(F.coalesce(short - step, F.lit(0.0)))
+    df = cube.df.withColumn("__made_up", made_up)
+    return cube.with_(df.withColumn(cube.value, F.col(cube.value) + F.sum("__made_up").over(_over(cube, d))).drop("__made_up"))
+
+
+def zscored(cube: Cube, dim: int | str = -1, base: Column | None = None, ddof: int = 1) -> Cube:
+    """Values less their series' mean, by its standard deviation, both taken over the cells where ``base`` holds (all without it).
+
+    Moments are partial aggregates, joined back to the cells; no window holds a series.
+    """
+    d = cube.axis(dim)
+    rest, v = cube.keys(d), F.col(cube.value)
+    inside = v if base is None else F.when(base, v)
+    moments = cube.df.groupBy(*rest).agg(F.avg(inside).alias("__mean"), (F.stddev_samp(inside) if ddof == 1 else F.stddev_pop(inside)).alias("__sd"))
+    df = cube.df.join(moments, rest) if rest else cube.df.crossJoin(F.broadcast(moments))  # one row
+    return cube.with_(df.withColumn(cube.value, (v - F.col("__mean")) / F.col("__sd")).select(*cube.df.columns))
+
+
 METHODS = {
-    "cumsum": cumsum, "cumprod": cumprod, "argsort": argsort, "sort_axis": sort_axis, "sort_with_labels": sort_with_labels, "rankdata": rankdata,
+    "unwrap": unwrap, "zscored": zscored, "cumsum": cumsum, "cumprod": cumprod, "argsort": argsort, "sort_axis": sort_axis, "sort_with_labels": sort_with_labels, "rankdata": rankdata,
     "zero_crossings": zero_crossings, "local_maxima": local_maxima, "dilate": dilate,
 }

@@ -271,7 +271,11 @@ class Cube:
                     test = test if k.stop is None else test & (F.col(f"{d}_idx") < k.stop)
                     out = out.with_(out.df.where(test).withColumn(f"{d}_idx", F.col(f"{d}_idx") - (k.start or 0)))
                 else:
-                    out = take(out, list(range(*k.indices(n))), d)
+                    start, stop, step = k.indices(n)
+                    at_ = F.col(f"{d}_idx")
+                    away = (at_ - start) if step > 0 else (F.lit(start) - at_)
+                    test = (at_ >= start) & (at_ < stop) if step > 0 else (at_ <= start) & (at_ > stop)
+                    out = out.with_(out.df.where(test & (away % abs(step) == 0)).withColumn(f"{d}_idx", F.floor(away / abs(step)).cast("int")))
             else:
                 k = [i for i, x in enumerate(k) if x] if len(k) and all(isinstance(x, bool) for x in k) else [int(i) for i in k]
                 n = self.length(d) if any(i < 0 for i in k) else 0
@@ -297,9 +301,16 @@ class Cube:
         return self.with_(self.df.drop(d).join(labels.select(f"{d}_idx", d), f"{d}_idx").select(*order))
 
     def combine(self, other: Cube, f: Callable[[Column, Column], Column]) -> Cube:
-        """Cell by cell with another cube of the same axes, matched by position, never by label."""
+        """Cell by cell with another cube of the same axes, matched by position, never by label; one with fewer axes is repeated along the others."""
         if len(self.dims) != len(other.dims):
-            raise ValueError("both cubes need the same number of axes")
+            few, many = sorted((self, other), key=lambda c: len(c.dims))
+            if not set(few.dims) < set(many.dims):
+                raise ValueError("both cubes need the same number of axes, or one only axes of the other")
+            if few is self:
+                return other.combine(self, lambda a, b: f(b, a))
+            shared = [f"{d}_idx" for d in other.dims]
+            joined = self.df.join(other.df.select(*shared, F.col(other.value).alias("__other")), shared)
+            return self.with_(joined.withColumn(self.value, f(F.col(self.value), F.col("__other"))).select(*self.df.columns))
         right = other.df.select(*(F.col(f"{o}_idx").alias(f"{d}_idx") for d, o in zip(self.dims, other.dims, strict=True)), F.col(other.value).alias("__other"))
         joined = self.df.join(right, [f"{d}_idx" for d in self.dims])
         return self.with_(joined.withColumn(self.value, f(F.col(self.value), F.col("__other"))).select(*self.df.columns))

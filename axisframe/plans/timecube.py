@@ -106,14 +106,16 @@ class TimeCube(Cube):
 
         def run(batches):
             for batch in batches:
-                out = []
+                out, alike = [], {}
                 for r in range(batch.num_rows):
                     i, t, v = (np.asarray(batch.column(at_chunk + k)[r].values.to_numpy(zero_copy_only=False)) for k in (1, 2, 3))
                     own = i // chunk == batch.column(at_chunk)[r].as_py()
-                    if not own.any():
-                        continue
-                    for k, (label, rows) in enumerate(kernel(v[None], t).items()):
-                        out.append(([k, label] if name else []) + [batch.column(j)[r].as_py() for j in range(len(keys))] + [i[own], t[own], rows[0][own]])
+                    if own.any():
+                        alike.setdefault(len(v), []).append((r, i, t, v, own))
+                for group in alike.values():  # runs of one length go through the kernel together
+                    for k, (label, rows) in enumerate(kernel(np.stack([g[3] for g in group]), group[0][2]).items()):
+                        for (r, i, t, _, own), row in zip(group, rows, strict=True):
+                            out.append(([k, label] if name else []) + [batch.column(j)[r].as_py() for j in range(len(keys))] + [i[own], t[own], row[own]])
                 cols = list(zip(*out, strict=True)) if out else [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f) for c, f in zip(cols, arrow.types, strict=True)], names=arrow.names)
 
@@ -139,11 +141,12 @@ class TimeCube(Cube):
 
     def baseline_corrected(self, base: tuple[float, float]) -> TimeCube:
         """Less each series' mean over times from ``base[0]`` to ``base[1]``, both included."""
-        from pyspark.sql import Window
-
-        t, v = F.col(self.tdim), F.col(self.value)
-        mean = F.avg(F.when((t >= base[0]) & (t <= base[1]), v)).over(Window.partitionBy(*self.keys(self.tdim)))
-        return self.with_(self.df.withColumn(self.value, v - mean))
+        t, v, keys = F.col(self.tdim), F.col(self.value), [f"{d}_idx" for d in self.dims if d != self.tdim]
+        inside = F.when((t >= base[0]) & (t <= base[1]), v)
+        # partial sums first; the means, a row a series, are joined back
+        means = self.df.groupBy(*keys).agg(F.avg(inside).alias("__mean"))
+        df = self.df.join(means, keys) if keys else self.df.crossJoin(F.broadcast(means))  # one row
+        return self.with_(df.withColumn(self.value, v - F.col("__mean")).select(*self.df.columns))
 
     def filtered(self, band, kind: str = "stop", order: int = 4, chunk: int = CHUNK) -> TimeCube:
         """Zero-phase Butterworth filter, in chunks whose halo is as long as the filter rings (to 1e-12)."""
@@ -169,9 +172,38 @@ class TimeCube(Cube):
         return self.apply(kernel, samplerate=rate)
 
     def decimated(self, q: int, order: int | None = None, kind: str = "iir") -> TimeCube:
-        from ..functions.filters import decimate
+        """Every q-th sample behind a low-pass, which runs in chunks whose halo is as long as it rings (to 1e-12)."""
+        from ..functions.design import cheby1
+        from ..functions.filters import decimate, smooth
+
+        if not isinstance(q, int | np.integer) or kind not in ("iir", "fir"):
+            decimate(np.zeros((1, 1)), q, order, kind)  # says what is wrong
+        if kind == "iir":
+            _, a = cheby1(8 if order is None else order, 0.05, 0.8 / q)
+            halo = int(np.ceil(np.log(1e-12) / np.log(min(np.abs(np.roots(a)).max(), 1 - 1e-6)))) + 3 * len(a)
+        else:
+            halo = (30 if order is None else order) + 1
+        got = self.apply_chunked(lambda rows, t: {None: smooth(rows, q, order, kind)}, max(CHUNK, 4 * halo), halo)
+        pos = F.col(f"{self.tdim}_idx")
+        kept = got.with_(got.df.where(pos % q == 0).withColumn(f"{self.tdim}_idx", F.floor(pos / q).cast("int")))
+        return TimeCube.of(kept, self.tdim, self.samplerate / q)
+
+    def convolved(self, kernel, chunk: int = CHUNK) -> TimeCube:
+        """Direct convolution with a kernel in the driver's memory, the middle as long as the series; in chunks with the kernel's halo."""
+        from ..functions.filters import centered
+
+        k = np.asarray(kernel, float)
+        return self.apply_chunked(lambda rows, t: {None: np.stack([centered(np.convolve(r, k), max(len(r), len(k)))[: len(r)] for r in rows])}, max(chunk, 2 * len(k)), len(k))
+
+    def wavelet_closed(self, freqs, width: float = 5.0, what: str = "power", name: str = "freqs", chunk: int = CHUNK) -> TimeCube:
+        """Power or phase by the closed form of Morlet wavelets, direct convolution; on a new first axis, in chunks."""
+        from ..functions.wavelets import phase_power_closed
 
-        return self.apply(lambda rows, t: (decimate(rows, q, order, kind), t[::q]), samplerate=self.samplerate / q)
+        freqs, sr = [float(f) for f in np.atleast_1d(freqs)], self.samplerate
+        if what not in ("power", "phase"):
+            raise ValueError("what is 'power' or 'phase'")
+        longest = int(7 * width / (2 * np.pi * min(freqs)) * sr) + 2
+        return self.apply_chunked(lambda rows, t: dict(zip(freqs, phase_power_closed(rows, freqs, sr, width)[what == "power"], strict=True)), max(chunk, 2 * longest), longest, name)
 
     def wavelet(self, freqs, widths=5.0, windows=7.0, complete: bool = True, what: str = "power", name: str = "freqs", chunk: int = CHUNK) -> TimeCube:
         """Power or phase at each frequency by Morlet wavelets, on a new first axis; in chunks with a halo of the longest wavelet."""

@@ -1,6 +1,6 @@
 """Every operator as a query over the test tables."""
 
-from . import cubes, signals, stats
+from . import cubes, kernels, recordings, signals, stats
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cubes", "signals", "stats"]
+__all__ = ["ORACLES", "QUERIES", "cubes", "kernels", "recordings", "signals", "stats"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.wavelets import morlet_kernels
-from ..operators import align, epochs
+from ..operators import epochs
 from ..plans.cube import Cube
 from .registry import query, rows
 
@@ -106,59 +106,10 @@ def wavelet_join(v):
     return rows(c.where((F.col("smp") >= 0) & (F.col("smp") < n)).select("ch", "smp", (F.col("re") ** 2 + F.col("im") ** 2).alias("value")), 3)
 
 
-@query()
-def wavelet_multi(v):
-    """Mean power of each channel at eight frequencies."""
-    got = v.sig.wavelet(np.geomspace(4, 60, 8), widths=[3.0, 6.0])
-    return rows(got.mean("smp").df.select("freqs", "ch", "value"), 3)
-
-
-@query("""WITH s AS (SELECT ch, smp, value FROM sig WHERE smp < 200),
-          d AS (SELECT m, n, (1 + 2 * sum(cos(2 * pi() * k * (m / 50.0 - n / 200.0))) + 2 * cos(2 * pi() * 25 * (m / 50.0 - n / 200.0))) / 200 AS w
-                FROM range(50) a(m), range(200) b(n), range(1, 25) f(k) GROUP BY m, n)
-          SELECT ch, m AS smp_idx, round(sum(value * w), 5) + 0.0 AS value FROM s JOIN d ON smp = n GROUP BY ch, m""")
-def fft_resample(v):
-    from ..plans.timecube import TimeCube
-
-    short = v.sig.where("smp < 200")
-    got = TimeCube.of(short, "smp", 200.0).resampled(50.0)
-    return rows(got.df.select("ch", "smp_idx", "value"), 5)
-
-
-@query()
-def fft_resample_whole(v):
-    """Every sample; the SQL of ``fft_resample`` pairs all with all, so it stops at a prefix."""
-    return rows(v.sig.resampled(50.0).df.select("ch", "smp_idx", "value"), 5)
-
-
 @query("SELECT ch, smp, round((l - avg(l) OVER w) / stddev_samp(l) OVER w, 5) + 0.0 AS value FROM (SELECT ch, smp, log10(CASE WHEN value - 5 <= 0 THEN 2.220446049250313e-16 ELSE value - 5 END) AS l FROM sig) WINDOW w AS (PARTITION BY ch)")
 def log_power_z(v):
-    from pyspark.sql import Window
-
-    log = scalar.log10_floor(F.col("value") - 5)
-    w = Window.partitionBy("ch")
-    df = v.sig.df.withColumn("l", log)
-    return rows(df.select("ch", "smp", ((F.col("l") - F.avg("l").over(w)) / F.stddev_samp("l").over(w)).alias("value")), 5)
-
-
-@query("""WITH p AS (SELECT smp * 1.0 AS beh, smp * 0.005 + 12.25 + (smp % 3) * 0.0001 AS eeg FROM sig WHERE ch = 0 AND smp < 200)
-          SELECT round(regr_slope(eeg, beh), 8) + 0.0 AS slope, round(regr_intercept(eeg, beh), 6) + 0.0 AS intercept FROM p""")
-def pulse_align_fit(v):
-    return _pulse_fit(v, v.sig.df.where("ch = 0 AND smp < 200"))
-
-
-@query("""WITH p AS (SELECT smp * 1.0 AS beh, smp * 0.005 + 12.25 + (smp % 3) * 0.0001 AS eeg FROM sig WHERE ch = 0)
-          SELECT round(regr_slope(eeg, beh), 8) + 0.0 AS slope, round(regr_intercept(eeg, beh), 6) + 0.0 AS intercept FROM p""")
-def pulse_align_fit_whole(v):
-    """Every sample of the channel."""
-    return _pulse_fit(v, v.sig.df.where("ch = 0"))
-
-
-def _pulse_fit(v, sig):
-    smp = F.col("smp").cast("double")
-    pairs = sig.select(smp.alias("beh"), (smp * 0.005 + 12.25 + (F.col("smp") % 3) * 0.0001).alias("eeg"))
-    slope, intercept = align.fit_line(pairs)
-    return v.spark.createDataFrame([(round(slope, 8), round(intercept, 6))], "slope double, intercept double")
+    got = v.sig.map(lambda x: scalar.log10_floor(x - 5)).zscored("smp")
+    return rows(got.df.select("ch", "smp", "value"), 5)
 
 
 @query("""SELECT c_custkey, round(radius * cos(theta), 6) + 0.0 AS x, round(radius * sin(theta), 6) + 0.0 AS y,
@@ -190,39 +141,8 @@ def quantise_int16(v):
     return rows(s.select("ch", "smp", stored.alias("stored"), (stored.cast("double") * gain).alias("value")))
 
 
-@query()
-def bandpass(v):
-    """Variance of each channel before and after a band-pass of 10 to 40 Hz."""
-    before, after = v.sig.var("smp"), v.sig.filtered((10.0, 40.0), "pass").var("smp")
-    return rows(before.df.select("ch", F.col("value").alias("before")).join(after.df.select("ch", F.col("value").alias("after")), "ch"), 3)
-
-
-@query()
-def bandstop(v):
-    return rows(v.sig.filtered((10.0, 20.0)).mean("smp"), 3)
-
-
-@query()
-def decimate(v):
-    got = v.sig.decimated(4)
-    return rows(got.df.groupBy("ch").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), 3)
-
-
-@query()
-def hilbert_bands(v):
-    return v.sig.hilbert_amplitude({"theta": (4, 8), "alpha": (9, 14), "beta": (16, 26)}).mean("smp").df.select(F.col("freqs").alias("band"), "ch", F.round("value", 3).alias("value"))
-
-
-@query("SELECT ch, round(sum(value), 2) + 0.0 AS value FROM sig WHERE smp < 128 GROUP BY ch")
-def swt_roundtrip(v):
-    """Sums of what comes back from the stationary wavelet transform."""
-    from ..functions.wavelets import iswt, swt
-
-    return rows(v.sig.where("smp < 128").apply(lambda x, t: (iswt(swt(x, 5)), t)).sum("smp"), 2)
-
-
 @query("SELECT ch, smp, round(value, 5) + 0.0 AS value FROM sig")
-def swt_roundtrip_whole(v):
+def swt_roundtrip(v):
     """Every sample as it comes back; a length that is no multiple of 2**5 is padded with the last sample, and cut back."""
     from ..functions.wavelets import iswt, swt
 
@@ -233,14 +153,8 @@ def swt_roundtrip_whole(v):
     return rows(v.sig.apply(kernel), 5)
 
 
-@query("SELECT ch, smp, round(value, 5) + 0.0 AS value FROM sig WHERE smp < 400")
-def emd_sum(v):
-    """Modes and residue add up to the signal."""
-    return rows(v.sig.where("smp < 400").emd().sum("mode"), 5)
-
-
 @query("SELECT ch, smp, round(value, 5) + 0.0 AS value FROM sig")
-def emd_sum_whole(v):
+def emd_sum(v):
     """Modes and residue of every sample."""
     return rows(v.sig.emd().sum("mode"), 5)
 
@@ -312,6 +226,3 @@ def stream_bins(v):
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", (F.round("mean", 8) + 0.0).alias("mean"))
 
 
-@query()
-def hilbert_power(v):
-    return v.sig.hilbert_power({"alpha": (9, 14)}).mean("smp").df.select(F.col("freqs").alias("band"), "ch", F.round("value", 2).alias("value"))

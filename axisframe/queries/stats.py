@@ -38,17 +38,10 @@ def holm(v):
     return rows(statistics.holm(_pvalues(v)).select("vec_id", "p_corrected"), 8)
 
 
-@query("""WITH s AS (SELECT smp, value - 100 AS x FROM sig WHERE ch = 0 AND smp < 400), h AS (SELECT value - 100 AS x FROM sig WHERE ch = 1)
-          SELECT smp, round(((SELECT count(*) FROM h WHERE abs(h.x) >= abs(s.x)) + 1) / ((SELECT count(*) FROM h) + 1), 9) + 0.0 AS p FROM s""")
+@query("""WITH s AS (SELECT ch, smp, abs(value - 100) AS x FROM sig WHERE ch < 2), r AS (SELECT ch, smp, sum(CASE WHEN ch = 1 THEN 1 ELSE 0 END) OVER (ORDER BY x DESC RANGE UNBOUNDED PRECEDING) AS n FROM s)
+          SELECT smp, round((n + 1) / ((SELECT count(*) FROM s WHERE ch = 1) + 1), 9) + 0.0 AS p FROM r WHERE ch = 0""")
 def pval_histogram(v):
-    s = v.sig.df.withColumn("value", F.col("value") - 100)
-    got = clusters.pval_from_histogram(s.where("ch = 0 AND smp < 400").select("smp", "value"), s.where("ch = 1").select("value"))
-    return rows(got.select("smp", "p"), 9)
-
-
-@query()
-def pval_histogram_whole(v):
-    """Every sample; the SQL of ``pval_histogram`` compares all with all, so it stops at a prefix."""
+    """Every sample of a channel against the distribution of another."""
     s = v.sig.df.withColumn("value", F.col("value") - 100)
     got = clusters.pval_from_histogram(s.where("ch = 0").select("smp", "value"), s.where("ch = 1").select("value"))
     return rows(got.select("smp", "p"), 9)
@@ -76,23 +69,12 @@ def connectivity(v):
     return rows(clusters.grid_edges(parts))
 
 
-@query("""WITH RECURSIVE g AS (SELECT b * 5 + a AS cell, a, b, value FROM cube WHERE c = 0 AND value >= 40),
-          e AS (SELECT x.cell AS p, y.cell AS q FROM g x JOIN g y ON abs(x.a - y.a) + abs(x.b - y.b) = 1),
-          r AS (SELECT cell, cell AS root FROM g UNION SELECT e.q, r.root FROM r JOIN e ON e.p = r.cell),
-          m AS (SELECT cell, min(root) AS cluster FROM r GROUP BY cell)
-          SELECT cluster, count(*) AS size, round(sum(value), 4) + 0.0 AS sum FROM m JOIN g USING (cell) GROUP BY cluster""")
-def cluster_sums(v):
-    cells = v.cube.where("c == 0").df.select((F.col("b") * 5 + F.col("a")).alias("cell"), "value")
-    edges = clusters.grid_edges([(clusters.neighbors_1d(v.spark, 20), 20), (clusters.neighbors_1d(v.spark, 5), 5)])
-    return rows(clusters.find_clusters(cells, edges, 40.0, 1)[1], 4)
-
-
 @query("""WITH RECURSIVE g AS (SELECT c * 100 + b * 5 + a AS cell, a, b, c, value FROM cube WHERE value >= 40),
           e AS (SELECT x.cell AS p, y.cell AS q FROM g x JOIN g y ON x.c = y.c AND abs(x.a - y.a) + abs(x.b - y.b) = 1),
           r AS (SELECT cell, cell AS root FROM g UNION SELECT e.q, r.root FROM r JOIN e ON e.p = r.cell),
           m AS (SELECT cell, min(root) AS cluster FROM r GROUP BY cell)
           SELECT cluster, count(*) AS size, round(sum(value), 4) + 0.0 AS sum FROM m JOIN g USING (cell) GROUP BY cluster""")
-def cluster_sums_whole(v):
+def cluster_sums(v):
     """Every map of the cube: c is a third axis without edges."""
     cells = v.cube.df.select((F.col("c") * 100 + F.col("b") * 5 + F.col("a")).alias("cell"), "value")
     maps = v.cube.df.agg(F.max("c")).first()[0] + 1
@@ -100,84 +82,71 @@ def cluster_sums_whole(v):
     return rows(clusters.find_clusters(cells, edges, 40.0, 1)[1], 4)
 
 
-@query("""WITH s AS (SELECT ch, smp, value / 100 AS x FROM sig WHERE smp < 500), t AS (SELECT k, 0.25 + k * 0.25 AS h FROM range(20) r(k)),
+@query("""WITH s AS (SELECT ch, smp, value / 100 AS x FROM sig), t AS (SELECT k, 0.25 + k * 0.25 AS h FROM range(60) r(k)),
           i AS (SELECT ch, smp, k, h, smp - row_number() OVER (PARTITION BY ch, k ORDER BY smp) AS g FROM s JOIN t ON x >= h),
           w AS (SELECT ch, smp, h, count(*) OVER (PARTITION BY ch, k, g) AS n FROM i)
           SELECT s.ch, s.smp, round(coalesce(sum(pow(n, 2e0 / 3e0) * h * h * 0.25), 0), 4) + 0.0 AS value FROM s LEFT JOIN w ON s.ch = w.ch AND s.smp = w.smp GROUP BY s.ch, s.smp""")
 def tfce_1d(v):
-    c = Cube(v.sig.df, ("ch", "smp")).where("smp < 500").map(lambda x: x / 100)
-    return rows(c.tfce_runs("smp", dt=0.25, tail=1, lo=0.25), 4)
-
-
-@query()
-def tfce_1d_whole(v):
     """Every sample of every channel."""
     c = Cube(v.sig.df, ("ch", "smp")).map(lambda x: x / 100)
     return rows(c.tfce_runs("smp", dt=0.25, tail=1, lo=0.25), 4)
 
 
-@query()
-def tfce_2d(v):
-    c = v.cube.map(lambda x: x / 50)
-    return rows(clusters.tfce(c, ["a", "b"], (5, 20), dt=0.25, tail=1).sum("b"), 3)
-
-
 _ORDER = "CASE WHEN k = 0 THEN i ELSE (i * 2654435761 + k * 40503 * (i % 97 + 1)) % 4294967296 END"
 
 
-@query(f"""WITH d AS (SELECT smp AS i, smp % 2 = 0 AS x, value FROM sig WHERE ch = 0 AND smp < 500), k AS (SELECT k FROM range(51) r(k)),
+@query(f"""WITH d AS (SELECT smp AS i, smp % 2 = 0 AS x, value FROM sig WHERE ch = 0), k AS (SELECT k FROM range(51) r(k)),
            place AS (SELECT k, i, x, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM d, k),
            deal AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY {_ORDER}, i) AS r FROM d, k)
            SELECT k AS perm, round(avg(value) FILTER (WHERE x) - avg(value) FILTER (WHERE NOT x), 6) + 0.0 AS diff FROM place JOIN deal USING (k, r) GROUP BY k""")
 def perm_means(v):
-    return _perm_means(v.sig.df.where("ch = 0 AND smp < 500"))
-
-
-@query()
-def perm_means_whole(v):
     """Every sample of the channel."""
-    return _perm_means(v.sig.df.where("ch = 0"))
-
-
-def _perm_means(sig):
-    d = sig.select(F.col("smp").alias("i"), (F.col("smp") % 2 == 0).alias("x"), "value")
+    d = v.sig.df.where("ch = 0").select(F.col("smp").alias("i"), (F.col("smp") % 2 == 0).alias("x"), "value")
     perms = statistics.permutations(d, "i", None, 50)
     dealt = perms.join(d.select("i", "x"), "i").join(d.select(F.col("i").alias("source"), "value"), "source")
     return rows(dealt.groupBy("perm").agg((F.avg(F.when(F.col("x"), F.col("value"))) - F.avg(F.when(~F.col("x"), F.col("value")))).alias("diff")))
 
 
-@query(f"""WITH d AS (SELECT event_id AS i, user_id AS g FROM events WHERE event_id < 2000), k AS (SELECT k FROM range(6) r(k)),
+@query(f"""WITH d AS (SELECT event_id AS i, user_id AS g FROM events), k AS (SELECT k FROM range(6) r(k)),
            place AS (SELECT k, i, g, row_number() OVER (PARTITION BY k, g ORDER BY i) AS r FROM d, k),
            deal AS (SELECT k, g, i AS source, row_number() OVER (PARTITION BY k, g ORDER BY {_ORDER}, i) AS r FROM d, k)
            SELECT k AS perm, i, source FROM place JOIN deal USING (k, g, r)""")
 def perm_groups(v):
-    d = v.events.where("event_id < 2000").select(F.col("event_id").alias("i"), F.col("user_id").alias("g"))
-    return rows(statistics.permutations(d, "i", "g", 5))
-
-
-@query()
-def perm_groups_whole(v):
     """Every event."""
     d = v.events.select(F.col("event_id").alias("i"), F.col("user_id").alias("g"))
     return rows(statistics.permutations(d, "i", "g", 5))
 
 
+@query(f"""WITH d AS (SELECT ch, smp AS i, smp % 2 = 0 AS x, value FROM sig), k AS (SELECT k FROM range(31) r(k)),
+           place AS (SELECT k, ch, i, x, row_number() OVER (PARTITION BY k, ch ORDER BY i) AS r FROM d, k),
+           deal AS (SELECT k, ch, value, row_number() OVER (PARTITION BY k, ch ORDER BY {_ORDER}, i) AS r FROM d, k),
+           m AS (SELECT k, ch, avg(value) FILTER (WHERE x) AS mx, var_samp(value) FILTER (WHERE x) AS vx, count(*) FILTER (WHERE x) AS nx, avg(value) FILTER (WHERE NOT x) AS my, var_samp(value) FILTER (WHERE NOT x) AS vy, count(*) FILTER (WHERE NOT x) AS ny FROM place JOIN deal USING (k, ch, r) GROUP BY k, ch)
+           SELECT k AS perm, ch, round((mx - my) / sqrt(((nx - 1) * vx + (ny - 1) * vy) / (nx + ny - 2) * (1e0 / nx + 1e0 / ny)), 5) + 0.0 AS t FROM m""")
+def permutation_t(v):
+    """t of each permutation."""
+    return rows(_permuted(v).select("perm", "ch", "t"), 5)
+
+
 @query()
 def permutation_test(v):
+    """Its one-sided z, which takes the distribution of t."""
+    return rows(_permuted(v).select("perm", "ch", "z"), 5)
+
+
+def _permuted(v):
     d = v.sig.df.select("ch", F.col("smp").alias("i"), (F.col("smp") % 2 == 0).alias("x"), "value")
-    return rows(statistics.permutation_test(d, "i", "value", "x", ["ch"], 30), 5)
+    return statistics.permutation_test(d, "i", "value", "x", ["ch"], 30)
 
 
 @query("""WITH u AS (SELECT DISTINCT a FROM cube), n AS (SELECT count(*) AS n FROM u),
           draws AS (SELECT boot, floor(((boot * 1103515245 + draw * 40503 * (boot % 89 + 1) + 12345) % 2147483648 * 48271 % 2147483647) * n / 2147483647.0::DOUBLE) AS a
                     FROM range(100) b(boot), n, range(5) d(draw)),
           w AS (SELECT boot, a, count(*) AS weight FROM draws GROUP BY boot, a),
-          m AS (SELECT boot, b, sum(value * weight) / sum(weight) AS m FROM cube JOIN w USING (a) WHERE c = 1 GROUP BY boot, b),
-          s AS (SELECT b, stddev_pop(m) AS sd FROM m GROUP BY b), o AS (SELECT b, avg(value) AS mean FROM cube WHERE c = 1 GROUP BY b)
-          SELECT b, round(mean / sd, 5) + 0.0 AS ratio FROM o JOIN s USING (b)""")
+          m AS (SELECT boot, b, c, sum(value * weight) / sum(weight) AS m FROM cube JOIN w USING (a) GROUP BY boot, b, c),
+          s AS (SELECT b, c, stddev_pop(m) AS sd FROM m GROUP BY b, c), o AS (SELECT b, c, avg(value) AS mean FROM cube GROUP BY b, c)
+          SELECT b, c, round(mean / sd, 5) + 0.0 AS ratio FROM o JOIN s USING (b, c)""")
 def bootstrap_ratio(v):
-    d = v.cube.where("c == 1").df.select("a", "b", "value")
-    return rows(statistics.stability(d, "a", ["b"], "value", 100).select("b", "ratio"), 5)
+    return rows(statistics.stability(v.cube.df.select("a", "b", "c", "value"), "a", ["b", "c"], "value", 100).select("b", "c", "ratio"), 5)
 
 
 @query("SELECT ch, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(var_samp(value), 4) + 0.0 AS variance FROM sig GROUP BY ch")
@@ -206,14 +175,6 @@ def lagged_cov(v):
     return rows(v.spark.createDataFrame([(i, j, k, float(cov[k, i, j])) for k in range(4) for i in range(4) for j in range(4)], "i long, j long, lag long, cov double"), 3)
 
 
-@query("SELECT i AS component, 1.0::DOUBLE AS variance FROM range(4) t(i)")
-def pca_project(v):
-    """Whitened components have variance 1."""
-    s = v.sig.df.select(F.col("ch").alias("channel"), F.col("smp").alias("sample"), "value")
-    _, comps = decomposition.pca(s)
-    return rows(comps.groupBy("component").agg(F.var_pop("value").alias("variance")), 6)
-
-
 @query()
 def ica_sources(v):
     s = v.sig.df.select(F.col("ch").alias("channel"), F.col("smp").alias("sample"), "value")
@@ -229,12 +190,6 @@ def wica_clean(v):
     return rows(got.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value"), 1).alias("sd")), 1)
 
 
-@query()
-def find_blinks(v):
-    s = v.sig.df.select(F.col("ch").alias("channel"), F.col("smp").alias("sample"), "value")
-    return rows(decomposition.blinks(s, "channel", 20).groupBy("channel").agg(F.count("*").alias("n")))
-
-
 def _study(v):
     """Groups of observations with two predictors and a small map of responses, all from the events."""
     i = F.col("event_id")
@@ -268,8 +223,3 @@ def segment_correlation(v):
 
 
 
-@query()
-def sensor_edges(v):
-    """Neighbours of a ring of sensors with one in the middle."""
-    places = [(20.0 * i, 1.0 + 0.01 * (i % 3)) for i in range(18)] + [(0.0, 0.05)]
-    return rows(clusters.sensor_neighbors(v.spark, places))

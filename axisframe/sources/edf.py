@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql.datasource import DataSource
@@ -11,7 +12,7 @@ from .base import ANNOTATION, Recording, RowReader, SignalReader
 from .files import read_bytes
 
 
-@dataclass
+@dataclass(eq=False)
 class Header:
     path: str
     width: int  # bytes a sample
@@ -71,7 +72,13 @@ def decode(raw: bytes, width: int) -> np.ndarray:
     return np.where(v >= 1 << 23, v - (1 << 24), v).astype(float)
 
 
-def read_samples(h: Header, signal: int, start: int, n: int) -> np.ndarray:
+def read_records(h: Header, first: int, last: int) -> np.ndarray:
+    """(record, byte) of the records from ``first`` to ``last``, read at once."""
+    raw = read_bytes(h.path, h.size + first * h.record_bytes, (last + 1 - first) * h.record_bytes)
+    return np.frombuffer(raw, np.uint8).reshape(-1, h.record_bytes)
+
+
+def read_samples(h: Header, signal: int, start: int, n: int, read=read_records) -> np.ndarray:
     """Physical values of a signal, cut off at the end of the file."""
     i = h.signals[signal]
     per, total = h.per_record[i], h.samples(signal)
@@ -80,29 +87,30 @@ def read_samples(h: Header, signal: int, start: int, n: int) -> np.ndarray:
         return np.zeros(0)
     before = sum(h.per_record[:i]) * h.width
     first, last = start // per, (stop - 1) // per
-    out = []
-    for r in range(first, last + 1):
-        out.append(read_bytes(h.path, h.size + r * h.record_bytes + before, per * h.width))
-    return decode(b"".join(out), h.width)[start - first * per : stop - first * per] * h.scale[i] + h.offset[i]
+    raw = read(h, first, last)[:, before : before + per * h.width].tobytes()
+    return decode(raw, h.width)[start - first * per : stop - first * per] * h.scale[i] + h.offset[i]
 
 
 def read_annotations(h: Header) -> list[tuple[float, str, str]]:
     """(onset in seconds, duration as it stands, text); the time stamps of records have no text and are left out."""
     out = []
-    places = [i for i in range(len(h.labels)) if i not in h.signals]
-    for r in range(h.records):
-        for i in places:
-            raw = read_bytes(h.path, h.size + r * h.record_bytes + sum(h.per_record[:i]) * h.width, h.per_record[i] * h.width)
-            for entry in raw.split(b"\x00"):
-                if not entry:
-                    continue
-                when, *texts = entry.split(b"\x14")
-                onset, _, duration = when.partition(b"\x15")
-                out += [(float(onset), duration.decode(), t.decode("utf-8", "replace")) for t in texts if t]
+    places = [(sum(h.per_record[:i]) * h.width, h.per_record[i] * h.width) for i in range(len(h.labels)) if i not in h.signals]
+    step = max(1, (8 << 20) // h.record_bytes)  # records read at once
+    for first in range(0, h.records if places else 0, step):
+        for record in read_records(h, first, min(first + step, h.records) - 1):
+            for before, size in places:
+                for entry in record[before : before + size].tobytes().split(b"\x00"):
+                    if not entry:
+                        continue
+                    when, *texts = entry.split(b"\x14")
+                    onset, _, duration = when.partition(b"\x15")
+                    out += [(float(onset), duration.decode(), t.decode("utf-8", "replace")) for t in texts if t]
     return sorted(out, key=lambda x: x[0])
 
 
 class EdfReader(SignalReader):
+    together = True  # records hold a stretch of every signal
+
     def __init__(self, options: dict):
         super().__init__()
         self.header = read_header(options["path"])
@@ -110,8 +118,9 @@ class EdfReader(SignalReader):
         self.channels = {k + 1: self.header.samples(k) for k in range(len(self.header.signals))}
 
     def load(self, channels, start, stop):
+        read = cache(read_records)  # signals of one rate lie in the same records
         for c in channels:
-            yield c, read_samples(self.header, c - 1, start, stop - start)
+            yield c, read_samples(self.header, c - 1, start, stop - start, read)
 
 
 class Edf(Recording):

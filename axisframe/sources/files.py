@@ -27,3 +27,11 @@ def list_files(folder: str) -> list[str]:
     system, inner = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
     prefix = folder.split("://")[0] + "://" if "://" in folder else ""
     return sorted(prefix + x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.is_file)
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """A whole new file; folders above it are made."""
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(inner) as f:
+        f.write(data)

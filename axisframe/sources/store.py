@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +85,31 @@ class SignalStore:
 
     def append(self, signal: DataFrame) -> None:
         """More samples of every channel; their numbers count on from the last one stored."""
-        end = (self.spark.read.parquet(f"{self.path}/samples").agg(F.max("sample")).first()[0] or -1) + 1
+        last = self.spark.read.parquet(f"{self.path}/samples").agg(F.max("sample")).first()[0]
+        end = 0 if last is None else last + 1
         self._write(signal.withColumn("sample", F.col("sample") + end), "append")
 
+    def append_stream(self, stream: DataFrame, checkpoint: str, **trigger):
+        """A stream of (channel, sample, value) appended micro-batch by micro-batch; its sample numbers count on from the last one stored when it began.
+
+        The start is kept beside the store under the checkpoint's name, and samples that are stored already are left
+        out, so a query that is started anew, or a micro-batch that is run again, stores nothing twice.
+        """
+        start = f"{self.path}/streams/{hashlib.md5(checkpoint.encode()).hexdigest()}"
+        try:
+            end = int(self.spark.read.text(start).first()[0])
+        except AnalysisException:
+            last = self.spark.read.parquet(f"{self.path}/samples").agg(F.max("sample")).first()[0]
+            end = 0 if last is None else last + 1
+            self.spark.createDataFrame([(str(end),)], "start string").coalesce(1).write.text(start)
+
+        def write(part: DataFrame, number: int) -> None:
+            stored = self.spark.read.parquet(f"{self.path}/samples").select("channel", "sample")
+            fresh = part.select("channel", (F.col("sample") + end).alias("sample"), "value")
+            self._write(fresh.join(stored.where(F.col("sample") >= end), ["channel", "sample"], "left_anti"), "append")
+
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
     def set_channel(self, channel: int, signal: DataFrame) -> None:
         """The channel's samples become those of (sample, value); other channels stay."""
         self._write(signal.select(F.lit(channel).alias("channel"), "sample", "value"), "overwrite", "dynamic")

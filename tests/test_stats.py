@@ -252,5 +252,15 @@ def test_feature_model(spark):
     enhanced = mixed.FeatureMixedModel(m.responses, m.predictors, "v ~ x", "(1 | group)", boots=50, use_ranks=True, shape=(2, 3), tfce={"dt": 0.2})
     t = enhanced.run(2).where("perm = 0 AND kind = 'feature' AND term = 'x'").orderBy("feature").toPandas()["t"].to_numpy()
     assert len(t) == 6 and np.abs(t[:2]).min() > np.abs(t[3:]).max()
-    with pytest.raises(ValueError):
-        mixed.FeatureMixedModel(m.responses, m.predictors, "v ~ x", "(1 | group)", most_cells=10)
+    # features in blocks give what one block gives
+    apart = mixed.FeatureMixedModel(m.responses, m.predictors, "v ~ x", "(1 | group)", boots=100, block=2).run(3)
+    keys = ["perm", "kind", "term", "feature"]
+    a, b = (df.where("perm <= 3").toPandas().sort_values(keys).reset_index(drop=True) for df in (runs, apart))
+    assert a[keys].equals(b[keys])
+    np.testing.assert_allclose(a["t"], b["t"], atol=1e-6)
+    samples = m.run_boots(30).cache()
+    ratio = mixed.boot_ratio(samples).orderBy("feature").toPandas()
+    first = samples.where("kind = 'feature' AND term = 'x'").toPandas().pivot(index="perm", columns="feature", values="t")
+    np.testing.assert_allclose(ratio["ratio"], (first.loc[0] / first.std(ddof=0)).where(first.std(ddof=0) > 0))
+    q = mixed.fdr_boot(samples).orderBy("feature").toPandas()
+    assert len(q) == 6 and q["reject"][:2].all()
