@@ -17,11 +17,10 @@ BATCH = 8 << 20
 def opened(df: DataFrame) -> DataFrame:
     """``df`` for operators with Python workers: splits not worth a task merged, and Arrow batches of 8 MB in its session.
 
-    A row count alone doesn't bound a batch of whole texts. A session that has a bound of its own other than Spark's
-    64 MB keeps it.
+    A row count alone doesn't bound a batch of whole texts. A session that has set a bound of its own keeps it.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if str(conf.get(key, "0")).lower() in ("67108864b", "67108864", "64m", "64mb"):
+    if conf.get(key, "64MB") == "64MB":
         conf.set(key, str(BATCH))
     return merged(df)
 
