@@ -58,13 +58,18 @@ def lfilter_zi(b, a) -> np.ndarray:
 
 
 def extend(x: np.ndarray, n: int, kind: str = "odd") -> np.ndarray:
-    """``n`` samples more at both ends: mirrored through the end point (odd), mirrored (even) or held (constant)."""
+    """``n`` samples more at both ends: mirrored through the end point (odd), mirrored (even) or held (constant).
+
+    ``older`` is an odd one that leaves the second sample out at the front and takes the last one twice at the end.
+    """
     if kind == "constant":
         return np.concatenate([np.repeat(x[..., :1], n, -1), x, np.repeat(x[..., -1:], n, -1)], -1)
-    if n >= x.shape[-1]:
+    if n + (kind == "older") >= x.shape[-1]:
         raise ValueError(f"a series of {x.shape[-1]} samples is too short for {n} more at its ends")
     left, right = x[..., n:0:-1], x[..., -2 : -n - 2 : -1]
-    if kind == "odd":
+    if kind == "older":
+        left, right = 2 * x[..., :1] - x[..., n + 1 : 1 : -1], 2 * x[..., -1:] - x[..., -1 : -n - 1 : -1]
+    elif kind == "odd":
         left, right = 2 * x[..., :1] - left, 2 * x[..., -1:] - right
     elif kind != "even":
         raise ValueError(f"no extension {kind!r}")
@@ -72,9 +77,9 @@ def extend(x: np.ndarray, n: int, kind: str = "odd") -> np.ndarray:
 
 
 def filtfilt(b, a, x: np.ndarray, kind: str | None = "odd", padlen: int | None = None) -> np.ndarray:
-    """Zero-phase filtering: forwards and backwards from steady states over extended ends."""
+    """Zero-phase filtering: forwards and backwards from steady states over extended ends (three filter lengths; ``older``: one sample less)."""
     taps = max(np.size(a), np.size(b))
-    edge = 0 if kind is None else 3 * taps if padlen is None else padlen
+    edge = 0 if kind is None else 3 * taps - (kind == "older") if padlen is None else padlen
     if x.shape[-1] <= edge:
         raise ValueError(f"a series must be longer than {edge} samples")
     padded = extend(x, edge, kind) if edge else x
@@ -94,7 +99,7 @@ def smooth(x: np.ndarray, q: int, order: int | None = None, kind: str = "iir") -
     """What comes before every q-th sample is taken: a zero-phase Chebyshev filter (order 8, 0.05 dB, at 0.8/q) or a Hamming FIR (30 taps, at 1/q)."""
     if kind == "fir":
         return lfilter(hamming_lowpass((30 if order is None else order) + 1, 1 / q), [1.0], x)
-    return filtfilt(*cheby1(8 if order is None else order, 0.05, 0.8 / q), x)
+    return filtfilt(*cheby1(8 if order is None else order, 0.05, 0.8 / q), x, "older")
 
 
 def decimate(x: np.ndarray, q: int, order: int | None = None, kind: str = "iir") -> np.ndarray:

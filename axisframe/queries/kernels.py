@@ -225,10 +225,11 @@ def firls_lowpass(v):
 # -- filters: recursions
 
 
-def _filtfilt(b, a, source: str = "sig", out: str = "y") -> str:
+def _filtfilt(b, a, source: str = "sig", out: str = "y", older: bool = False) -> str:
     """CTEs of a zero-phase filter: ends mirrored through the end point, the recursion forwards and backwards step by step from steady states."""
     b, a = (np.asarray(x, float) / a[0] for x in (b, a))
-    n, edge, zi = len(a), 3 * len(a), filters.lfilter_zi(b, a)
+    n, edge, zi = len(a), 3 * len(a) - older, filters.lfilter_zi(b, a)
+    front, back = (f"{edge + 1} - i", f"2 * n + {edge} - 1 - i") if older else (f"{edge} - i", f"2 * n - 2 - (i - {edge})")
     state = lambda x, y, z: ", ".join((f"{z(i + 1)} + " if i < n - 2 else "") + f"{float(b[i + 1])!r} * {x} - {float(a[i + 1])!r} * {y} AS z{i}" for i in range(n - 1))
 
     def passed(name: str, src: str) -> str:
@@ -238,7 +239,7 @@ def _filtfilt(b, a, source: str = "sig", out: str = "y") -> str:
         return f"{name} AS (SELECT ch, i, {first} AS y, {start} FROM {src} WHERE i = 0 UNION ALL SELECT r.ch, s.i, {now} AS y, {state('s.x', now, lambda k: f'r.z{k}')} FROM {name} r JOIN {src} s ON s.ch = r.ch AND s.i = r.i + 1)"
 
     n_ = f"(SELECT max(smp) + 1 FROM {source})"
-    return f"""{out}_p AS (SELECT i, n, CASE WHEN i < {edge} THEN {edge} - i WHEN i >= n + {edge} THEN 2 * n - 2 - (i - {edge}) ELSE i - {edge} END AS at, CASE WHEN i < {edge} THEN 0 WHEN i >= n + {edge} THEN n - 1 END AS e FROM (SELECT {n_} AS n), range(0, {n_} + {2 * edge}) r(i)),
+    return f"""{out}_p AS (SELECT i, n, CASE WHEN i < {edge} THEN {front} WHEN i >= n + {edge} THEN {back} ELSE i - {edge} END AS at, CASE WHEN i < {edge} THEN 0 WHEN i >= n + {edge} THEN n - 1 END AS e FROM (SELECT {n_} AS n), range(0, {n_} + {2 * edge}) r(i)),
         {out}_x AS (SELECT s.ch, i, CASE WHEN e.value IS NULL THEN s.value ELSE 2 * e.value - s.value END AS x FROM {out}_p p JOIN {source} s ON s.smp = p.at LEFT JOIN {source} e ON e.smp = p.e AND e.ch = s.ch),
         {passed(out + "_f", out + "_x")}, {out}_r AS (SELECT ch, {n_} + {2 * edge} - 1 - i AS i, y AS x FROM {out}_f), {passed(out + "_b", out + "_r")},
         {out} AS (SELECT ch, {n_} + {2 * edge} - 1 - i - {edge} AS smp, y AS value FROM {out}_b WHERE i >= {edge} AND i < {n_} + {edge})"""
@@ -261,7 +262,7 @@ def bandstop(v):
     return rows(v.sig.filtered((10.0, 20.0)).df.select("ch", F.col("smp").cast("long").alias("smp"), "value"), 2)
 
 
-@query(f"WITH RECURSIVE {_filtfilt(*design.cheby1(8, 0.05, 0.8 / 4))} SELECT ch, smp // 4 AS smp, round(value, 2) + 0.0 AS value FROM y WHERE smp % 4 = 0")
+@query(f"WITH RECURSIVE {_filtfilt(*design.cheby1(8, 0.05, 0.8 / 4), older=True)} SELECT ch, smp // 4 AS smp, round(value, 2) + 0.0 AS value FROM y WHERE smp % 4 = 0")
 def decimate(v):
     """Every fourth sample behind the Chebyshev low-pass."""
     return rows(v.sig.decimated(4).df.select("ch", F.col("smp_idx").cast("long").alias("smp"), "value"), 2)
