@@ -160,7 +160,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_documents(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 64_000_000
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 32_000_000
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 

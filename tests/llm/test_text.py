@@ -24,6 +24,20 @@ def strange_texts(n, seed=0):
     return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60))) for _ in range(n)] + ["", "a" * 3000, " " * 500, "<s>", "<0x41>", "\0x", "it's they'll"]
 
 
+def test_batches_are_bounded(spark):
+    """Arrow batches get a bound in bytes; one the session has set stays. Small splits are merged, large ones not."""
+    from axisframe.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    assert common.opened(spark.range(10, numPartitions=64)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert int(spark.conf.get(key).rstrip("b")) == common.BATCH
+    spark.conf.set(key, "1m")
+    common.opened(spark.range(1))
+    assert spark.conf.get(key).rstrip("b") in ("1m", str(1 << 20))
+    spark.conf.unset(key)
+
+
 # -- tokenisers
 
 
