@@ -171,7 +171,7 @@ def _swt_sql(levels: int) -> str:
     m = f"({_N} // {1 << levels} * {1 << levels})"
     parts = [f"k(k, lo, hi) AS (VALUES {taps}), n AS (SELECT {m} AS n), a0 AS MATERIALIZED (SELECT ch, smp, value AS a FROM sig, n WHERE smp < n)"]
     for j in range(levels):
-        parts.append(f"l{j + 1} AS MATERIALIZED (SELECT x.ch, x.smp, sum(y.a * lo) AS a, sum(y.a * hi) AS d FROM (SELECT ch, smp, n FROM a0, n) x, k JOIN {'a0' if not j else f'l{j}'} y ON y.ch = x.ch AND y.smp = (x.smp + k * {1 << j}) % x.n GROUP BY 1, 2)")
+        parts.append(f"l{j + 1} AS MATERIALIZED (SELECT x.ch, x.smp, sum(y.a * lo) AS a, sum(y.a * hi) AS d FROM (SELECT ch, smp, n FROM a0, n) x CROSS JOIN k JOIN {'a0' if not j else f'l{j}'} y ON y.ch = x.ch AND y.smp = (x.smp + k * {1 << j}) % x.n GROUP BY 1, 2)")
     tops = " UNION ALL ".join([f"SELECT 0 AS level, ch, a AS v FROM l{levels}"] + [f"SELECT {j + 1}, ch, d FROM l{j + 1}" for j in range(levels)])
     return f"WITH {', '.join(parts)} SELECT level::BIGINT AS level, ch, round(avg(v * v), 3) + 0.0 AS power, round(avg(v), 4) + 0.0 AS mean FROM ({tops}) GROUP BY 1, 2"
 
