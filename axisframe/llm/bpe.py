@@ -77,6 +77,7 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.text_of = {b"%d" % i: b for b, i in ranks.items()}
         self.hash = PerfectHash(list(ranks))
         self.id_at = [ranks[k] for k in self.hash.keys]
 
@@ -129,9 +130,13 @@ class ByteBpe:
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
+    def decode_text(self, ids: bytes) -> bytes:
+        """The same of decimal ids joined by commas."""
+        return b"".join(map(self.text_of.__getitem__, ids.split(b","))) if ids else b""
+
 
 class _Memo(dict):
-    """Pre-token -> (its ids as text, their decoded bytes), in two generations of about ``most`` / 2 bytes each.
+    """Pre-token -> its ids as text, in two generations of about ``most`` / 2 bytes each.
 
     When the young one is full it becomes the old one, and what is met again comes back from there; so common pre-tokens
     stay, and memory is bounded.
@@ -140,13 +145,12 @@ class _Memo(dict):
     def __init__(self, bpe: ByteBpe, most: int):
         self.bpe, self.most, self.size, self.old = bpe, most // 2, 0, {}
 
-    def __missing__(self, piece: str) -> tuple[bytes, bytes]:
+    def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
-            ids = self.bpe.piece(piece)
-            got = (",".join(map(str, ids)).encode(), self.bpe.decode(ids))
+            got = b",".join([b"%d" % i for i in self.bpe.piece(piece)])
         if len(piece) <= 64:
-            self.size += 320 + len(piece) + len(got[0]) + len(got[1])
+            self.size += 190 + len(piece) + len(got)
             if self.size > self.most:
                 self.old, self.size = dict(self), 0
                 self.clear()
@@ -160,29 +164,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_documents(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 32_000_000
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 96_000_000
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
     A null text counts as empty (0 tokens, digests of nothing). Repeated rows are each encoded. Other columns
     are ignored. A lone pre-token may be as long as the text; it is merged in O(n log n). ``ranks`` is the
-    vocabulary file, tens of thousands of entries, broadcast once. ``memo`` bounds the bytes each worker
+    vocabulary file, tens of thousands of entries, broadcast once. ``memo`` bounds the bytes each task
     keeps of pre-tokens it has met; results don't depend on it. An empty table gives an empty one.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = once_per_process("bpe", key, lambda: _Memo(ByteBpe(*shared.value), memo))
-        bpe = known.bpe
-        get, find, sha = known.__getitem__, bpe.find, hashlib.sha256
+        bpe = once_per_process("bpe", key, lambda: ByteBpe(*shared.value))
+        get, find, sha = _Memo(bpe, memo).__getitem__, bpe.find, hashlib.sha256  # a task's own: workers that wait hold none
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1):
-                got = list(map(get, find(text.as_py() or "")))
-                csv = b",".join([g[0] for g in got])
-                counts.append(csv.count(b",") + 1 if got else 0)
+                csv = b",".join(map(get, find(text.as_py() or "")))
+                counts.append(csv.count(b",") + 1 if csv else 0)
                 ids_sha.append(sha(csv).hexdigest())
-                text_sha.append(sha(b"".join([g[1] for g in got])).hexdigest())
+                text_sha.append(sha(bpe.decode_text(csv)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]

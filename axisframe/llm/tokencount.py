@@ -40,7 +40,7 @@ def read_pieces(path: str) -> dict:
 
 
 class PieceCounter:
-    def __init__(self, model: dict, memo: int = 32_000_000):
+    def __init__(self, model: dict, memo: int = 64_000_000):
         self.rank, self.prefix = model["rank"], SPACE if model["dummy_prefix"] else ""
         self.single = {p for p in self.rank if len(p) == 1}
         inside = {c for p in self.rank if len(p) > 1 for c in p}
@@ -50,7 +50,11 @@ class PieceCounter:
             self.chunks = lambda s: [s]
         else:
             self.chunks = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n" if "\n" not in inside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-        self.memo: dict[str, int] = _Counts(self, memo)
+        self.most = memo
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = _Counts(self, self.most)
 
     def chunk(self, s: str) -> int:
         """Initial symbols minus merges, plus what byte fallback adds."""
@@ -88,18 +92,20 @@ class PieceCounter:
 
 
 class _Counts(dict):
-    """Chunk -> count; emptied when it takes about ``most`` bytes."""
+    """Chunk -> count, in two generations of about ``most`` / 2 bytes each, as in :mod:`axisframe.llm.bpe`."""
 
     def __init__(self, counter: PieceCounter, most: int):
-        self.counter, self.most, self.size = counter, most, 0
+        self.counter, self.most, self.size, self.old = counter, most // 2, 0, {}
 
     def __missing__(self, s: str) -> int:
-        n = self.counter.chunk(s)
+        n = self.old.get(s)
+        if n is None:
+            n = self.counter.chunk(s)
         if len(s) <= 64:
-            self.size += 190 + 2 * len(s)
+            self.size += 150 + 2 * len(s)
             if self.size > self.most:
+                self.old, self.size = dict(self), 0
                 self.clear()
-                self.size = 0
             self[s] = n
         return n
 
@@ -114,7 +120,9 @@ def count_tokens(docs: DataFrame, model: dict, limit: int = 4096, id_col: str =
     shared, key = docs.sparkSession.sparkContext.broadcast(model), new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = once_per_process("pieces", key, lambda: PieceCounter(shared.value)).count
+        counter = once_per_process("pieces", key, lambda: PieceCounter(shared.value))
+        counter.forget()  # a memo is a task's own: workers that wait hold none
+        count = counter.count
         for batch in batches:
             sizes, counts = [], []
             for value in batch.column(1):
@@ -125,6 +133,7 @@ def count_tokens(docs: DataFrame, model: dict, limit: int = 4096, id_col: str =
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
             )
+        counter.forget()
 
     pick = docs.select(id_col, text_col)
     return pick.mapInArrow(lean(run), f"`{id_col}` {pick.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
