@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.algebra import ar_covariance, autoregression, clean_component, crlb_isr, running_averages, wasobi, whitening
+from ..plans.lineage import from_driver
 
 
 def covariance(cells: DataFrame, var: str, obs: str, value: str = "value", ddof: int = 1) -> DataFrame:
@@ -102,7 +103,7 @@ def project(signal: DataFrame, weights: np.ndarray, channel: str = "channel", sa
     """(component, sample, value): rows of ``weights`` over the channels in the order of their numbers."""
     channels = [r[0] for r in signal.select(channel).distinct().orderBy(channel).collect()]
     rows = [(int(i), c, float(w)) for i, row in enumerate(weights) for c, w in zip(channels, row, strict=True)]
-    table = signal.sparkSession.createDataFrame(rows, f"{name} int, {channel} {signal.schema[channel].dataType.simpleString()}, __w double")
+    table = from_driver(signal.sparkSession, rows, f"{name} int, {channel} {signal.schema[channel].dataType.simpleString()}, __w double")
     return signal.join(table, channel).groupBy(name, sample).agg(F.sum(F.col(value) * F.col("__w")).alias(value))  # components x channels rows
 
 
@@ -172,8 +173,8 @@ class ArtifactCleaner:
         """(channel, sample, value) from the components."""
         channels = [r[0] for r in self.signal.select("channel").distinct().orderBy("channel").collect()]
         got = project(self.components, self.mixing, channel="component", name="__at")
-        names = self.signal.sparkSession.createDataFrame(list(enumerate(channels)), f"__at int, channel {self.signal.schema['channel'].dataType.simpleString()}")
-        return got.join(F.broadcast(names), "__at").select("channel", "sample", "value")  # a row a channel
+        names = from_driver(self.signal.sparkSession, list(enumerate(channels)), f"__at int, channel {self.signal.schema['channel'].dataType.simpleString()}")
+        return got.join(names, "__at").select("channel", "sample", "value")
 
 
 def remove_artifacts(signal: DataFrame, samplerate: float, channels=(0, 1), factor: float = 1.5, ratio: float = 2.5, **kw) -> DataFrame:

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import from_driver
 from .predicate import Predicate
 
 _NAME = re.compile(r"[a-zA-Z_]\w*\Z")
@@ -365,6 +366,6 @@ def take(cube: Cube, positions: Iterable[int], dim: int | str) -> Cube:
     d = cube.axis(dim)
     chosen = list(positions)
     spark = cube.df.sparkSession
-    table = spark.createDataFrame([(i, int(p)) for i, p in enumerate(chosen)], "__new int, __old int")
+    table = from_driver(spark, [(i, int(p)) for i, p in enumerate(chosen)], "__new int, __old int")
     df = cube.df.join(table, F.col(f"{d}_idx") == F.col("__old"))
     return cube.with_(df.withColumn(f"{d}_idx", F.col("__new")).select(*cube.df.columns))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,6 +79,12 @@ def merged(df: DataFrame, least: int = 8 << 20) -> DataFrame:
     return _in_tasks(df, -(-size // least))
 
 
+def from_driver(spark: SparkSession, rows: list, schema, most: int = 200_000) -> DataFrame:
+    """A table of rows the driver holds, to be joined: broadcast up to ``most`` of them, beyond that left to a shuffle."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= most else df
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A ``materialise`` whose tables are deleted at the end of the block: results must have been written elsewhere by then."""
