@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import merged
+from ..plans.lineage import from_driver, merged
 
 
 #: Bytes of a batch that a Python worker gets at once.
@@ -38,14 +38,14 @@ def sample_rows(df: DataFrame, key: str, group: str, per_group: int) -> DataFram
     """About ``per_group`` rows of each value of ``group``, chosen by a hash of ``key``: the same on every run.
 
     Only ``group`` is counted to find the fractions. Null groups are left out. The table of fractions has a row a
-    group; Spark joins it by broadcast where its size, which it knows, allows, else by a shuffle.
+    group; it is broadcast where these are few enough, else joined by a shuffle.
     """
     spark, spread = df.sparkSession, 1 << 30
     kind = df.schema[group].dataType.simpleString()
     counts = df.where(F.col(group).isNotNull()).groupBy(group).count().collect()
     edges = [(r[0], spread if r[1] <= per_group else int(spread * per_group / r[1])) for r in counts]
     name = fresh("edge", df.columns)
-    edge = spark.createDataFrame(edges, f"`{group}` {kind}, `{name}` long")
+    edge = from_driver(spark, edges, f"`{group}` {kind}, `{name}` long")
     return df.join(edge, group).where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread)) < F.col(name)).select(*df.columns)
 
 
