@@ -1,6 +1,9 @@
 """Queries over readers, the signal store, alignment and streams: the test samples are written as recordings and read back."""
 
+import uuid
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -8,7 +11,7 @@ from ..operators import align, clusters
 from ..plans.cube import Cube
 from ..plans.lineage import temporary
 from ..sources import base, brainvision, edf, rawbin
-from ..sources.files import write_bytes
+from ..sources.files import join_files, write_bytes
 from ..sources.store import SignalStore, read_pulses
 from ..streaming import signal as streams
 from .registry import query, rows
@@ -16,38 +19,74 @@ from .registry import query, rows
 #: Samples in a record of the EDF files made here: a quarter of a second.
 RECORD = 50
 
+#: Samples of all channels that a task puts into bytes at once: whole records.
+PIECE = RECORD * 2048
+
+
+def _steps(v, file=0):
+    """(file, piece, channel, sample, step) with values as whole numbers, tenths of them cut towards 0, and by file how many samples there are."""
+    steps = v.sig.df.select(F.lit(file).alias("file") if isinstance(file, int) else file.cast("int").alias("file"), F.floor(F.col("smp") / PIECE).alias("piece"), F.col("ch").cast("int").alias("ch"), F.col("smp").cast("long").alias("smp"), (F.col("value") * 10).cast("long").alias("step"))
+    return steps, {r[0]: r[1] for r in steps.groupBy("file").agg(F.max("smp") + 1).collect()}
+
+
+def _pieces(cells, lengths: dict[int, int], folder: str, encode) -> dict[int, list[str]]:
+    """By file the paths of its pieces in their order: each holds what ``encode(rows, piece, samples)`` gives. Tasks
+    write them, one that runs twice under other names, so the driver sees paths only."""
+
+    def write(pdf, file: int, piece: int) -> str:
+        path = f"{folder}/pieces/{uuid.uuid4().hex}"
+        write_bytes(path, encode(pdf, piece, min(PIECE, lengths[file] - piece * PIECE)))
+        return path
+
+    def run(key, pdf):
+        return pd.DataFrame({"file": [key[0]], "piece": [key[1]], "path": [write(pdf, *map(int, key))]})
+
+    got = {(r[0], r[1]): r[2] for r in cells.groupBy("file", "piece").applyInPandas(run, "file int, piece long, path string").collect()}
+    none = pd.DataFrame({c: pd.Series(dtype=int) for c in cells.columns})
+    return {f: [got.get((f, k)) or write(none, f, k) for k in range(-(-n // PIECE))] for f, n in lengths.items()}
 
-def _steps(v) -> np.ndarray:
-    """(channel, sample) of whole numbers: tenths of the values, cut towards 0."""
-    pdf = v.sig.df.select("ch", "smp", (F.col("value") * 10).cast("long").alias("value")).toPandas()
-    out = np.zeros((4, pdf["smp"].max() + 1), int)
-    out[pdf["ch"], pdf["smp"]] = pdf["value"]
-    return out
-
-
-def write_edf(path: str, steps: np.ndarray, notes: list[tuple[float, str]], wide: bool = False, record: int = RECORD, seconds: float = 0.25) -> None:
-    """A file of these channels at 0.1 a step, the last record filled up with 0, and annotations without duration."""
-    channels, size = len(steps), 3 if wide else 2
-    records = -(-steps.shape[1] // record)
-    x = np.zeros((channels, records * record), int)
-    x[:, : steps.shape[1]] = steps
-    marks: list[bytes] = [f"+{r * seconds:g}\x14\x14\x00".encode() for r in range(records)]
-    for onset, text in notes:
-        marks[int(onset / seconds)] += f"+{onset:.6f}\x150\x14{text}\x14\x00".encode()
-    room = -(-max(map(len, marks)) // size)
+
+def _matrix(pdf, piece: int, n: int, channels: int = 4) -> np.ndarray:
+    """(channel, sample) of a piece's steps, 0 where there is none."""
+    x = np.zeros((channels, n), int)
+    x[pdf["ch"], pdf["smp"] - piece * PIECE] = pdf["step"]
+    return x
+
+
+def write_edf(path: str, steps, lengths: dict[int, int], notes, wide: bool = False, record: int = RECORD, seconds: float = 0.25, channels: int = 4) -> None:
+    """A file of these steps, 0.1 each, the last record filled up with 0, and of annotations without duration: (onset, text)."""
+    size, samples = 3 if wide else 2, lengths[0]
+    records = -(-samples // record)
+    notes = notes.withColumn("record", F.floor(F.col("onset") / seconds))
+    entry = F.length(F.format_string("+%.6f", "onset")) + F.octet_length("text") + 5  # two bytes and three marks around them
+    longest = notes.groupBy("record").agg(F.sum(entry).alias("n")).agg(F.max("n")).first()[0] or 0
+    room = -(-(len(f"+{int(records * seconds)}.123456") + 3 + longest) // size)
+
+    def encode(pdf, piece, n):
+        held = -(-n // record)
+        body, first = np.zeros((channels, held * record), int), piece * PIECE // record
+        body[:, :n] = _matrix(pdf[pdf["ch"] >= 0], piece, n, channels)
+        marks = [f"+{(first + r) * seconds:.6f}".rstrip("0").rstrip(".").encode() + b"\x14\x14\x00" for r in range(held)]
+        some = pdf[pdf["ch"] < 0].sort_values("onset", kind="stable")
+        for r, onset, text in zip(some["smp"], some["onset"], some["text"], strict=True):
+            marks[r - first] += f"+{onset:.6f}\x150\x14{text}\x14\x00".encode()
+        digits = body.astype("<i4").view(np.uint8).reshape(channels, held, record, 4)[..., :size].transpose(1, 0, 2, 3).reshape(held, -1)
+        beside = np.frombuffer(b"".join(m.ljust(room * size, b"\x00") for m in marks), np.uint8).reshape(held, -1)
+        return np.concatenate([digits, beside], 1).tobytes()
+
+    cells = steps.withColumns({"onset": F.lit(None).cast("double"), "text": F.lit(None).cast("string")})
+    beside = notes.select(F.lit(0).alias("file"), F.floor(F.col("record") * record / PIECE).alias("piece"), F.lit(-1).alias("ch"), F.col("record").alias("smp"), F.lit(None).cast("long").alias("step"), "onset", "text")
+    parts = _pieces(cells.unionByName(beside), lengths, path.rpartition("/")[0], encode)[0]
     n, pad = channels + 1, lambda s, k: str(s).ljust(k).encode()
     kinds = [f"C{i + 1}" for i in range(channels)] + ["BDF Annotations" if wide else "EDF Annotations"]
     head = [b"\xffBIOSEMI" if wide else pad(0, 8), pad("", 160), pad("01.01.24", 8), pad("00.00.00", 8), pad(256 * (n + 1), 8), pad("", 44), pad(records, 8), pad(seconds, 8), pad(n, 4)]
     head += [b"".join(pad(k, 16) for k in kinds), pad("", 88 * n), pad(-3276.7, 8) * n, pad(3276.7, 8) * n, pad(-32767, 8) * n, pad(32767, 8) * n, pad("", 80 * n), pad(record, 8) * channels + pad(room, 8), pad("", 32 * n)]
-    digits = x.astype("<i4").view(np.uint8).reshape(channels, -1, 4)[:, :, :size]
-    body = []
-    for r in range(records):
-        body += [digits[:, r * record : (r + 1) * record].tobytes(), marks[r].ljust(room * size, b"\x00")]
-    write_bytes(path, b"".join(head + body))
+    join_files(path, b"".join(head), parts)
 
 
-def _onsets(v) -> list[tuple[float, str]]:
-    return [(r[0] / 200, "purchase") for r in v.onsets.select("eoffset").orderBy("eoffset").collect()]
+def _onsets(v):
+    """(onset in seconds, text)."""
+    return v.onsets.select((F.col("eoffset") / 200).alias("onset"), F.lit("purchase").alias("text"))
 
 
 _SAMPLES = "SELECT ch + 1 AS channel, smp AS sample, round(trunc(value * 10) * 0.1, 6) + 0.0 AS value FROM sig"
@@ -62,8 +101,9 @@ def rawbin_samples(v):
     """Files of whole numbers, one a channel, with parameters beside them."""
     sources.register(v.spark)
     folder = temporary(v.spark)
-    for c, x in enumerate(_steps(v), 1):
-        write_bytes(f"{folder}/rec.{c:03d}", x.astype("<i2").tobytes())
+    steps, lengths = _steps(v, F.col("ch"))
+    for c, parts in _pieces(steps.withColumn("ch", F.lit(0)), lengths, folder, lambda pdf, piece, n: _matrix(pdf, piece, n, 1).astype("<i2").tobytes()).items():
+        join_files(f"{folder}/rec.{c + 1:03d}", b"", parts)
     write_bytes(f"{folder}/params.txt", b"samplerate 200.0\ngain 0.1\ndataformat 'short'\n")
     return _cells(v.spark.read.format("rawbin").load(f"{folder}/rec"))
 
@@ -78,7 +118,7 @@ def rawbin_params(v):
 
 def _edf(v, wide: bool) -> str:
     path = f"{temporary(v.spark)}/rec.{'bdf' if wide else 'edf'}"
-    write_edf(path, _steps(v), _onsets(v), wide)
+    write_edf(path, *_steps(v), _onsets(v), wide)
     sources.register(v.spark)
     return path
 
@@ -120,13 +160,21 @@ def bdf_annotations(v):
 
 
 def _brainvision(v, kind: str) -> str:
-    folder, x = temporary(v.spark), _steps(v)
+    folder, (steps, lengths) = temporary(v.spark), _steps(v)
     info = "".join(f"Ch{c + 1}=E\\1{c + 1},,{0.1 * (c + 1):g},uV\n" for c in range(4))
     head = f"Brain Vision Data Exchange Header File Version 1.0\n[Common Infos]\nDataFile=$b.eeg\nMarkerFile=$b.vmrk\nDataFormat=BINARY\nDataOrientation=MULTIPLEXED\nNumberOfChannels=4\nSamplingInterval=5000\n[Binary Infos]\nBinaryFormat={kind}\n[Channel Infos]\n{info}[Comment]\nImpedance [kOhm] :\n" + "".join(f"E,{c + 1}: {5 + c}\n" for c in range(3))
     write_bytes(f"{folder}/rec.vhdr", head.encode())
-    write_bytes(f"{folder}/rec.eeg", x.T.astype(brainvision.FORMATS[kind]).tobytes())
-    marks = "".join(f"Mk{i + 2}=Stimulus,S255,{round(at * 200) + 1},1,0\n" for i, (at, _) in enumerate(_onsets(v)))
-    write_bytes(f"{folder}/rec.vmrk", f"Brain Vision Data Exchange Marker File, Version 1.0\n[Marker Infos]\nMk1=New Segment,,1,1,0,2024\n{marks}".encode())
+    join_files(f"{folder}/rec.eeg", b"", _pieces(steps, lengths, folder, lambda pdf, piece, n: _matrix(pdf, piece, n).T.astype(brainvision.FORMATS[kind]).tobytes())[0])
+    places = v.onsets.select(F.lit(0).alias("file"), F.floor(F.col("eoffset") / PIECE).alias("piece"), F.col("eoffset").alias("smp"))
+    before, number = {}, 2
+    for piece, n in sorted(places.groupBy("piece").count().collect()):  # one row a piece
+        before[piece], number = number, number + n
+
+    def marks(pdf, piece, _):
+        return "".join(f"Mk{before[piece] + i}=Stimulus,S255,{at + 1},1,0\n" for i, at in enumerate(sorted(pdf["smp"]))).encode()
+
+    title = b"Brain Vision Data Exchange Marker File, Version 1.0\n[Marker Infos]\nMk1=New Segment,,1,1,0,2024\n"
+    join_files(f"{folder}/rec.vmrk", title, _pieces(places, lengths, folder, marks)[0])
     sources.register(v.spark)
     return f"{folder}/rec.vhdr"
 

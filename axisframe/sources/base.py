@@ -71,14 +71,23 @@ class SignalReader(DataSourceReader):
                 )
 
 
+@dataclass
+class Stretch(InputPartition):
+    start: int
+    stop: int
+
+
 class RowReader(DataSourceReader):
-    """A small table that one task reads."""
+    """Rows of ``read_rows(start, stop)`` of a file of ``end`` places from ``first`` on, ``step`` of them a task."""
+
+    def __init__(self, read_rows, first: int, end: int, step: int):
+        self.read_rows, self.first, self.end, self.step = read_rows, first, end, max(1, step)
 
-    def __init__(self, rows):
-        self.rows = rows
+    def partitions(self) -> list[Stretch]:
+        return [Stretch(s, min(s + self.step, self.end)) for s in range(self.first, self.end, self.step)] or [Stretch(0, 0)]
 
     def read(self, partition):
-        yield from self.rows()
+        yield from self.read_rows(partition.start, partition.stop)
 
 
 class Recording(DataSource):

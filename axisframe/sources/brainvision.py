@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import configparser
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource
 
 from .base import ANNOTATION, Recording, RowReader, SignalReader
-from .files import file_size, read_bytes
+from .files import file_size, read_bytes, read_lines
 
 # The header's names of sample formats.
 FORMATS = {"INT_16": "<i2", "IEEE_FLOAT_32": "<f4"}
@@ -67,15 +69,39 @@ def channel_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(n, name, scale, unit, h.impedances.get(name)) for n, name, scale, unit in h.channels], "number int, name string, scale double, unit string, impedance double")
 
 
-def read_markers(h: Header) -> list[tuple[float, str, str]]:
-    """(onset in seconds, duration in samples as it stands, description) by marker number. Positions count from 1 where the first segment begins at 1."""
-    found = []
-    for k, v in read_ini(h.markers)["Marker Infos"].items():
-        kind, text, position, size = ([x.replace("\\1", ",") for x in v.split(",")] + [""] * 4)[:4]
-        found.append((int(k.lower().removeprefix("mk")), kind, text, int(position), size))
-    found.sort()
-    shift = any(kind == "New Segment" and at == 1 for _, kind, _, at, _ in found)
-    return [((at - shift) / h.samplerate, size, text or kind) for _, kind, text, at, size in found]
+def find_markers(path: str) -> tuple[int, int, bool]:
+    """(first byte, end, whether the first segment begins at 1) of a marker file's list, looked through 4 MB at a time."""
+    size, at, first, shift, carry = file_size(path), 0, None, False, b""
+    while at < size:
+        raw = read_bytes(path, at, 4 << 20)
+        at += len(raw)
+        lines = carry + raw
+        whole = len(lines) if at >= size else lines.rfind(b"\n") + 1
+        lines, carry = lines[:whole], lines[whole:]
+        begin = at - len(carry) - whole
+        for m in re.finditer(rb"^\[[^\]\n]*\]", lines, re.M):
+            if first is None and m[0].lower() == b"[marker infos]":
+                first = begin + m.end()
+            elif first is not None and begin + m.start() > first:
+                return first, begin + m.start(), shift or bool(_FIRST.search(lines[: m.start()]))
+        if first is not None:
+            shift = shift or bool(_FIRST.search(lines))
+    if first is None:
+        raise ValueError(f"{path} has no list of markers")
+    return first, size, shift
+
+
+# A marker's line, and that of a segment that begins at 1.
+_MARKER = re.compile(r"\s*mk(\d+)\s*[=:]\s*(.*)", re.I)
+_FIRST = re.compile(rb"^\s*mk\d+\s*[=:]\s*New Segment,[^,\n]*,\s*1\s*(?:,|$)", re.I | re.M)
+
+
+def read_markers(h: Header, start: int, stop: int, first: int, end: int, shift: bool) -> Iterator[tuple[float, str, str]]:
+    """(onset in seconds, duration in samples as it stands, description) of the markers whose lines begin from byte ``start`` to before ``stop``. Positions count from 1 where the first segment begins at 1."""
+    for line in read_lines(h.markers, start, stop, first, end):
+        if m := _MARKER.match(line.decode("utf-8", "replace")):
+            kind, text, position, size = ([x.replace("\\1", ",") for x in m[2].rstrip().split(",")] + [""] * 4)[:4]
+            yield (int(position) - shift) / h.samplerate, size, text or kind
 
 
 class BrainVisionReader(SignalReader):
@@ -120,4 +146,6 @@ class BrainVisionMarkers(DataSource):
 
     def reader(self, schema):
         path, esrc = self.options["path"], self.options.get("esrc", self.options["path"])
-        return RowReader(lambda: [(esrc, *m) for m in read_markers(read_header(path))])
+        h = read_header(path)
+        first, end, shift = find_markers(h.markers)
+        return RowReader(lambda start, stop: ((esrc, *m) for m in read_markers(h, start, stop, first, end, shift)), first, end, 8 << 20)

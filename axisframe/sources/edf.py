@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -91,21 +92,22 @@ def read_samples(h: Header, signal: int, start: int, n: int, read=read_records)
     return decode(raw, h.width)[start - first * per : stop - first * per] * h.scale[i] + h.offset[i]
 
 
-def read_annotations(h: Header) -> list[tuple[float, str, str]]:
-    """(onset in seconds, duration as it stands, text); the time stamps of records have no text and are left out."""
-    out = []
+def read_annotations(h: Header, start: int = 0, stop: int | None = None) -> Iterator[tuple[float, str, str]]:
+    """(onset in seconds, duration as it stands, text) of the records from ``start`` to before ``stop``; the time stamps of records have no text and are left out."""
     places = [(sum(h.per_record[:i]) * h.width, h.per_record[i] * h.width) for i in range(len(h.labels)) if i not in h.signals]
+    stop = h.records if stop is None else stop
     step = max(1, (8 << 20) // h.record_bytes)  # records read at once
-    for first in range(0, h.records if places else 0, step):
-        for record in read_records(h, first, min(first + step, h.records) - 1):
+    for first in range(start, stop if places else start, step):
+        for record in read_records(h, first, min(first + step, stop) - 1):
             for before, size in places:
                 for entry in record[before : before + size].tobytes().split(b"\x00"):
                     if not entry:
                         continue
                     when, *texts = entry.split(b"\x14")
                     onset, _, duration = when.partition(b"\x15")
-                    out += [(float(onset), duration.decode(), t.decode("utf-8", "replace")) for t in texts if t]
-    return sorted(out, key=lambda x: x[0])
+                    for t in texts:
+                        if t:
+                            yield float(onset), duration.decode(), t.decode("utf-8", "replace")
 
 
 class EdfReader(SignalReader):
@@ -146,4 +148,5 @@ class EdfAnnotations(DataSource):
 
     def reader(self, schema):
         path, esrc = self.options["path"], self.options.get("esrc", self.options["path"])
-        return RowReader(lambda: [(esrc, *a) for a in read_annotations(read_header(path))])
+        h = read_header(path)
+        return RowReader(lambda start, stop: ((esrc, *a) for a in read_annotations(h, start, stop)), 0, h.records, (16 << 20) // h.record_bytes)
