@@ -1,8 +1,11 @@
-"""Alignment of two clocks by a train of pulses. Pulse trains are short: they are matched on the driver."""
+"""Alignment of two clocks by a train of pulses: arrays in the driver's memory, or tables whose pulses tasks look through."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +15,17 @@ def find_needle(needle: np.ndarray, hay: np.ndarray, most: float) -> int:
     needle, hay = np.asarray(needle, float), np.asarray(hay, float)
     if len(needle) > len(hay):
         return -1
-    windows = np.lib.stride_tricks.sliding_window_view(hay, len(needle))
-    good = np.flatnonzero((np.abs(windows - needle) <= most).all(axis=1))
-    return int(good[0]) if len(good) else -1
+    return _first_window(hay, len(needle), lambda windows: (np.abs(windows - needle) <= most).all(axis=1))
+
+
+def _first_window(hay: np.ndarray, size: int, test: Callable[[np.ndarray], np.ndarray], block: int = 1 << 16) -> int:
+    """Where the first run of ``size`` values that passes the test begins, a block of runs at a time; -1 if there is none."""
+    windows = np.lib.stride_tricks.sliding_window_view(hay, size)
+    for start in range(0, len(windows), block):
+        good = np.flatnonzero(test(windows[start : start + block]))
+        if len(good):
+            return start + int(good[0])
+    return -1
 
 
 def match_pulses(eeg: np.ndarray, beh: np.ndarray, length: int = 10, tolerance: float = 0.0015) -> list[tuple[float, float]]:
@@ -44,9 +55,8 @@ def _first_match(needle: np.ndarray, hay: np.ndarray, length: int, tolerance: fl
     gaps = np.diff(needle[:length])
     if not len(gaps) or len(hay) <= len(gaps):
         return None
-    windows = np.lib.stride_tricks.sliding_window_view(np.diff(hay), len(gaps))
-    good = np.flatnonzero(np.abs(windows - gaps).sum(axis=1) < tolerance * length)
-    return int(good[0]) if len(good) else None
+    at = _first_window(np.diff(hay), len(gaps), lambda windows: np.abs(windows - gaps).sum(axis=1) < tolerance * length)
+    return None if at < 0 else at
 
 
 def fit_line(pairs: DataFrame, x: str = "beh", y: str = "eeg") -> tuple[float, float]:
@@ -80,9 +90,40 @@ def apply_line(time: Column, line: tuple[float, float]) -> Column:
     return time * F.lit(line[0]) + F.lit(line[1])
 
 
+def times_to_offsets_tables(eeg: DataFrame, beh: DataFrame, samplerate: float = 1.0, window: int = 100, threshold: float = 10) -> tuple[float, float]:
+    """:func:`times_to_offsets_ends` of tables of one column each: only the runs of ``window`` pulses reach the driver."""
+    from .statistics import sorted_ranks
+
+    e, b = F.col(eeg.columns[0]), F.col(beh.columns[0])
+    first, last = (np.array([r[0] for r in beh.orderBy(by).limit(window).collect()], float) for by in (b.asc(), b.desc()))
+    parts, window = [first, last[::-1]], len(first)
+    ranked = sorted_ranks(eeg.select((e.cast("double") * 1000 / samplerate).alias("ms")), F.col("ms")).select((F.col("__rank") - 1).alias("i"), "ms")
+    at = _find_runs([np.diff(p) for p in parts], ranked, threshold)
+    if min(at) < 0:
+        raise ValueError("the pulses of the two clocks don't match")
+    y = [r[0] for a in at for r in ranked.where((F.col("i") >= a) & (F.col("i") < a + window)).orderBy("i").select("ms").collect()]
+    slope, intercept = np.polyfit(np.concatenate(parts), np.array(y), 1)
+    return float(slope) / 1000, float(intercept) / 1000
+
+
+def _find_runs(needles: list[np.ndarray], ranked: DataFrame, most: float, size: int = 1 << 16) -> list[int]:
+    """Of each needle the first place ``i`` of (i, ms) from which the gaps are the needle's; in stretches with a halo of the longest."""
+    halo = max(map(len, needles))
+    size, i = max(size, halo), F.col("i")
+    home = F.floor(i / size)
+    stretches = ranked.withColumn("stretch", F.explode(F.array_compact(F.array(home, F.when((i % size < halo) & (home > 0), home - 1)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        gaps, start = np.diff(pdf["ms"].to_numpy()), int(pdf["i"].iloc[0])
+        got = [(k, start + at) for k, needle in enumerate(needles) if (at := find_needle(needle, gaps, most)) >= 0]
+        return pd.DataFrame(got, columns=["needle", "at"])
+
+    found = stretches.groupBy("stretch").applyInPandas(run, "needle int, at long").groupBy("needle").agg(F.min("at")).collect()
+    return [dict(map(tuple, found)).get(k, -1) for k in range(len(needles))]
+
+
 def align(events: DataFrame, annotations: DataFrame, pulses: DataFrame, esrc: str, annotation: str = "S255", time_col: str = "mstime", **kw) -> DataFrame:
     """Events with ``esrc`` and ``eoffset`` in seconds. ``annotations``: (onset, annotation) of the recording; ``pulses``: (time) in ms."""
-    eeg = [r[0] for r in annotations.where(F.col("annotation") == annotation).orderBy("onset").select("onset").collect()]
-    beh = [r[0] for r in pulses.orderBy("time").select("time").collect()]
-    line = times_to_offsets_ends(eeg, beh, **kw)
+    line = times_to_offsets_tables(annotations.where(F.col("annotation") == annotation).select("onset"), pulses.select("time"), **kw)
     return events.withColumns({"esrc": F.lit(esrc), "eoffset": apply_line(F.col(time_col), line)})

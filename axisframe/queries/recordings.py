@@ -356,7 +356,7 @@ def stream_epochs(v):
 def _pulse_times(v):
     """Pulse times in seconds of a behaviour log and of the recording, whose clock is a little fast and which begins 3 pulses later."""
     i = np.arange(v.n_samples)
-    beh = i * 1.5 + (i * i * i * 7919 % 100003) / 200006 + 40
+    beh = i * 1.5 + i * i % 100003 * i % 100003 * 7919 % 100003 / 200006 + 40
     return beh, 1.00001372913 * beh[3:] - 30.5
 
 
@@ -390,9 +390,9 @@ def pulse_pairs_late_log(v):
 @query("SELECT event_id AS event, 'rec' AS esrc, round(1.00001372913e0 * event_id * 0.25e0 - 30.5e0, 5) + 0.0 AS eoffset FROM events WHERE event_type = 'purchase'")
 def align_events(v):
     """Events get their source and offset in seconds by the first and last pulses of both clocks; the log is in milliseconds."""
-    beh, eeg = _pulse_times(v)
-    notes = v.spark.createDataFrame([(float(e), "S255") for e in eeg] + [(1.0, "other")], "onset double, annotation string")
-    pulses = v.spark.createDataFrame([(float(b * 1000),) for b in beh[3:]], "time double")
+    beh = v.spark.range(3, v.n_samples).selectExpr("id * 1.5D + id * id % 100003 * id % 100003 * 7919 % 100003 / 200006 + 40 AS beh")  # as _pulse_times has them
+    notes = beh.selectExpr("1.00001372913D * beh - 30.5D AS onset", "'S255' AS annotation").unionAll(v.spark.sql("SELECT 1.0D, 'other'"))
+    pulses = beh.selectExpr("beh * 1000 AS time")
     events = v.events.where("event_type = 'purchase'").select(F.col("event_id").alias("event"), (F.col("event_id") * 250.0).alias("mstime"))
     return align.align(events, notes, pulses, "rec").select("event", "esrc", (F.round("eoffset", 5) + 0.0).alias("eoffset"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 
+from axisframe.operators import align
 from axisframe.queries import QUERIES
 from axisframe.sources import brainvision, edf
 from axisframe.sources.files import join_files, read_lines
@@ -11,11 +12,11 @@ from axisframe.sources.files import join_files, read_lines
 from .conftest import DATA
 
 
-@pytest.mark.parametrize("name", ["rawbin_samples", "edf_annotations", "bdf_annotations", "brainvision_markers", "brainvision_floats"])
+@pytest.mark.parametrize("name", ["rawbin_samples", "edf_annotations", "bdf_annotations", "brainvision_markers", "brainvision_floats", "align_events"])
 def test_recordings_are_written_by_tasks(spark, monkeypatch, name):
     def collect(self):
         rows = real(self)
-        assert len(rows) <= 8  # lengths, pieces, numbers of markers
+        assert len(rows) <= (100 if name == "align_events" else 8)  # lengths, pieces, numbers of markers; a run of pulses
         return rows
 
     real = DataFrame.collect
@@ -62,3 +63,21 @@ def test_join_files(tmp_path):
         (tmp_path / str(k)).write_bytes(bytes([k]) * k)
     join_files(str(tmp_path / "sub" / "all"), b"h", [str(tmp_path / str(k)) for k in range(3)])
     assert (tmp_path / "sub" / "all").read_bytes() == b"h\x01\x02\x02"
+
+
+def test_pulses_of_tables(spark):
+    """As arrays give it, also where runs lie across stretches, and where nothing matches."""
+    beh = np.cumsum(np.random.default_rng(0).uniform(500, 2000, 400))
+    eeg = beh[7:] * 1.0001 / 1000 + 33
+    tables = [spark.createDataFrame([(float(t),) for t in x], "t double") for x in (eeg, beh[7:])]
+    assert align.times_to_offsets_tables(*tables, window=30) == pytest.approx(align.times_to_offsets_ends(eeg, beh[7:], window=30), rel=1e-12)
+    ranked = spark.createDataFrame([(i, float(t * 1000)) for i, t in enumerate(eeg)], "i long, ms double")
+    needles = [np.diff(eeg[a : a + 9] * 1000) for a in (0, 12, 13, 16, 384)] + [np.full(8, 7.0)]
+    assert align._find_runs(needles, ranked, 1e-6, 16) == [0, 12, 13, 16, 384, -1]
+    with pytest.raises(ValueError):
+        align.times_to_offsets_tables(tables[0], spark.range(20).selectExpr("cast(id * 9 AS double) AS t"), threshold=0.1)
+
+
+def test_runs_in_blocks():
+    hay = np.arange(500.0) ** 2
+    assert [align._first_window(hay, 3, lambda w, a=a: w[:, 0] == a * a, 64) for a in (0, 63, 64, 497, 498)] == [0, 63, 64, 497, -1]
