@@ -46,7 +46,8 @@ def fdr(df: DataFrame, p: str = "p", alpha: float = 0.05, method: str = "indep")
     ends = ranked.groupBy("__part").agg(F.min("__raw").alias("m"), F.max("__below").alias("b"))
     later = Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
     ends = ends.select("__part", F.min("m").over(later).alias("__m"), F.coalesce(F.max("b").over(later), F.lit(False)).alias("__b"))
-    on = Window.partitionBy("__part").orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+    # from the end on: a frame that grows is carried along, one that shrinks would be summed up anew at each row
+    on = Window.partitionBy("__part").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
     out = ranked.join(F.broadcast(ends), "__part")  # one row a partition
     out = out.withColumn("p_corrected", F.least(F.lit(1.0), F.min("__raw").over(on), "__m")).withColumn("reject", F.max("__below").over(on) | F.col("__b"))
     return out.select(*df.columns, "p_corrected", "reject")

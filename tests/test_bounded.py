@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from axisframe.operators import align
+from axisframe.operators import align, statistics
 from axisframe.queries import QUERIES
 from axisframe.sources import brainvision, edf
 from axisframe.sources.files import join_files, read_lines
@@ -81,3 +82,10 @@ def test_pulses_of_tables(spark):
 def test_runs_in_blocks():
     hay = np.arange(500.0) ** 2
     assert [align._first_window(hay, 3, lambda w, a=a: w[:, 0] == a * a, 64) for a in (0, 63, 64, 497, 498)] == [0, 63, 64, 497, -1]
+
+
+def test_fdr_frames_grow(spark):
+    """A frame up to a partition's end is summed up anew at each row: quadratic."""
+    p = spark.range(1000).select((F.col("id") * 7919 % 1009 / 1010).alias("p"))
+    frames = [x for x in statistics.fdr(p)._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ").split("windowspecdefinition(")[1:] if "__rank" in x.split(")")[0]]
+    assert frames and not any("unboundedfollowing" in x.split("$())")[0] for x in frames)
