@@ -9,6 +9,7 @@ from axisframe.operators import align, statistics
 from axisframe.queries import QUERIES
 from axisframe.sources import brainvision, edf
 from axisframe.sources.files import join_files, read_lines
+from axisframe.streaming import signal as streams
 
 from .conftest import DATA
 
@@ -89,3 +90,22 @@ def test_fdr_frames_grow(spark):
     p = spark.range(1000).select((F.col("id") * 7919 % 1009 / 1010).alias("p"))
     frames = [x for x in statistics.fdr(p)._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ").split("windowspecdefinition(")[1:] if "__rank" in x.split(")")[0]]
     assert frames and not any("unboundedfollowing" in x.split("$())")[0] for x in frames)
+
+
+def _plan(df, tmp_path):
+    q = df.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q._jsq.explainInternal(False)
+
+
+def test_sessions_merge_before_they_move(spark, tmp_path):
+    live = spark.readStream.schema(spark.read.parquet(f"{DATA}/events.parquet").schema).parquet(f"{DATA}/event[s].parquet").selectExpr("0 AS channel", "value", "cast(ts AS timestamp) AS ts")
+    plan = _plan(streams.sessions(live, "5 minutes"), tmp_path)
+    assert "MergingSessions" in plan[plan.rindex("Exchange") :]
+
+
+def test_epochs_are_joined_by_bins(spark, tmp_path):
+    live = spark.readStream.schema(spark.read.parquet(f"{DATA}/events.parquet").schema).parquet(f"{DATA}/event[s].parquet").selectExpr("event_id AS event", "'r' AS esrc", "0 AS channel", "value", "cast(ts AS timestamp) AS ts")
+    df = streams.epochs(live.selectExpr("event", "esrc", "ts AS event_ts"), live.drop("event"), "5 minutes", "1 minute")
+    keys = next(x for x in _plan(df, tmp_path).splitlines() if "StreamingSymmetricHashJoin" in x).split("]")[0]
+    assert "event_bin" in keys
