@@ -69,16 +69,37 @@ def order_key(i: Column, k: Column) -> Column:
     return F.when(k == 0, i.cast("long")).otherwise((i.cast("long") * 2654435761 + k.cast("long") * 40503 * (i.cast("long") % 97 + 1)) % 4294967296)
 
 
+#: Rows of a group that a task sorts at once in a permutation, about.
+DEAL = 1 << 17
+
+
 def permutations(df: DataFrame, index: str, group: str | None, n: int) -> DataFrame:
     """(perm, ``index``, source): in permutation 0..n each row takes the place of ``source``; rows are shuffled inside their group only.
 
-    Places are found once for all permutations. Ranks come from ranges of the sorted rows, so one group may hold them all.
+    Places are found once for all permutations. A large group is cut by its order keys, which fill their range evenly,
+    into bins that are sorted apart and counted, so one group may hold all rows.
     """
+    from ..plans.lineage import materialise
+
     rows = df.select(F.col(index).alias("__i"), (F.col(group) if group else F.lit(0)).alias("__g"))
     place = _ranks_within(rows, ["__g"], F.col("__i"))
-    dealt = rows.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
-    dealt = _ranks_within(dealt, ["perm", "__g"], F.struct(order_key(F.col("__i"), F.col("perm")), "__i")).select("perm", "__g", "__r", F.col("__i").alias("source"))
-    return dealt.join(place, [place["__g"].eqNullSafe(dealt["__g"]), place["__r"] == dealt["__r"]]).select("perm", F.col("__i").alias(index), "source")
+    sizes = rows.groupBy("__g").agg(F.floor(F.count("*") / DEAL).alias("__bins")).where("__bins > 0")
+    sizes = F.broadcast(materialise(sizes).withColumnRenamed("__g", "__of"))  # a row for each DEAL rows at most
+    place = materialise(place.join(sizes, place["__g"].eqNullSafe(sizes["__of"]), "left").select("__i", "__g", "__r", (F.coalesce("__bins", F.lit(0)) + 1).alias("__bins")))
+    dealt = place.select("__i", "__g", "__bins", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("perm")) if n else place.select("__i", "__g", "__bins", F.lit(0).cast("long").alias("perm")).limit(0)
+    dealt = dealt.withColumn("__key", order_key(F.col("__i"), F.col("perm")))
+    keys = ["perm", "__g", "__bin"]
+    dealt = dealt.withColumn("__bin", F.shiftright(F.col("__key") * F.col("__bins"), 32))
+    counts = dealt.where("__bins > 1").groupBy(*keys).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("perm", "__g").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialise(counts.select(*keys, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before")))
+    before = F.broadcast(counts.toDF(*(f"{k}_" for k in keys), "__before"))  # a row a bin, n for each DEAL / 2 rows at most where keys fill their range
+    inside = Window.partitionBy(*keys).orderBy("__key", "__i")
+    ranked = dealt.withColumn("__r", F.row_number().over(inside)).drop("__key", "__bins")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    ranked = ranked.join(before, same, "left").select("perm", "__g", (F.col("__r") + F.coalesce("__before", F.lit(0))).alias("__r"), F.col("__i").alias("source"))
+    moved = ranked.join(place, [place["__g"].eqNullSafe(ranked["__g"]), place["__r"] == ranked["__r"]]).select("perm", F.col("__i").alias(index), "source")
+    return place.select(F.lit(0).cast("long").alias("perm"), F.col("__i").alias(index), F.col("__i").alias("source")).unionByName(moved)
 
 
 def _ranks_within(df: DataFrame, keys: list[str], by: Column) -> DataFrame:
@@ -143,15 +164,40 @@ def bootstrap_counts(df: DataFrame, unit: str, n: int) -> DataFrame:
 
 
 def stability(df: DataFrame, unit: str, features: list[str], value: str, n: int = 500) -> DataFrame:
-    """(features, ratio, p): a feature's mean over units against its bootstrap standard deviation, as a two-sided t with units - 1 degrees."""
-    weights = bootstrap_counts(df, unit, n)
-    boot = df.join(weights, unit).groupBy("boot", *features).agg((F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("m"))
-    spread = boot.groupBy(*features).agg(F.stddev_pop("m").alias("sd"))
-    mean = df.groupBy(*features).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    out = mean.join(spread, features).withColumn("ratio", F.col("mean") / F.when(F.col("sd") != 0, F.col("sd")))
+    """(features, ratio, p): a feature's mean over units against its bootstrap standard deviation, as a two-sided t with units - 1 degrees.
+
+    A feature's sums by unit are gathered in one row, and its bootstrap means are products of them with the table of
+    weights (samples x units), so rows aren't multiplied by the samples.
+    """
+    counts = bootstrap_counts(df, unit, n).toPandas()  # samples x units, which are few
+    names = {u: i for i, u in enumerate(counts[unit].drop_duplicates())}
+    weights = np.zeros((n, len(names)))
+    weights[counts["boot"], counts[unit].map(names)] = counts["weight"]
+
+    @F.pandas_udf(DoubleType())
+    def spread(units: pd.Series, sums: pd.Series, sizes: pd.Series, there: pd.Series) -> pd.Series:
+        return pd.Series([_bootstrap_sd(weights, [names.get(u, -1) for u in us], *x) for us, *x in zip(units, sums, sizes, there, strict=True)], dtype=float)
+
+    parts = df.groupBy(*features, unit).agg(F.sum(value).cast("double").alias("s"), F.count("*").alias("n"), F.count(value).alias("there"))
+    lists = parts.where(F.col(unit).isNotNull()).groupBy(*features).agg(F.collect_list(F.struct(F.col(unit).alias("u"), F.coalesce("s", F.lit(0.0)).alias("s"), "n", "there")).alias("x"))
+    spreads = lists.select(*features, spread("x.u", "x.s", "x.n", "x.there").alias("sd"))
+    mean = parts.groupBy(*features).agg((F.sum("s") / F.when(F.sum("there") > 0, F.sum("there"))).alias("mean"), F.sum("n").alias("n"))
+    out = mean.join(spreads, features).withColumn("ratio", F.col("mean") / F.when(F.col("sd") != 0, F.col("sd")))
     return out.select(*features, "ratio", t_pvalue("ratio", (F.col("n") - 1).cast("double")).alias("p"))
 
 
+def _bootstrap_sd(weights: np.ndarray, at: list[int], sums, sizes, there) -> float | None:
+    """Standard deviation of a feature's weighted means, over the samples that draw a unit of it with a value."""
+    at = np.asarray(at)
+    drawn = at >= 0  # some units are in no sample
+    w = weights[:, at[drawn]]
+    s, k, t = (np.asarray(x, float)[drawn] for x in (sums, sizes, there))
+    some = w @ t > 0
+    with np.errstate(invalid="ignore"):
+        total = w @ s if np.isfinite(s).all() else np.where(w > 0, w * s, 0).sum(1)
+        return float(np.std(total[some] / (w @ k)[some])) if some.any() else None
+
+
 def histogram_mode(df: DataFrame, value: str, bins: int = 500) -> DataFrame:
     """(bin, low, high, n) of equal bins between the extremes, the fullest first."""
     lo, hi = df.agg(F.min(value), F.max(value)).first()

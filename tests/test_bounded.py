@@ -109,3 +109,38 @@ def test_epochs_are_joined_by_bins(spark, tmp_path):
     df = streams.epochs(live.selectExpr("event", "esrc", "ts AS event_ts"), live.drop("event"), "5 minutes", "1 minute")
     keys = next(x for x in _plan(df, tmp_path).splitlines() if "StreamingSymmetricHashJoin" in x).split("]")[0]
     assert "event_bin" in keys
+
+
+def test_permutations_of_large_groups(spark, monkeypatch):
+    """Groups cut into bins of about 5 rows: as sorting each group whole gives it; rows times permutations aren't sorted in one order."""
+    monkeypatch.setattr(statistics, "DEAL", 5)
+    rows = [(i * 3 + 1, None if i % 4 == 3 else "ab"[i % 4 == 0]) for i in range(120)]
+    df = statistics.permutations(spark.createDataFrame(rows, "i int, g string"), "i", "g", 6)
+    got = {(r["perm"], r["i"]): r["source"] for r in df.collect()}
+    assert "rangepartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    key = lambda i, k: i if not k else (i * 2654435761 + k * 40503 * (i % 97 + 1)) % (1 << 32)
+    want = {}
+    for g in ("a", "b", None):
+        own = [i for i, x in rows if x == g]
+        want |= {(k, i): s for k in range(7) for i, s in zip(own, sorted(own, key=lambda i: (key(i, k), i)), strict=True)}
+    assert got == want
+
+
+def test_bootstrap_ratios_by_sums(spark):
+    """As drawing rows gives them, with missing values, units and features; rows aren't multiplied by the samples."""
+    rng = np.random.default_rng(3)
+    rows = [(u, f, None if (u + f) % 7 == 0 else float(rng.normal() + 1)) for u in range(9) for f in range(4) if (u * f) % 5 != 3] + [(0, 9, None), (1, 9, None)]
+    df = spark.createDataFrame(rows, "u int, f int, value double")
+    out = statistics.stability(df, "u", ["f"], "value", 60)
+    assert "boot" not in out._jdf.queryExecution().analyzed().toString()
+    draws = {}
+    for r in statistics.bootstrap_counts(df, "u", 60).collect():
+        draws.setdefault(r["boot"], {})[r["u"]] = r["weight"]
+    for r in out.collect():
+        own = [(u, v) for u, f, v in rows if f == r["f"]]
+        means = []
+        for w in draws.values():
+            if any(v is not None and u in w for u, v in own):
+                means.append(sum(w.get(u, 0) * (v or 0) for u, v in own) / sum(w.get(u, 0) for u, _ in own))
+        given = [v for _, v in own if v is not None]
+        assert r["ratio"] == (pytest.approx(np.mean(given) / np.std(means)) if given else None)
