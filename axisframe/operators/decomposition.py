@@ -161,11 +161,16 @@ class ArtifactCleaner:
         chosen, radius = list(self.chosen if components is None else components), int(np.rint(self.samplerate * 0.1))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("sample")
-            return pdf.assign(value=clean_component(pdf["value"].to_numpy(), ratio, radius)[0])
-
-        hit = F.col("component").isin(chosen)
-        done = self.components.where(hit).groupBy("component").applyInPandas(run, self.components.schema)
+            pdf = pdf.sort_values("stretch")
+            cleaned = clean_component(np.concatenate(pdf["value"].to_list()), ratio, radius)[0]
+            return pdf[["component", "sample"]].assign(value=np.split(cleaned, np.cumsum(pdf["value"].map(len))[:-1]))
+
+        # a component moves as arrays of its stretches, several times smaller than its rows
+        hit, kind = F.col("component").isin(chosen), self.components.schema["sample"].dataType.simpleString()
+        cells = F.array_sort(F.collect_list(F.struct("sample", "value")))
+        stretches = self.components.where(hit).groupBy("component", F.floor(F.col("sample") / 65_536).alias("stretch")).agg(cells.alias("x")).select("component", "stretch", "x.sample", "x.value")
+        done = stretches.groupBy("component").applyInPandas(run, f"component int, sample array<{kind}>, value array<double>")
+        done = done.select("component", F.explode(F.arrays_zip("sample", "value")).alias("x")).select("component", "x.sample", "x.value")
         self.components = self.components.where(~hit).unionByName(done)
         return self.components
 

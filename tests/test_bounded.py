@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.operators import align, statistics
+from axisframe.functions import algebra, emd
+from axisframe.operators import align, decomposition, statistics
+from axisframe.plans.cube import Cube
+from axisframe.plans.timecube import TimeCube
 from axisframe.queries import QUERIES
 from axisframe.sources import brainvision, edf
 from axisframe.sources.files import join_files, read_lines
@@ -144,3 +147,51 @@ def test_bootstrap_ratios_by_sums(spark):
                 means.append(sum(w.get(u, 0) * (v or 0) for u, v in own) / sum(w.get(u, 0) for u, _ in own))
         given = [v for _, v in own if v is not None]
         assert r["ratio"] == (pytest.approx(np.mean(given) / np.std(means)) if given else None)
+
+
+def test_kernels_get_one_run_at_a_time(spark):
+    """Of a batch of runs one is in the works, and its labels are made one after the other."""
+    cells = spark.range(4000).selectExpr("id % 4 AS a", "id div 4 AS t", "cast(id AS double) AS value")
+    cube = TimeCube.of(Cube.from_positions(cells, ("a", "t")), "t", 1.0)
+
+    def kernel(rows, t):
+        assert rows.shape[0] == 1
+        yield 1.0, rows
+        yield 2.0, -rows
+
+    assert cube.apply_chunked(kernel, 300, 10, "k").df.groupBy("k").agg(F.sum("value")).orderBy("k").collect() == [(1.0, 7998000.0), (2.0, -7998000.0)]
+    assert cube.apply_named(lambda rows, t: ((k, (x, t)) for k, x in kernel(rows, t)), "k").df.groupBy("k").count().orderBy("k").collect() == [(1.0, 4000), (2.0, 4000)]
+
+
+def test_ensembles_are_added_up_in_tasks(spark):
+    cells = spark.range(128).selectExpr("0 AS a", "id AS t", "sin(id * 0.3) + cos(id) AS value")
+    cube = TimeCube.of(Cube.from_positions(cells, ("a", "t")), "t", 1.0)
+    got = cube.eemd(num_ensembles=13, num_sifts=3)
+    x = np.array([r[0] for r in cells.orderBy("t").select("value").collect()])
+    want = np.mean([emd.eemd_member(x, 0.2, 3, m) for m in range(13)], axis=0)
+    have = np.zeros_like(want)
+    for r in got.df.collect():
+        have[r["mode_idx"], r["t_idx"]] = r["value"]
+    np.testing.assert_allclose(have, want, atol=1e-12)
+    assert "member__" not in got.df._jdf.queryExecution().analyzed().toString()  # samples aren't multiplied by members
+
+
+def test_spline_of_many_knots():
+    """A tridiagonal system solved without a step a knot, as dense algebra solves it."""
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 4, 5, 8, 33, 100):
+        a, b, c, d = rng.uniform(-1, 1, n), rng.uniform(3, 4, n), rng.uniform(-1, 1, n), rng.normal(size=n)
+        np.testing.assert_allclose(emd.tridiagonal(a, b, c, d), np.linalg.solve(np.diag(b) + np.diag(a[1:], -1) + np.diag(c[:-1], 1), d), rtol=1e-10, atol=1e-12)
+
+
+def test_components_move_as_stretches(spark):
+    """Cleaning gives what it gives on a whole series, over several stretches of samples."""
+    n = 1 << 17
+    x = np.random.default_rng(0).normal(size=n)
+    x[700:720] += 60
+    cells = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "component int, sample long, value double")
+    cleaner = object.__new__(decomposition.ArtifactCleaner)
+    cleaner.components, cleaner.samplerate, cleaner.chosen = cells, 200.0, [0]
+    got = cleaner.clean().orderBy("sample").toPandas()["value"].to_numpy()
+    assert "stretch" in cleaner.components._jdf.queryExecution().analyzed().toString()
+    np.testing.assert_allclose(got, algebra.clean_component(x, 2.5, 20)[0], atol=1e-12)
