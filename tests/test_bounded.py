@@ -1,12 +1,14 @@
 """What must not grow on the driver or in one task: whole tables stay in tasks, quadratic steps are gone."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisframe.functions import algebra, emd
-from axisframe.operators import align, decomposition, statistics
+from axisframe.functions.mixed import mixed_model
+from axisframe.operators import align, decomposition, mixed, statistics
 from axisframe.plans.cube import Cube
 from axisframe.plans.timecube import TimeCube
 from axisframe.queries import QUERIES
@@ -195,3 +197,21 @@ def test_components_move_as_stretches(spark):
     got = cleaner.clean().orderBy("sample").toPandas()["value"].to_numpy()
     assert "stretch" in cleaner.components._jdf.queryExecution().analyzed().toString()
     np.testing.assert_allclose(got, algebra.clean_component(x, 2.5, 20)[0], atol=1e-12)
+
+
+def test_mixed_models_by_products(spark):
+    """As fits of whole frames give it, also where keys have levels of their own; no task gets all rows of a key."""
+    rng = np.random.default_rng(5)
+    df = pd.DataFrame([(k, "abcde"[i % 5], "uvw"[i % (2 + k)], i % 7 < 3, float(rng.normal())) for k in range(2) for i in range(60)], columns=["k", "g", "f", "b", "x"])
+    df["y"] = df["x"] * 2 + rng.normal(size=len(df)) + df["g"].map(ord) % 3
+    for formula in ("y ~ x + f + (1 | g)", "y ~ x*f + b + (1 + x | g)", "y ~ x + (0 + b | g)"):
+        fits = mixed.lmer(spark.createDataFrame(df), ["k"], "y", formula)
+        assert "mapinpandas" in fits._jdf.queryExecution().analyzed().toString().lower()
+        got = fits.toPandas()
+        for k, part in df.groupby("k"):
+            model, names = mixed_model(part, formula)
+            want, have = model.fit(part["y"].to_numpy()), got[got["k"] == k]
+            assert have["term"].tolist() == names
+            np.testing.assert_allclose(have["beta"], want["beta"], rtol=1e-6, atol=1e-8)
+            np.testing.assert_allclose(have["t"], want["t"], rtol=1e-5, atol=1e-6)
+            np.testing.assert_allclose(have["loglik"], want["loglik"], rtol=1e-8)
