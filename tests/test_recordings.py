@@ -7,7 +7,7 @@ from axisframe.queries import QUERIES
 from .conftest import DATA
 
 
-@pytest.mark.parametrize("name", ["bdf_samples", "brainvision_channels", "brainvision_floats", "brainvision_markers", "brainvision_samples", "edf_annotations", "edf_header", "edf_samples"])
+@pytest.mark.parametrize("name", ["bdf_samples", "brainvision_channels", "brainvision_floats", "brainvision_markers", "brainvision_samples", "edf_annotations", "edf_header", "edf_samples", "edf_span"])
 def test_driver_rows_do_not_grow(spark, monkeypatch, name):
     def counted(real):
         def run(self, *args, **kwargs):
